@@ -52,7 +52,8 @@ def difference(spark, con, sf_dir: str, name: str) -> str:
 
 def main(sf_dir: str, *parts: str) -> int:
     spark = build_session("compare", "local[8]", spark_sql_shuffle_partitions="8",
-                          spark_ui_enabled="false")
+                          spark_ui_enabled="false",
+                          spark_ui_showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf_dir), 0
     for name in registered.queries():

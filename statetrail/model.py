@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .fixed_values import EDGES, SIGNALS, STATES
 from .operators.lookup import LOOKUP_ROWS, bounded_rows, small
@@ -71,19 +74,27 @@ class StateModel:
         return found
 
 
+def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A few rows as a local relation, which Spark plans and reads without a job."""
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+    columns = list(zip(*rows)) if rows else [()] * len(arrow)
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, struct)
+
+
 def state_table(spark: SparkSession, states=STATES) -> DataFrame:
-    return spark.createDataFrame(
-        [(n, *state, "{}") for n, state in enumerate(states, 1)], STATE_SCHEMA)
+    return literal_table(
+        spark, [(n, *state, "{}") for n, state in enumerate(states, 1)], STATE_SCHEMA)
 
 
 def signal_table(spark: SparkSession, signals=SIGNALS) -> DataFrame:
-    return spark.createDataFrame(
-        [(n, name, "{}") for n, name in enumerate(signals, 1)], SIGNAL_SCHEMA)
+    return literal_table(
+        spark, [(n, name, "{}") for n, name in enumerate(signals, 1)], SIGNAL_SCHEMA)
 
 
 def edge_table(spark: SparkSession, edges=EDGES) -> DataFrame:
-    return spark.createDataFrame(
-        list(edges), "signal string, in_state string, out_state string")
+    return literal_table(spark, list(edges), "signal string, in_state string, out_state string")
 
 
 def seeded_dimensions(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -59,20 +59,18 @@ class Trail:
         return self._neighbour(columns, F.lead, F.min_by)
 
     def _neighbour(self, columns, step, border) -> Trail:
+        if self.piece is None:
+            return self.on(self.rows.select("*", *[
+                step(source).over(self.window).alias(name) for name, source in columns.items()]))
+        # the border row of each piece, seen from the piece after (or before) it
         values = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
-        near = step(values).over(self.window)
-        if self.piece is not None:
-            # the border row of each piece, seen from the piece after (or before) it
-            ends = self.cut_rows.groupBy(self.group).agg(
-                border(values, F.struct(self.time, self.tie)).alias("_end"))
-            pieces = Window.partitionBy(self.key).orderBy(self.piece)
-            across = ends.select(*self.group, step("_end").over(pieces).alias("_across"))
-            rows = self.rows.withColumn("_near", near).join(
-                F.broadcast(across), self.group, "left")
-            near = F.coalesce("_near", "_across")
-        else:
-            rows = self.rows
-        found = rows.select(*self.rows.columns, near.alias("_found"))
+        ends = self.cut_rows.groupBy(self.group).agg(
+            border(values, F.struct(self.time, self.tie)).alias("_end"))
+        pieces = Window.partitionBy(self.key).orderBy(self.piece)
+        across = ends.select(*self.group, step("_end").over(pieces).alias("_across"))
+        rows = self.rows.withColumn("_near", step(values).over(self.window)).join(
+            F.broadcast(across), self.group, "left")
+        found = rows.select(*self.rows.columns, F.coalesce("_near", "_across").alias("_found"))
         return self.on(found.select(
             *self.rows.columns, *[F.col(f"_found.{name}").alias(name) for name in columns]))
 
@@ -96,10 +94,10 @@ class Trail:
 
         Unlike ``lag`` this steps over rows of equal time.
         """
-        micros = F.unix_micros(self.time)
-        before = (Window.partitionBy(*self.group).orderBy(micros)
-                  .rangeBetween(Window.unboundedPreceding, -1))
-        here = self.on(self.rows.withColumn(name, F.max(self.time).over(before)))
+        # ordered by the time itself, so that a sort by (time, tie) serves this window too
+        here = self.on(self.rows.withColumn(name, F.expr(
+            f"max({self.time}) OVER (PARTITION BY {', '.join(self.group)} ORDER BY {self.time} "
+            "RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '0.000001' SECOND PRECEDING)")))
         if self.piece is None:
             return here
         # Rows without an earlier time in their piece all stand at the piece's first time. The

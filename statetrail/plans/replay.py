@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
@@ -17,33 +18,51 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 START = 0  # kind of a row that carries a start state
 SIGNAL = 1  # kind of a row that carries a signal
 MEMO_LIMIT = 100_000
+MISSING = -2**63  # stands for NULL; no signal has this id
 
 OUTCOME_SCHEMA = ("unit_id bigint, event_id bigint, ts timestamp, signal_id bigint, "
                   "signal string, payload string, initial_state_id bigint, "
                   "final_state_id bigint")
 
 
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    return column.fill_null(MISSING).to_numpy(zero_copy_only=False) if column.null_count \
+        else column.to_numpy(zero_copy_only=False)
+
+
+def _group_starts(batch: pa.RecordBatch, last):
+    """Which rows begin a new (unit, piece), and the group the batch ends in."""
+    unit, piece = _numbers(batch, "unit_id"), _numbers(batch, "piece")
+    fresh = np.ones(len(unit), bool)
+    fresh[1:] = (unit[1:] != unit[:-1]) | (piece[1:] != piece[:-1])
+    if len(unit):
+        fresh[0] = (unit[0], piece[0]) != last
+        last = (unit[-1], piece[-1])
+    return fresh, last
+
+
 def replayer(moves: dict[int, dict[int, int]], initial: int):
     """Walk the rows; each signal gets the state before and, if the move exists, after."""
 
     def run(batches):
-        unit = piece = None
-        state = initial
+        last, state = None, initial
         for batch in batches:
-            columns = [batch.column(name).to_pylist()
-                       for name in ("unit_id", "piece", "kind", "signal_id", "state")]
-            before, after, keep = [], [], []
-            for u, p, kind, signal, start in zip(*columns):
-                if u != unit or p != piece:
-                    unit, piece, state = u, p, initial
-                keep.append(kind == SIGNAL)
+            fresh, last = _group_starts(batch, last)
+            kinds = _numbers(batch, "kind")
+            before, after = [], []
+            for new, kind, signal, start in zip(
+                    fresh.tolist(), kinds.tolist(), _numbers(batch, "signal_id").tolist(),
+                    _numbers(batch, "state").tolist()):
+                if new:
+                    state = initial
                 if kind == START:
                     state = start
                     before.append(None)
                     after.append(None)
                     continue
-                reached = moves[state].get(signal) if state in moves else None
                 before.append(state)
+                reached = moves[state].get(signal) if state in moves else None
                 after.append(reached)
                 if reached is not None:
                     state = reached
@@ -53,7 +72,7 @@ def replayer(moves: dict[int, dict[int, int]], initial: int):
                 + [pa.array(before, pa.int64()), pa.array(after, pa.int64())],
                 ["unit_id", "event_id", "ts", "signal_id", "signal", "payload",
                  "initial_state_id", "final_state_id"])
-            yield out.filter(pa.array(keep, pa.bool_()))
+            yield out.filter(pa.array(kinds == SIGNAL)) if (kinds == START).any() else out
 
     return run
 
@@ -64,18 +83,17 @@ def composer(moves: dict[int, dict[int, int]], states: list[int]):
     def run(batches):
         identity = tuple(states)
         memo = {}
-        group, ends = None, identity
+        last, group, ends = None, None, identity
         for batch in batches:
-            units, pieces, leads = [], [], []
-            columns = [batch.column(name).to_pylist()
-                       for name in ("unit_id", "piece", "signal_id")]
-            for u, p, signal in zip(*columns):
-                if group != (u, p):
+            fresh, last = _group_starts(batch, last)
+            done = []
+            for new, unit, piece, signal in zip(
+                    fresh.tolist(), _numbers(batch, "unit_id").tolist(),
+                    _numbers(batch, "piece").tolist(), _numbers(batch, "signal_id").tolist()):
+                if new:
                     if group is not None:
-                        units.append(group[0])
-                        pieces.append(group[1])
-                        leads.append(ends)
-                    group, ends = (u, p), identity
+                        done.append((*group, ends))
+                    group, ends = (unit, piece), identity
                 moved = memo.get((ends, signal))
                 if moved is None:
                     moved = tuple(moves.get(s, {}).get(signal, s) for s in ends)
@@ -83,14 +101,15 @@ def composer(moves: dict[int, dict[int, int]], states: list[int]):
                         memo.clear()
                     memo[ends, signal] = moved
                 ends = moved
-            yield _pieces(units, pieces, leads)
+            yield _summaries(done)
         if group is not None:
-            yield _pieces([group[0]], [group[1]], [ends])
+            yield _summaries([(*group, ends)])
 
     return run
 
 
-def _pieces(units, pieces, leads):
+def _summaries(rows):
+    units, pieces, leads = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays(
         [pa.array(units, pa.int64()), pa.array(pieces, pa.int32()),
          pa.array(leads, pa.list_(pa.int64()))],

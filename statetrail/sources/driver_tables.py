@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import LOG_SCHEMA, TRANSITION_SCHEMA, StateModel, signal_table, state_table
+from ..model import (
+    LOG_SCHEMA,
+    TRANSITION_SCHEMA,
+    StateModel,
+    literal_table,
+    signal_table,
+    state_table,
+)
 from ..operators.trail import Trail, trail
 
 # How event types are read as signals and where each signal leads.
@@ -58,26 +65,28 @@ def raw_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-def _payload() -> Column:
-    k = F.get_json_object("payload", "$.k").cast("int") % 10
-    return F.when(k == 0, "{}").otherwise(
-        F.concat(F.lit('{"tech": "T'), k.cast("string"), F.lit('"}')))
-
-
 def mapped_log(spark: SparkSession, sf_dir: str, rows_per_task: int | None = None) -> Trail:
-    """Events as a finished log: the first one creates the unit, the others move it."""
-    events = trail(raw_signals(spark, sf_dir), tie="event_id", rows_per_task=rows_per_task)
-    leads = F.broadcast(spark.createDataFrame(  # five rows
-        [(event, n, state) for n, (event, _, state) in enumerate(SIGNALS, 1)],
+    """Events as a finished log: the first one creates the unit, the others move it.
+
+    The JSON is read once, before the shuffle, and goes through it as a small number.
+    """
+    rows = raw_signals(spark, sf_dir).select(
+        "unit_id", "ts", "event_id", "signal",
+        (F.get_json_object("payload", "$.k").cast("int") % 10).alias("k"))
+    events = trail(rows, tie="event_id", rows_per_task=rows_per_task)
+    leads = F.broadcast(literal_table(  # five rows
+        spark, [(event, n, state) for n, (event, _, state) in enumerate(SIGNALS, 1)],
         "signal string, signal_id bigint, leads_to bigint"))
+    payloads = F.array(F.lit("{}"), *[F.lit('{"tech": "T%d"}' % k) for k in range(1, 10)])
     ordered = events.with_previous(previous_id="event_id").rows.join(leads, "signal")
     first = F.col("previous_id").isNull()
-    rows = ordered.select(
-        *events.group, F.col("event_id").alias("log_id"), "ts", _payload().alias("payload"),
+    steps = ordered.select(
+        *events.group, F.col("event_id").alias("log_id"), "ts",
+        F.element_at(payloads, F.col("k") + 1).alias("payload"),
         F.when(~first, F.col("signal_id")).alias("signal_id"),
         F.when(first, F.lit(NEUTRAL).cast("bigint")).otherwise(F.col("leads_to"))
         .alias("final_state_id"))
-    log = Trail(rows, "unit_id", "ts", "log_id", events.piece)
+    log = Trail(steps, "unit_id", "ts", "log_id", events.piece)
     chained = log.with_previous(before="final_state_id")
     return chained.on(chained.rows.withColumn(
         "initial_state_id", F.coalesce("before", F.lit(NEUTRAL).cast("bigint"))).drop("before"))
@@ -96,12 +105,12 @@ def raw_machine(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """State, signal and transition tables of the partial machine."""
     state = {name: n for n, (name, _, _) in enumerate(RAW_STATES, 1)}
     signal = {event: n for n, (event, _, _) in enumerate(SIGNALS, 1)}
-    edges = spark.createDataFrame(
-        [(signal[s], state[a], state[b], "{}") for s, a, b in RAW_EDGES], TRANSITION_SCHEMA)
+    edges = literal_table(
+        spark, [(signal[s], state[a], state[b], "{}") for s, a, b in RAW_EDGES], TRANSITION_SCHEMA)
     return state_table(spark, RAW_STATES), signal_table(spark, list(signal)), edges
 
 
 def raw_model(spark: SparkSession, sf_dir: str, rows_per_task: int | None = None) -> StateModel:
     """The partial machine over the customers, nothing logged yet."""
-    empty = spark.createDataFrame([], LOG_SCHEMA)
+    empty = literal_table(spark, [], LOG_SCHEMA)
     return StateModel(*raw_machine(spark), customers(spark, sf_dir), empty, rows_per_task)

@@ -1,0 +1,261 @@
+"""Ties, missing values, exact limits, and pieces against brute force."""
+
+from datetime import datetime, timedelta, timezone
+
+import fixture as fx
+import pytest
+import statetrail as st
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as some
+from pyspark.sql import functions as F
+from statetrail.fixed_values import EDGES, SIGNALS, STATES
+from statetrail.functions import technician, technician_id_or_name, within, whole_number
+from statetrail.model import LOG_SCHEMA, SIGNALS_IN_SCHEMA
+from statetrail.operators import latest_per_unit, trail
+
+T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
+FEW = settings(max_examples=6, deadline=None, derandomize=True,
+               suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def log_of(spark, rows):
+    """(unit, seconds) pairs as a log; ids are the positions."""
+    return spark.createDataFrame(
+        [(n, u, 1, 1, None, None, T0 + timedelta(seconds=t)) for n, (u, t) in enumerate(rows)],
+        LOG_SCHEMA)
+
+
+# few distinct times, so that ties are common; unit 0 has most of the rows
+points = some.lists(some.tuples(some.sampled_from([0, 0, 0, 0, 1, 2]), some.integers(0, 5)),
+                    min_size=1, max_size=60)
+
+
+@pytest.mark.parametrize("limit", [None, 4])
+@FEW
+@given(rows=points)
+def test_neighbours_match_brute_force(spark, limit, rows):
+    log = log_of(spark, rows).withColumn("at", F.unix_timestamp("ts"))
+    found = (trail(log, rows_per_task=limit).with_previous(before="log_id", before_at="at")
+             .with_next(after="log_id").with_rank("rank").with_earlier_time("earlier").rows
+             .withColumn("earlier", F.unix_timestamp("earlier")))
+    got = {r["log_id"]: (r["before"], r["before_at"], r["after"], r["rank"], r["earlier"])
+           for r in found.collect()}
+    base = int(T0.timestamp())
+    expected = {}
+    for n, (unit, t) in enumerate(rows):
+        own = sorted((t2, n2) for n2, (u2, t2) in enumerate(rows) if u2 == unit)
+        place = own.index((t, n))
+        before = own[place - 1] if place else None
+        after = own[place + 1] if place + 1 < len(own) else None
+        less = [t2 for t2, _ in own if t2 < t]
+        expected[n] = (before and before[1], before and base + before[0], after and after[1],
+                       place + 1, base + max(less) if less else None)
+    assert got == expected
+
+
+def test_a_unit_with_one_single_time_is_cut_too(spark):
+    log = log_of(spark, [(7, 3)] * 200 + [(8, 3)] * 3)
+    cut = trail(log, rows_per_task=20)
+    pieces = [r["count"] for r in cut.cut_rows.groupBy("piece").count().collect()]
+    assert len(pieces) > 5 and max(pieces) < 100 and sum(pieces) == 200
+    assert cut.with_earlier_time("e").rows.filter("e IS NOT NULL").count() == 0
+    assert cut.with_previous(p="log_id").rows.filter("p IS NULL").count() == 2
+    assert cut.with_rank("r").rows.agg(F.max("r")).first()[0] == 200
+
+
+def test_latest_takes_the_greater_id_among_equal_times(spark):
+    rows = latest_per_unit(log_of(spark, [(1, 5), (1, 5), (1, 2), (2, 0)])).collect()
+    assert {(r["unit_id"], r["log_id"]) for r in rows} == {(1, 1), (2, 3)}
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+@FEW
+@given(events=some.lists(some.tuples(
+    some.sampled_from([1, 1, 1, 2]), some.sampled_from([*SIGNALS, "no such signal"]),
+    some.integers(0, 40)), min_size=1, max_size=80))
+def test_signals_match_a_plain_loop(spark, limit, events):
+    """Also with a log to start from: unit 1 stands in ``parts missing``."""
+    state = {name: n for n, (name, *_) in enumerate(STATES, 1)}
+    edges = {(s, state[a]): state[b] for s, a, b in EDGES}
+    before = [(900, 1, 5, 8, None, 5, T0 - timedelta(days=1))]
+    rows = [(n, u, s, None, T0 + timedelta(seconds=t)) for n, (u, s, t) in enumerate(events)]
+    here, expected = {1: 8}, {}
+    for n, u, s, _, ts in sorted(rows, key=lambda r: (r[4], r[0])):
+        at = here.get(u, 1)
+        expected[n] = (at, edges.get((s, at)))
+        here[u] = edges.get((s, at), at)
+    outcomes = st.signal_outcomes(fx.model(spark, rows=before),
+                                  spark.createDataFrame(rows, SIGNALS_IN_SCHEMA), limit)
+    got = {r["event_id"]: (r["initial_state_id"], r["final_state_id"])
+           for r in outcomes.collect()}
+    assert got == expected
+
+
+def test_rejected_and_strict(spark):
+    signals = spark.createDataFrame(
+        [(1, 1, "customer call", None, T0), (2, 1, "arrive", None, T0 + timedelta(seconds=1)),
+         (3, 1, "unheard of", None, T0 + timedelta(seconds=2))], SIGNALS_IN_SCHEMA)
+    empty = fx.model(spark, rows=[])
+    log, rejected = st.apply_signals(empty, signals)
+    assert [r["final_state_id"] for r in log.collect()] == [2]
+    assert {(r["event_id"], r["state_id"]) for r in rejected.collect()} == {(2, 2), (3, 2)}
+    with pytest.raises(Exception, match="no transition defined for signal arrive in state 2"):
+        st.apply_signals(empty, signals, strict=True)[0].collect()
+
+
+def test_payload_forms(spark):
+    texts = [None, '{"tech": null}', '{"tech": ""}', '{"tech": 7}', '{"tech": {"b": 1}}',
+             '{"tech":"a","tech":"b"}', "{broken", "{}"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, payload string")
+    names = [r[0] for r in df.orderBy("n").select(technician(default=None)).collect()]
+    assert names == [None, None, "", "7", '{"b":1}', "a", None, None]
+    assert [r[0] for r in df.orderBy("n").select(technician()).collect()][:3] == [
+        "Unassigned", "Unassigned", ""]
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    try:
+        last = [r[0] for r in df.orderBy("n").select(
+            technician(default=None, last_duplicate=True)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    assert last == [None, None, "", "7", '{"b":1}', "b", None, None]
+
+
+def test_technician_id_wins_over_name(spark):
+    df = spark.createDataFrame([('{"technician_id": "x", "tech": "y"}',),
+                                ('{"technician_id": "", "tech": "y"}',),
+                                ('{"tech": ""}',)], "payload string")
+    assert [r[0] for r in df.select(technician_id_or_name()).collect()] == ["x", "y", None]
+
+
+def test_age_of_exactly_the_limit_is_no_breach(spark):
+    now = datetime(2025, 1, 2, tzinfo=timezone.utc)
+    rows = [(1, 1, 2, 3, None, 2, now - timedelta(hours=24)),
+            (2, 2, 2, 3, None, 2, now - timedelta(hours=24, microseconds=1))]
+    found = st.sla_breaches(fx.model(spark, rows=rows), as_of=now, hours=24).collect()
+    assert [r["id"] for r in found] == [2]
+
+
+def test_time_ranges_are_half_open(spark):
+    now = datetime(2025, 1, 10, 12, 30, tzinfo=timezone.utc)
+    since, until = datetime(2025, 1, 9, tzinfo=timezone.utc), datetime(2025, 1, 11,
+                                                                       tzinfo=timezone.utc)
+    tick = timedelta(microseconds=1)
+    rows = [(n, 1, 1, 2, None, 1, ts) for n, ts in enumerate(
+        [since - tick, since, until - tick, until])]
+    model = fx.model(spark, rows=rows)
+    days = st.throughput(model, as_of=now, days=2).collect()
+    assert [r["total_transitions"] for r in days] == [1, 1]
+    hours = st.hourly_activity(fx.model(spark, rows=[
+        (n, 1, 1, 2, None, 1, now - timedelta(hours=h)) for n, h in enumerate([0, 1, 2])]),
+        as_of=now, hours=2).collect()
+    assert [r["activity_count"] for r in hours] == [1, 1]
+    history = [(n, 1, 1, 2, '{"tech": "a"}', 1, now - timedelta(days=1) - n * tick)
+               for n in range(2)]
+    assert st.worker_history(fx.model(spark, rows=history), "a", as_of=now, days=1).count() == 1
+
+
+def test_units_without_log(spark):
+    model = fx.model(spark, rows=[r for r in fx.log_rows() if r[1] != 16])
+    assert st.current_units(model).count() == 15
+    rows = {r["unit_id"]: r for r in st.unit_status(model, [16, 99, 3]).collect()}
+    assert (rows[16]["status_name"], rows[16]["details"]) == ("neutral", "{}")
+    assert (rows[99]["status_name"], rows[99]["details"]) == ("neutral", None)
+    assert rows[3]["status_name"] == "parts missing"
+    asked = spark.createDataFrame([(16,), (99,), (3,)], "unit_id bigint")
+    assert sorted(st.unit_status(model, asked).collect()) == sorted(rows.values())
+
+
+def test_empty_log(spark):
+    model = fx.model(spark, rows=[])
+    for query in (st.current_units, st.technician_board, st.sla_breaches, st.throughput,
+                  st.transition_heatmap, st.unit_durations, st.avg_state_durations,
+                  st.daily_activity, st.state_distribution, st.worker_performance,
+                  st.hourly_activity, st.bottlenecks, st.workers_list, st.technician_workload,
+                  st.audit_log):
+        assert query(model).count() == 0, query.__name__
+
+
+def test_default_clock_is_now(spark):
+    now = datetime.now(timezone.utc)
+    model = fx.model(spark, rows=[(1, 1, 2, 3, None, 2, now - timedelta(hours=30))])
+    row = st.sla_breaches(model).first()
+    assert 30 <= row["hours_in_state"] < 31
+    assert st.throughput(model).first()["total_transitions"] == 1
+
+
+def test_creation(spark):
+    new = spark.createDataFrame([(20, "b", '{"x": 1}'), (10, "a", "{}"), (30, "c", "{}")],
+                                "seq bigint, unit_name string, unit_details string")
+    for limit in (None, 1):
+        units, log = st.create_units(fx.model(spark), new, as_of=fx.AS_OF, rows_per_task=limit)
+        assert sorted(fx.rows_of(units)) == [(17, "a", "{}"), (18, "b", '{"x": 1}'),
+                                             (19, "c", "{}")]
+        assert sorted(fx.rows_of(log.drop("ts"))) == [
+            (93, 17, 1, 1, "{}", None), (94, 18, 1, 1, '{"x": 1}', None),
+            (95, 19, 1, 1, "{}", None)]
+    model = fx.model(spark)
+    model.state = model.state.filter("NOT is_initial")
+    with pytest.raises(ValueError, match="initial"):
+        st.create_units(model, new)
+
+
+def test_audit_finds_each_fault(spark):
+    ts = [T0 + timedelta(seconds=n) for n in range(9)]
+    rows = [(1, 1, 2, 2, None, None, ts[0]),      # creation outside the initial state
+            (2, 1, 2, 3, None, 1, ts[1]),         # customer call does not leave registered
+            (3, 2, 1, 1, None, None, ts[0]),
+            (4, 2, 1, 3, None, 1, ts[1]),         # customer call leads to registered
+            (5, 3, 1, 2, None, 1, ts[0]),         # no creation
+            (6, 3, 3, 4, None, 3, ts[1])]         # starts elsewhere
+    assert sorted(fx.rows_of(st.audit_log(fx.model(spark, rows=rows)))) == [
+        (1, "bad_creation"), (2, "no_transition"), (4, "wrong_target"),
+        (5, "first_row_not_creation"), (6, "chain_break")]
+
+
+def test_dead_ends_and_unreachable_states(spark):
+    model = fx.model(spark)
+    model.transition = model.transition.filter("signal_id <> 3 AND signal_id <> 10")
+    rows = {r["state_name"]: r for r in st.terminal_states(model).collect()}
+    assert rows["assigned"]["is_dead_end"] and rows["end of service"]["is_dead_end"]
+    assert rows["reported"]["has_no_exit"] and rows["reported"]["flag_agrees"]
+    assert not rows["dispatched"]["is_reachable"] and rows["assigned"]["is_reachable"]
+
+
+def test_argument_bounds(spark, monkeypatch):
+    model = fx.model(spark)
+    for call in (lambda: st.sla_breaches(model, hours=0.5),
+                 lambda: st.sla_breaches(model, hours=169),
+                 lambda: st.throughput(model, days=0),
+                 lambda: st.daily_activity(model, days=366),
+                 lambda: st.hourly_activity(model, hours=169),
+                 lambda: st.worker_history(model, "x", days=1.5),
+                 lambda: whole_number("days", "many", 1, 365),
+                 lambda: st.unit_durations(model, label="middle")):
+        with pytest.raises(ValueError):
+            call()
+    assert within("hours", "24.5", 1, 168) == 24.5 and whole_number("days", "7", 1, 365) == 7
+    monkeypatch.setenv("SLA_HOURS", "60")
+    assert [r["id"] for r in st.sla_breaches(model, as_of=fx.AS_OF).collect()] == [3]
+
+
+def test_intervals_cover_each_unit_without_overlap(spark):
+    rows = st.state_intervals(fx.model(spark, rows_per_task=3).trail).collect()
+    by_unit = {}
+    for r in rows:
+        by_unit.setdefault(r["unit_id"], []).append((r["entered_at"], r["left_at"]))
+    for stays in by_unit.values():
+        stays.sort()
+        assert [left for _, left in stays] == [entered for entered, _ in stays[1:]] + [None]
+
+
+def test_shares_add_up(spark):
+    total = sum(r["percentage"] for r in st.state_distribution(fx.model(spark)).collect())
+    assert abs(total - 100) < 0.05
+
+
+def test_error_class_covers_all_words(spark):
+    df = spark.createDataFrame([("work failed",), ("error",), ("parts missing",), ("assigned",),
+                                ("reported",)], "s string")
+    from statetrail.plans.board import unit_class
+    assert [r[0] for r in df.select(unit_class("s")).collect()] == [
+        "error", "error", "error", "", "success"]
