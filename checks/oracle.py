@@ -379,6 +379,7 @@ SELECT date_trunc('day', ts) AS day,
 FROM log JOIN sig ON sig.id = log.signal_id GROUP BY ALL""",
         "t3_hourly_activity": LOG + "SELECT * FROM hourly",
         "t4_apply_signals": ACCEPTED,
+        "t4_replay_batches": ACCEPTED,
         "t5_sla_alerts": LOG + """
 SELECT unit_id, state_name, ts AS entered_at, ts + INTERVAL 6 HOUR AS due_at
 FROM latest

@@ -34,10 +34,12 @@ from statetrail.sources.driver_tables import (
     read_table,
 )
 from statetrail.streaming import (
+    OUTCOME_SCHEMA,
     apply_signals_stream,
     current_state_stream,
     hourly_partials_stream,
     last_updates,
+    replay_batches,
     run_available,
     sla_alerts_stream,
     throughput_stream,
@@ -195,21 +197,42 @@ def streamed(job, keys, mode="update", finish=lambda df: df) -> Query:
     return run
 
 
+def signal_stream(spark, sf_dir, **limits):
+    schema = read_table(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .options(**limits).parquet(sf_dir)
+            .select("event_id", F.col("user_id").alias("unit_id"),
+                    F.col("event_type").alias("signal"), F.col("props").alias("payload"),
+                    F.col("ts").cast("timestamp").alias("ts")))
+
+
+def accepted(rows):
+    return plain(rows.filter("outcome = 'accepted'").select(
+        F.col("event_id").alias("log_id"), "unit_id", "initial_state_id", "final_state_id",
+        "payload", "signal_id", "ts"))
+
+
 def streamed_signals(spark, sf_dir):
+    """Keyed state; the limit per trigger bounds the rows of a unit that a task sorts.
+
+    Files are taken in the order they were written. Where that is not the order of time,
+    ``replayed_signals`` is the job to use.
+    """
     configure(spark)
     _, out, checkpoint = folders(spark)
-    schema = read_table(spark, sf_dir, "events").schema
-    signals = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-               .parquet(sf_dir)
-               .select("event_id", F.col("user_id").alias("unit_id"),
-                       F.col("event_type").alias("signal"), F.col("props").alias("payload"),
-                       F.col("ts").cast("timestamp").alias("ts")))
-    stream = apply_signals_stream(signals, raw_model(spark, sf_dir))
+    stream = apply_signals_stream(signal_stream(spark, sf_dir, maxBytesPerTrigger=1 << 30),
+                                  raw_model(spark, sf_dir))
     run_available(stream, out, checkpoint, "append")
-    rows = last_updates(spark, out, stream.schema).filter("outcome = 'accepted'")
-    return plain(rows.select(
-        F.col("event_id").alias("log_id"), "unit_id", "initial_state_id", "final_state_id",
-        "payload", "signal_id", "ts"))
+    return accepted(last_updates(spark, out, stream.schema))
+
+
+def replayed_signals(spark, sf_dir):
+    """All files at once; large units are replayed in pieces."""
+    configure(spark)
+    _, out, checkpoint = folders(spark)
+    replay_batches(signal_stream(spark, sf_dir), raw_model(spark, sf_dir), out, checkpoint,
+                   availableNow=True).awaitTermination()
+    return accepted(last_updates(spark, f"{out}/outcomes", OUTCOME_SCHEMA))
 
 
 def queries() -> dict[str, Query]:
@@ -271,6 +294,7 @@ def queries() -> dict[str, Query]:
             lambda log, m: hourly_partials_stream(log), ["hour", "unit_id", "technician"],
             finish=st.hourly_from_partials),
         "t4_apply_signals": streamed_signals,
+        "t4_replay_batches": replayed_signals,
         "t5_sla_alerts": streamed(
             lambda log, m: sla_alerts_stream(log, m, hours=SLA_HOURS), None, "append"),
     }

@@ -5,13 +5,16 @@ from .jobs import (
     sla_alerts_stream,
     throughput_stream,
 )
+from .replay import OUTCOME_SCHEMA, replay_batches
 from .sink import last_updates, run_available, write_updates
 
 __all__ = [
+    "OUTCOME_SCHEMA",
     "apply_signals_stream",
     "current_state_stream",
     "hourly_partials_stream",
     "last_updates",
+    "replay_batches",
     "run_available",
     "sla_alerts_stream",
     "throughput_stream",

@@ -19,8 +19,9 @@ class SignalProcessor(StatefulProcessor):
     """Current state of a unit, moved by its signals in (time, id) order.
 
     Within a micro-batch the unit's rows are sorted. A row older than one already handled is
-    handed out as ``late`` and changes nothing. The source's limit per trigger bounds what a
-    unit can bring at once; a backlog belongs into the batch job.
+    handed out as ``late`` and changes nothing. The source's limit per trigger
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds what a unit can bring at once.
+    Without such a limit, or for a backlog, use :func:`replay_batches`.
     """
 
     def __init__(self, moves, initial):

@@ -8,10 +8,12 @@ import statetrail as st
 from pyspark.sql import functions as F
 from statetrail.model import LOG_SCHEMA, SIGNALS_IN_SCHEMA
 from statetrail.streaming import (
+    OUTCOME_SCHEMA,
     apply_signals_stream,
     current_state_stream,
     hourly_partials_stream,
     last_updates,
+    replay_batches,
     run_available,
     sla_alerts_stream,
     throughput_stream,
@@ -84,11 +86,37 @@ def test_t3_hourly_activity(spark, tmp_path):
         st.hourly_activity(model, hours=None))
 
 
-def test_t4_equals_the_batch(spark, tmp_path):
+class SignalFeed(Feed):
+    """Signals moved by keyed state, or by replaying each micro-batch in pieces."""
+
+    def __init__(self, spark, path, model, replayed):
+        super().__init__(spark, path, SIGNALS_IN_SCHEMA, lambda s: s if replayed
+                         else apply_signals_stream(s, model), "append")
+        self.model, self.replayed = model, replayed
+
+    def push(self, rows):
+        if not self.replayed:
+            return super().push(rows)
+        rows = rows if hasattr(rows, "write") else self.spark.createDataFrame(rows, self.schema)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/in")
+        if not (self.path / "checkpoint").exists():
+            self.query = replay_batches(self.stream, self.model, f"{self.path}/out",
+                                        f"{self.path}/checkpoint", rows_per_task=2)
+        self.query.processAllAvailable()
+        return self
+
+    def table(self):
+        if not self.replayed:
+            return super().table()
+        self.query.stop()
+        return last_updates(self.spark, f"{self.path}/out/outcomes", OUTCOME_SCHEMA)
+
+
+@pytest.mark.parametrize("replayed", [False, True], ids=["state", "replay"])
+def test_t4_equals_the_batch(spark, tmp_path, replayed):
     model = fx.model(spark, rows=[])
     signals = fx.signals_in(spark)
-    feed = Feed(spark, tmp_path, SIGNALS_IN_SCHEMA, lambda s: apply_signals_stream(s, model),
-                "append")
+    feed = SignalFeed(spark, tmp_path, model, replayed)
     for part in thirds(signals, "event_id"):
         feed.push(part)
     columns = ["event_id", "unit_id", "initial_state_id", "final_state_id", "signal_id", "ts"]
@@ -97,11 +125,11 @@ def test_t4_equals_the_batch(spark, tmp_path):
     assert got == sorted(fx.rows_of(batch)) and len(got) == 76
 
 
-def test_t4_late_rejected_and_known_units(spark, tmp_path):
+@pytest.mark.parametrize("replayed", [False, True], ids=["state", "replay"])
+def test_t4_late_rejected_and_known_units(spark, tmp_path, replayed):
     # unit 3 of the scenario stands in ``parts missing``
     model = fx.model(spark)
-    feed = Feed(spark, tmp_path, SIGNALS_IN_SCHEMA, lambda s: apply_signals_stream(s, model),
-                "append")
+    feed = SignalFeed(spark, tmp_path, model, replayed)
     at = [fx.AS_OF + timedelta(seconds=n) for n in range(5)]
     feed.push([(101, 3, "parts picked ok", None, at[1]), (102, 3, "dispatch", None, at[2]),
                (103, 70, "customer call", None, at[1])])
