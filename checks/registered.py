@@ -52,6 +52,16 @@ SLA_HOURS = 6
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def session(spark: SparkSession) -> SparkSession:
+    """Runtime settings; a local session gets a partition per core instead of Spark's 200."""
+    configure(spark)
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", min(now, context.defaultParallelism))
+    return spark
+
+
 def plain(df: DataFrame, digits: int = 8) -> DataFrame:
     """Times without zone, fractions rounded."""
     return df.select(*[
@@ -62,12 +72,12 @@ def plain(df: DataFrame, digits: int = 8) -> DataFrame:
 
 
 def mapped(query: Callable[[StateModel], DataFrame], digits: int = 8) -> Query:
-    return lambda spark, sf_dir: plain(query(mapped_model(configure(spark), sf_dir)), digits)
+    return lambda spark, sf_dir: plain(query(mapped_model(session(spark), sf_dir)), digits)
 
 
 def raw(query: Callable[[StateModel, DataFrame], DataFrame]) -> Query:
     def run(spark, sf_dir):
-        model = raw_model(configure(spark), sf_dir)
+        model = raw_model(session(spark), sf_dir)
         return plain(query(model, raw_signals(spark, sf_dir)))
 
     return run
@@ -115,7 +125,7 @@ def zero_filled(model):
 
 def created_units(spark, sf_dir):
     """Every order becomes a unit, behind the units and log rows there are."""
-    model = mapped_model(configure(spark), sf_dir)
+    model = mapped_model(session(spark), sf_dir)
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("seq"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("unit_name"),
@@ -126,7 +136,7 @@ def created_units(spark, sf_dir):
 
 def terminal(spark, sf_dir):
     """Terminal states of the graph that the replayed events show."""
-    model = raw_model(configure(spark), sf_dir)
+    model = raw_model(session(spark), sf_dir)
     log, _ = st.apply_signals(model, raw_signals(spark, sf_dir))
     seen = StateModel(model.state, model.signal, st.observed_transitions(log), model.unit, log)
     return st.terminal_states(seen)
@@ -143,7 +153,7 @@ def resolved(model):
 
 def upserted(spark, sf_dir):
     """Customers without events are added to those that have some."""
-    units = customers(configure(spark), sf_dir)
+    units = customers(session(spark), sf_dir)
     active = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
     return upsert_missing(units.join(active, "id", "left_semi"),
                           units.withColumn("unit_details", F.lit("NEW")), ["id"])
@@ -151,7 +161,7 @@ def upserted(spark, sf_dir):
 
 def integrity(spark, sf_dir):
     """The log against the suppliers as units, and a state table with two initial states."""
-    model = mapped_model(configure(spark), sf_dir)
+    model = mapped_model(session(spark), sf_dir)
     units = read_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("unit_name"),
         F.lit("{}").alias("unit_details"))
@@ -187,7 +197,7 @@ def log_stream(spark, sf_dir, path):
 
 def streamed(job, keys, mode="update", finish=lambda df: df) -> Query:
     def run(spark, sf_dir):
-        configure(spark)
+        session(spark)
         source, out, checkpoint = folders(spark)
         model = mapped_model(spark, sf_dir)
         stream = job(log_stream(spark, sf_dir, source), model)
@@ -218,7 +228,7 @@ def streamed_signals(spark, sf_dir):
     Files are taken in the order they were written. Where that is not the order of time,
     ``replayed_signals`` is the job to use.
     """
-    configure(spark)
+    session(spark)
     _, out, checkpoint = folders(spark)
     stream = apply_signals_stream(signal_stream(spark, sf_dir, maxBytesPerTrigger=1 << 30),
                                   raw_model(spark, sf_dir))
@@ -228,7 +238,7 @@ def streamed_signals(spark, sf_dir):
 
 def replayed_signals(spark, sf_dir):
     """All files at once; large units are replayed in pieces."""
-    configure(spark)
+    session(spark)
     _, out, checkpoint = folders(spark)
     replay_batches(signal_stream(spark, sf_dir), raw_model(spark, sf_dir), out, checkpoint,
                    availableNow=True).awaitTermination()

@@ -74,22 +74,26 @@ def mapped_log(spark: SparkSession, sf_dir: str, rows_per_task: int | None = Non
         "unit_id", "ts", "event_id", "signal",
         (F.get_json_object("payload", "$.k").cast("int") % 10).alias("k"))
     events = trail(rows, tie="event_id", rows_per_task=rows_per_task)
-    leads = F.broadcast(literal_table(  # five rows
-        spark, [(event, n, state) for n, (event, _, state) in enumerate(SIGNALS, 1)],
-        "signal string, signal_id bigint, leads_to bigint"))
+    ordered = events.with_rank("place").with_previous(last_signal="signal").rows
+
+    def lookup(values, key):
+        entries = [F.lit(v) for pair in values for v in pair]
+        return F.create_map(*entries)[F.col(key)].cast("bigint")
+
+    ids = [(event, n) for n, (event, _, _) in enumerate(SIGNALS, 1)]
+    targets = [(event, state) for event, _, state in SIGNALS]
+    neutral = F.lit(NEUTRAL).cast("bigint")
     payloads = F.array(F.lit("{}"), *[F.lit('{"tech": "T%d"}' % k) for k in range(1, 10)])
-    ordered = events.with_previous(previous_id="event_id").rows.join(leads, "signal")
-    first = F.col("previous_id").isNull()
-    steps = ordered.select(
+    mapped = ordered.select(
         *events.group, F.col("event_id").alias("log_id"), "ts",
         F.element_at(payloads, F.col("k") + 1).alias("payload"),
-        F.when(~first, F.col("signal_id")).alias("signal_id"),
-        F.when(first, F.lit(NEUTRAL).cast("bigint")).otherwise(F.col("leads_to"))
-        .alias("final_state_id"))
-    log = Trail(steps, "unit_id", "ts", "log_id", events.piece)
-    chained = log.with_previous(before="final_state_id")
-    return chained.on(chained.rows.withColumn(
-        "initial_state_id", F.coalesce("before", F.lit(NEUTRAL).cast("bigint"))).drop("before"))
+        F.when(F.col("place") > 1, lookup(ids, "signal")).alias("signal_id"),
+        F.when(F.col("place") == 1, neutral).otherwise(lookup(targets, "signal"))
+        .alias("final_state_id"),
+        # a unit's second row starts where its creation has left it
+        F.when(F.col("place") <= 2, neutral).otherwise(lookup(targets, "last_signal"))
+        .alias("initial_state_id"))
+    return Trail(mapped, "unit_id", "ts", "log_id", events.piece)
 
 
 def mapped_model(spark: SparkSession, sf_dir: str,
