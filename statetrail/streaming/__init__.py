@@ -6,10 +6,11 @@ from .jobs import (
     throughput_stream,
 )
 from .replay import OUTCOME_SCHEMA, replay_batches
-from .sink import last_updates, run_available, write_updates
+from .sink import append_log_stream, last_updates, run_available, write_updates
 
 __all__ = [
     "OUTCOME_SCHEMA",
+    "append_log_stream",
     "apply_signals_stream",
     "current_state_stream",
     "hourly_partials_stream",

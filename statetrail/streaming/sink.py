@@ -24,6 +24,13 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def append_log_stream(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append a stream of log rows to a table laid out as by ``sources.append_log``."""
+    writer = (rows.withColumn("day", F.to_date("ts")).writeStream.format("parquet")
+              .partitionBy("day").option("checkpointLocation", checkpoint))
+    return (writer.trigger(**trigger) if trigger else writer).start(path)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
     """Work off what is there and stop."""
     write_updates(stream, path, checkpoint, mode, availableNow=True).awaitTermination()

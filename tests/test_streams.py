@@ -7,8 +7,10 @@ import pytest
 import statetrail as st
 from pyspark.sql import functions as F
 from statetrail.model import LOG_SCHEMA, SIGNALS_IN_SCHEMA
+from statetrail.sources import read_log
 from statetrail.streaming import (
     OUTCOME_SCHEMA,
+    append_log_stream,
     apply_signals_stream,
     current_state_stream,
     hourly_partials_stream,
@@ -166,6 +168,16 @@ def test_t5_one_alert_per_stay(spark, tmp_path):
         (1, "assigned"), (1, "parts missing")]
 
 
+def test_log_stream_is_appended_by_day(spark, tmp_path):
+    model = fx.model(spark)
+    model.log.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(LOG_SCHEMA).parquet(f"{tmp_path}/in")
+    append_log_stream(stream, f"{tmp_path}/log", f"{tmp_path}/checkpoint",
+                      availableNow=True).awaitTermination()
+    stored = read_log(spark, f"{tmp_path}/log")
+    assert stored.count() == 92 and stored.filter("day = DATE '2025-01-08'").count() == 7
+
+
 def test_streams_check_their_arguments(spark):
     model = fx.model(spark)
     with pytest.raises(ValueError):
