@@ -24,6 +24,8 @@ UNIT_SCHEMA = "id bigint NOT NULL, unit_name string NOT NULL, unit_details strin
 LOG_SCHEMA = ("log_id bigint NOT NULL, unit_id bigint NOT NULL, "
               "initial_state_id bigint NOT NULL, final_state_id bigint NOT NULL, "
               "payload string, signal_id bigint, ts timestamp NOT NULL")
+# the log as stored; its key is called ``log_id`` once it is loaded
+STORED_LOG_SCHEMA = "id" + LOG_SCHEMA.removeprefix("log_id")
 SIGNALS_IN_SCHEMA = ("event_id bigint, unit_id bigint, signal string, payload string, "
                      "ts timestamp")
 

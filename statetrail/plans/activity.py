@@ -10,10 +10,7 @@ from ..functions.bounds import whole_number
 from ..functions.payload import technician
 from ..functions.times import day_of, day_range, hour_of, hour_range
 from ..model import StateModel
-
-
-def _between(log: DataFrame, since, until) -> DataFrame:
-    return log.filter((F.col("ts") >= since) & (F.col("ts") < until))
+from ..operators.ranges import in_range
 
 
 def _signalled(log: DataFrame) -> DataFrame:
@@ -28,7 +25,7 @@ def throughput(model: StateModel, *, as_of=None, days: int | None = 30) -> DataF
     """Finished, failed and all signals per day; ``days=None`` takes the whole log."""
     log = _signalled(model.log)
     if days is not None:
-        log = _between(log, *day_range(as_of, whole_number("days", days, 1, 365)))
+        log = in_range(log, *day_range(as_of, whole_number("days", days, 1, 365)))
     counted = log.groupBy(day_of("ts").alias("day"), "signal_id").agg(F.count("*").alias("n"))
 
     def total(name):
@@ -58,7 +55,7 @@ def daily_activity(model: StateModel, *, as_of=None, days: int | None = 7) -> Da
     """Rows and distinct units per day and signal; ``days=None`` takes the whole log."""
     log = _signalled(model.log)
     if days is not None:
-        log = _between(log, *day_range(as_of, whole_number("days", days, 1, 365)))
+        log = in_range(log, *day_range(as_of, whole_number("days", days, 1, 365)))
     counted = (log.groupBy(day_of("ts").alias("day"), "signal_id")
                .agg(F.count("*").alias("activity_count"),
                     F.count_distinct("unit_id").alias("unique_units")))
@@ -71,7 +68,7 @@ def hourly_activity(model: StateModel, *, as_of=None, hours: int | None = 24) ->
     """Rows, units and technicians per hour, creations included; ``hours=None``: whole log."""
     log = model.log
     if hours is not None:
-        log = _between(log, *hour_range(as_of, whole_number("hours", hours, 1, 168)))
+        log = in_range(log, *hour_range(as_of, whole_number("hours", hours, 1, 168)))
     # One pass to (hour, unit, technician): the two distinct counts would otherwise expand
     # every log row into three.
     met = (log.groupBy(hour_of("ts").alias("hour"), "unit_id",

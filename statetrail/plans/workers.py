@@ -10,6 +10,7 @@ from ..functions.bounds import whole_number
 from ..functions.payload import technician
 from ..functions.times import MINUTE, days_before, micros_between
 from ..model import StateModel
+from ..operators.ranges import in_range
 
 
 def _actions(model: StateModel) -> DataFrame:
@@ -71,7 +72,7 @@ def worker_history(model: StateModel, worker: str, *, as_of=None, days: int = 30
                    limit: int = 100) -> DataFrame:
     """The latest ``limit`` signals of a technician within ``days``."""
     since = days_before(as_of, whole_number("days", days, 1, 365))
-    own = model.log.filter((F.col("ts") >= since) & (technician(default=None) == worker))
+    own = in_range(model.log, since).filter(technician(default=None) == worker)
     before = model.states.withColumnsRenamed({"id": "initial_state_id",
                                               "state_name": "from_state"})
     after = model.states.withColumnsRenamed({"id": "final_state_id", "state_name": "to_state"})

@@ -8,27 +8,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import (
-    LOG_SCHEMA,
     SIGNAL_SCHEMA,
     STATE_SCHEMA,
+    STORED_LOG_SCHEMA,
     TRANSITION_SCHEMA,
     UNIT_SCHEMA,
     StateModel,
 )
-from ..operators.lookup import small
+from ..operators.lookup import LOOKUP_ROWS, small
 
 TABLES = {
     "state": STATE_SCHEMA,
     "signal": SIGNAL_SCHEMA,
     "transition": TRANSITION_SCHEMA,
     "sm_unit": UNIT_SCHEMA,
-    "sm_log": LOG_SCHEMA,
+    "sm_log": STORED_LOG_SCHEMA,
 }
 
 
 def load_model(spark: SparkSession, path: str, fmt: str = "parquet",
                rows_per_task: int | None = None) -> StateModel:
-    """Read the five tables from folders below ``path``; schemas are fixed, none is inferred."""
+    """Read the five tables from folders below ``path``; schemas are fixed, none is inferred.
+
+    A log laid out by :func:`append_log` brings its ``day`` along, which prunes files wherever a
+    query has a time range.
+    """
     tables = {}
     for name, schema in TABLES.items():
         reader = spark.read.format(fmt).schema(schema)
@@ -36,6 +40,7 @@ def load_model(spark: SparkSession, path: str, fmt: str = "parquet",
             # JSON columns: double quotes inside a field are doubled
             reader = reader.option("header", True).option("escape", '"')
         tables[name] = reader.load(f"{path}/{name}")
+    tables["sm_log"] = tables["sm_log"].withColumnRenamed("id", "log_id")
     return StateModel(*tables.values(), rows_per_task=rows_per_task)
 
 
@@ -67,15 +72,20 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+def stored_log(rows: DataFrame) -> DataFrame:
+    """Log rows in the stored layout: key ``id``, and the UTC day to partition by."""
+    return rows.withColumnRenamed("log_id", "id").withColumn("day", F.to_date("ts"))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Append log rows to a table partitioned by day, so that time filters prune files."""
-    (rows.withColumn("day", F.to_date("ts"))
-     .write.mode("append").partitionBy("day").parquet(path))
+    stored_log(rows).write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Read what :func:`append_log` wrote; ``day`` stays available as a pruning filter."""
-    return spark.read.schema(f"{LOG_SCHEMA}, day date").parquet(path)
+    """Read what :func:`append_log` wrote."""
+    return (spark.read.schema(f"{STORED_LOG_SCHEMA}, day date").parquet(path)
+            .withColumnRenamed("id", "log_id"))
 
 
 def upsert_missing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,7 +134,8 @@ def resolve_transitions(edges: DataFrame, state: DataFrame,
 def purge_units(unit: DataFrame, log: DataFrame,
                 ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop the units in ``ids`` (column ``unit_id``) together with their log rows."""
-    gone = ids.select("unit_id").distinct()
+    # a checked number of ids spares the log its shuffle
+    gone = small(ids.select("unit_id").distinct(), 10 * LOOKUP_ROWS)
     kept = unit.join(gone, unit["id"] == gone["unit_id"], "left_anti")
     return kept, log.join(gone, "unit_id", "left_anti").select(*log.columns)
 

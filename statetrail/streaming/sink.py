@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.tables import stored_log
+
 
 def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update",
                   **trigger) -> StreamingQuery:
@@ -26,7 +28,7 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
 
 def append_log_stream(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream of log rows to a table laid out as by ``sources.append_log``."""
-    writer = (rows.withColumn("day", F.to_date("ts")).writeStream.format("parquet")
+    writer = (stored_log(rows).writeStream.format("parquet")
               .partitionBy("day").option("checkpointLocation", checkpoint))
     return (writer.trigger(**trigger) if trigger else writer).start(path)
 

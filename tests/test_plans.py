@@ -5,7 +5,7 @@ import re
 import fixture as fx
 import pytest
 import statetrail as st
-from statetrail.sources import load_model
+from statetrail.sources import append_log, load_model
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,10 @@ def stored(spark, tmp_path_factory):
     for name, table in (("state", model.state), ("signal", model.signal),
                         ("transition", model.transition), ("sm_unit", model.unit),
                         ("sm_log", model.log)):
-        table.write.parquet(f"{path}/{name}")
+        if name == "sm_log":
+            append_log(table, f"{path}/{name}")
+        else:
+            table.write.parquet(f"{path}/{name}")
     return load_model(spark, path)
 
 
@@ -69,7 +72,8 @@ def test_time_range_reaches_the_files(stored):
     for query in (st.throughput(stored, as_of=fx.AS_OF),
                   st.hourly_activity(stored, as_of=fx.AS_OF),
                   st.worker_history(stored, "a", as_of=fx.AS_OF)):
-        assert "GreaterThanOrEqual(ts" in log_reads(plan(query))[0]
+        read = log_reads(plan(query))[0]
+        assert "GreaterThanOrEqual(ts" in read and re.search(r"PartitionFilters: \[[^]]*day", read)
 
 
 def test_unit_filter_passes_the_window(stored):

@@ -27,7 +27,7 @@ def test_load_model(spark, tmp_path, fmt):
     model = fx.model(spark)
     for name, table in (("state", model.state), ("signal", model.signal),
                         ("transition", model.transition), ("sm_unit", model.unit),
-                        ("sm_log", model.log)):
+                        ("sm_log", model.log.withColumnRenamed("log_id", "id"))):
         writer = table.write.format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"')
@@ -60,6 +60,20 @@ def test_log_is_appended_by_day_and_pruned(spark, tmp_path):
     assert "GreaterThanOrEqual(ts" in timed._jdf.queryExecution().executedPlan().toString()
 
 
+def test_model_with_a_log_by_day(spark, tmp_path):
+    model = fx.model(spark)
+    for name in ("state", "signal", "transition"):
+        getattr(model, name).write.parquet(f"{tmp_path}/{name}")
+    model.unit.write.parquet(f"{tmp_path}/sm_unit")
+    append_log(model.log, f"{tmp_path}/sm_log")
+    loaded = load_model(spark, str(tmp_path))
+    for query in (st.current_units, st.worker_performance, st.audit_log):
+        assert sorted(map(str, query(loaded).collect())) == sorted(
+            map(str, query(model).collect()))
+    for query in (st.throughput, st.daily_activity, st.hourly_activity):
+        assert query(loaded, as_of=fx.AS_OF).collect() == query(model, as_of=fx.AS_OF).collect()
+
+
 def test_upsert_missing(spark):
     target = spark.createDataFrame([("a", 1)], "name string, v int")
     rows = spark.createDataFrame([("a", 9), ("b", 3), ("b", 2), ("c", None)],
