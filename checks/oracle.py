@@ -258,6 +258,9 @@ FROM waits ORDER BY avg_hours_in_state DESC, state_name LIMIT 5""",
 SELECT technician, CAST(sum(cnt) OVER (PARTITION BY technician) AS BIGINT) AS total_tasks,
        state, cnt, avg_time_in_state_minutes AS avg_time
 FROM board""",
+        "c03_technician_columns": LOG + "SELECT technician, " + ", ".join(
+            f"""CAST(coalesce(sum(cnt) FILTER (WHERE state = '{name}'), 0) AS BIGINT) AS "{name}\""""
+            for name, _, _ in STATES) + " FROM board GROUP BY technician",
         "c04_unit_classes": LOG + f"""
 SELECT unit_id, current_state, {unit_class} AS unit_class FROM current_units""",
         "c05_process_board": LOG + f""",
@@ -347,6 +350,11 @@ WHERE signal_id IS NOT NULL AND out_state <> final_state_id
 UNION ALL SELECT log_id, 'chain_break' FROM joined WHERE rn > 1 AND last <> initial_state_id
 UNION ALL SELECT log_id, 'first_row_not_creation' FROM joined
 WHERE rn = 1 AND signal_id IS NOT NULL""",
+        "l1_load_model": LOG + CURRENT + " FROM current_units",
+        "l2_json_rows": LOG + """
+SELECT CAST(to_json({'unit_id': unit_id, 'unit_name': unit_name, 'current_state': current_state,
+                     'technician': technician}) AS VARCHAR) AS value
+FROM current_units""",
         "l3_upsert_missing": """
 SELECT c_custkey AS id, c_name AS unit_name,
        CASE WHEN c_custkey IN (SELECT user_id FROM events) THEN c_mktsegment ELSE 'NEW' END
@@ -355,6 +363,10 @@ FROM customer""",
         "l4_resolve_transitions": LOG + """
 SELECT DISTINCT signal_id, initial_state_id AS in_state_id, final_state_id AS out_state_id
 FROM log WHERE signal_id IS NOT NULL""",
+        "l5_append_log": LOG + """
+SELECT log_id, unit_id, initial_state_id, final_state_id, payload, signal_id, ts,
+       CAST(ts AS DATE) AS day
+FROM log""",
         "l6_shift_time": SHIFTED + """
 SELECT log_id, unit_id, ts, coalesce(tech, 'Unassigned') AS technician FROM shifted""",
         "l7_integrity": LOG + """
@@ -369,6 +381,9 @@ UNION ALL SELECT 'single_initial', 'state', 'is_initial', 2""",
         "l8_purge_units": LOG + """
 SELECT log_id, unit_id, ts FROM log WHERE unit_id NOT IN
   (SELECT unit_id FROM current_units WHERE current_state = 'end of service')""",
+        "l8_deletable": """
+SELECT c_custkey AS id, c_name AS unit_name, c_mktsegment AS unit_details
+FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
         "t1_current_state": LOG + """
 SELECT unit_id, log_id, ts, final_state_id, payload FROM latest""",
         "t2_throughput": LOG + """

@@ -17,8 +17,13 @@ from statetrail.model import LOG_SCHEMA, StateModel, signal_table, state_table
 from statetrail.operators import latest_per_unit
 from statetrail.session import configure, shared_dir
 from statetrail.sources import (
+    append_log,
+    deletable,
+    load_model,
     purge_units,
+    read_log,
     resolve_transitions,
+    to_json_rows,
     update_where,
     upsert_missing,
     validate_model,
@@ -48,6 +53,8 @@ from statetrail.streaming import (
 AS_OF = "2024-01-31 00:00:00"
 WORKER = "T3"
 SLA_HOURS = 6
+LOG_COLUMNS = ["log_id", "unit_id", "initial_state_id", "final_state_id", "payload",
+               "signal_id", "ts"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,15 +95,13 @@ def moved_back(model: StateModel) -> StateModel:
     failed = F.col("final_state_id") == 6
     log = update_where(model.log, failed, {"ts": F.col("ts") - F.expr("INTERVAL 2 DAYS")})
     return StateModel(model.state, model.signal, model.transition, model.unit,
-                      log.select("log_id", "unit_id", "initial_state_id", "final_state_id",
-                                 "payload", "signal_id", "ts"), model.rows_per_task)
+                      log.select(*LOG_COLUMNS), model.rows_per_task)
 
 
 # Where a query is about building blocks only, it is spelled out here.
 
 def latest(model):
-    return latest_per_unit(model.log).select(
-        "log_id", "unit_id", "initial_state_id", "final_state_id", "payload", "signal_id", "ts")
+    return latest_per_unit(model.log).select(*LOG_COLUMNS)
 
 
 def previous_event(model):
@@ -176,6 +181,37 @@ def purged(model):
     return purge_units(model.unit, model.log, done)[1].select("log_id", "unit_id", "ts")
 
 
+def json_rows(model):
+    return to_json_rows(st.units_now(model).select(
+        "unit_id", "unit_name", "current_state", "technician"))
+
+
+def unused_customers(model):
+    return deletable(model.unit, [(model.log, "unit_id")])
+
+
+def wide_board(model):
+    return st.technician_columns(model, [name for name, _, _ in STATES], as_of=AS_OF)
+
+
+def appended(spark, sf_dir):
+    """The log written by day and read back."""
+    path, _, _ = folders(session(spark))
+    append_log(mapped_log(spark, sf_dir).rows.select(*LOG_COLUMNS), path)
+    return plain(read_log(spark, path))
+
+
+def loaded(spark, sf_dir):
+    """Where every unit is, from stored tables; the log is laid out by day."""
+    path, _, _ = folders(session(spark))
+    model = mapped_model(spark, sf_dir)
+    for name, table in (("state", model.state), ("signal", model.signal),
+                        ("transition", model.transition), ("sm_unit", model.unit)):
+        table.write.parquet(f"{path}/{name}")
+    append_log(model.log.select(*LOG_COLUMNS), f"{path}/sm_log")
+    return plain(st.current_units(load_model(spark, path)))
+
+
 def status(model):
     """Asked for every customer, most of which have no log."""
     return st.unit_status(model, model.unit.select(F.col("id").alias("unit_id")))
@@ -189,9 +225,7 @@ def folders(spark):
 
 
 def log_stream(spark, sf_dir, path):
-    columns = ["log_id", "unit_id", "initial_state_id", "final_state_id", "payload",
-               "signal_id", "ts"]
-    mapped_log(spark, sf_dir).rows.select(*columns).write.parquet(path)
+    mapped_log(spark, sf_dir).rows.select(*LOG_COLUMNS).write.parquet(path)
     return spark.readStream.schema(LOG_SCHEMA).parquet(path)
 
 
@@ -276,6 +310,7 @@ def queries() -> dict[str, Query]:
         "c02_bottleneck_bands": mapped(
             lambda m: st.bottleneck_bands(m, as_of=AS_OF, top=5), 10),
         "c03_technician_pivot": mapped(pivoted),
+        "c03_technician_columns": mapped(wide_board),
         "c04_unit_classes": mapped(lambda m: st.unit_classes(m).select(
             "unit_id", "current_state", "unit_class")),
         "c05_process_board": mapped(lambda m: st.process_board(m, as_of=AS_OF)),
@@ -292,12 +327,16 @@ def queries() -> dict[str, Query]:
         "m4_unit_status": mapped(status),
         "m5_terminal_states": terminal,
         "m6_audit_log": mapped(lambda m: st.audit_log(moved_back(m))),
+        "l1_load_model": loaded,
+        "l2_json_rows": mapped(json_rows),
         "l3_upsert_missing": upserted,
         "l4_resolve_transitions": mapped(resolved),
+        "l5_append_log": appended,
         "l6_shift_time": mapped(lambda m: moved_back(m).log.select(
             "log_id", "unit_id", "ts", technician().alias("technician"))),
         "l7_integrity": integrity,
         "l8_purge_units": mapped(purged),
+        "l8_deletable": mapped(unused_customers),
         "t1_current_state": streamed(lambda log, m: current_state_stream(log), ["unit_id"]),
         "t2_throughput": streamed(throughput_stream, ["day"]),
         "t3_hourly_activity": streamed(

@@ -38,7 +38,8 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
     write_updates(stream, path, checkpoint, mode, availableNow=True).awaitTermination()
 
 
-def last_updates(spark: SparkSession, path: str, schema, keys: list[str] | None = None) -> DataFrame:
+def last_updates(spark: SparkSession, path: str, schema,
+                 keys: list[str] | None = None) -> DataFrame:
     """The written rows; with ``keys``, only the newest update of each key."""
     rows = spark.read.option("basePath", path).schema(
         spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("long")).schema

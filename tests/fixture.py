@@ -3,7 +3,13 @@
 from datetime import datetime, timedelta, timezone
 
 from statetrail.fixed_values import EDGES, SIGNALS, STATES
-from statetrail.model import LOG_SCHEMA, SIGNALS_IN_SCHEMA, UNIT_SCHEMA, StateModel, seeded_dimensions
+from statetrail.model import (
+    LOG_SCHEMA,
+    SIGNALS_IN_SCHEMA,
+    UNIT_SCHEMA,
+    StateModel,
+    seeded_dimensions,
+)
 
 UTC = timezone.utc
 START = datetime(2025, 1, 10, 12, 0, 0, tzinfo=UTC)

@@ -31,7 +31,8 @@ def log_reads(text):
 
 
 def shuffles(text):
-    return re.findall(r"Exchange (hashpartitioning\([^)]*\)|rangepartitioning|SinglePartition)", text)
+    kinds = r"hashpartitioning\([^)]*\)|rangepartitioning|SinglePartition"
+    return re.findall(f"Exchange ({kinds})", text)
 
 
 @pytest.mark.parametrize("query", [
