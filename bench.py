@@ -30,6 +30,7 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]", spark_sql_shuffle_partitions=cpus, spark_ui_enabled="false",
         spark_ui_showConsoleProgress="false", spark_driver_memory="8g",
+        spark_sql_codegen_cache_maxEntries="1000",
         # a laptop-sized table still uses all cores
         spark_sql_adaptive_coalescePartitions_minPartitionSize="128k")
     spark.sparkContext.setLogLevel("ERROR")
