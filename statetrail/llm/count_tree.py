@@ -10,25 +10,34 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-GROUPS = 128
+#: Groups of a tree's points, and most groups of a single point; powers of two.
+GROUPS, MOST_GROUPS = 128, 1 << 16
 #: Points of a leaf, and children of an inner box.
 FANOUT = 16
-_TOP = np.iinfo(np.uint16).max
+#: Stands for any count from there on.
+_OPEN, _TOP = np.iinfo(np.uint8).max, np.iinfo(np.uint16).max
 
 
 def point(tokens: np.ndarray) -> bytes:
-    """Counts by group; 65535 stands for any number from there on."""
-    counts = np.bincount((tokens % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, _TOP).astype(np.uint16).tobytes()
+    """Counts by group; about as many groups as tokens, so that a large set's bound is as tight."""
+    groups = min(max(GROUPS, 1 << (len(tokens) - 1).bit_length()), MOST_GROUPS)
+    counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, _OPEN).astype(np.uint8).tobytes()
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Fewer groups: those that are alike in the lower bits, added up."""
+    parts = counts.reshape(-1, groups)
+    total = np.minimum(parts.sum(axis=0, dtype=np.int64), _TOP)
+    return np.where((parts == _OPEN).any(axis=0), _TOP, total).astype(np.uint16)
 
 
 def matrix(points) -> np.ndarray:
-    points = points.combine_chunks() if isinstance(points, pa.ChunkedArray) else points
-    if not len(points):
-        return np.zeros((0, GROUPS), np.uint16)
-    start = np.frombuffer(points.buffers()[1], np.int32)[points.offset]
-    data = np.frombuffer(points.buffers()[2], np.uint8)[start:start + 2 * GROUPS * len(points)]
-    return np.frombuffer(data.tobytes(), np.uint16).reshape(len(points), GROUPS)
+    """Points with GROUPS groups each."""
+    out = np.zeros((len(points), GROUPS), np.uint16)
+    for i, data in enumerate(points.to_pylist()):
+        out[i] = _folded(np.frombuffer(data, np.uint8), GROUPS)
+    return out
 
 
 def minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -38,7 +47,13 @@ def minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def overlap_bound(a: pa.Array, b: pa.Array) -> np.ndarray:
-    return minima(matrix(a), matrix(b))
+    """Of each pair the bound with the groups of the coarser point."""
+    out = np.zeros(len(a), np.int64)
+    for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+        groups = min(len(x), len(y))
+        out[i] = minima(_folded(np.frombuffer(x, np.uint8), groups),
+                        _folded(np.frombuffer(y, np.uint8), groups))
+    return out
 
 
 class CountTree:

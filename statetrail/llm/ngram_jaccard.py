@@ -9,9 +9,9 @@ shingles. Equal sets are one *node*. How all links between different sets are fo
 2. Linked sets share a token among the first n - ceil(percent * n / 100) + 1 of either. These
    meet in *buckets*, one for each token. Buckets are reduced to least and greatest node before
    the shuffle; only those that hold two different nodes go on.
-3. Each node of such a bucket is a point: the counts of its tokens in GROUPS groups. The overlap
-   of two sets is at most the sum of coordinate minima, of a set and a box at most that of the
-   point and the box's upper corner.
+3. Each node is a point: the counts of its tokens in groups. The overlap of two sets is at most
+   the sum of coordinate minima, of a set and a box at most that of the point and the box's
+   upper corner.
 4. A bucket's members are compared with one of them, its pivot (a node with many shared
    tokens), so that a large group of near copies is tied together by as many pairs as members.
 5. What is left are pairs of different components in one bucket, neither being its pivot. Buckets
@@ -35,7 +35,7 @@ from .words import shingle_sets
 
 SIZE, PERCENT = 5, 75
 #: Groups that tokens are counted in to order them, a power of two.
-CELLS = 1 << 16
+CELLS = 1 << 18
 #: Rows of a work unit, on either side.
 PROBES, MEMBERS = 512, 4096
 
@@ -52,9 +52,9 @@ def group_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
             for found in shingle_sets(batch.column(0), size):
                 np.add.at(total, _cell(found), 1)
         used = np.flatnonzero(total)
-        yield pa.record_batch({"cell": used, "n": total[used]})
+        yield pa.record_batch({"cell": used.astype(np.int32), "n": total[used]})
 
-    rows = (docs.select("text").mapInArrow(count, "cell long, n long")
+    rows = (docs.select("text").mapInArrow(count, "cell int, n long")
             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
     out = np.zeros(CELLS, np.int64)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
@@ -62,9 +62,10 @@ def group_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
 
 def token_classes(counts: np.ndarray) -> np.ndarray:
-    """Magnitude of each group against the mean; groups up to twice the mean are alike."""
+    """0 for the groups that chance explains; above, the magnitude of what is in excess."""
     mean = max(1.0, counts.sum() / len(counts))
-    return np.maximum(0, np.log2(np.maximum(counts, 1) / mean)).astype(np.uint8)
+    excess = np.maximum(1.0, (counts - mean) / (4 * np.sqrt(mean)))
+    return np.minimum(250, 2 * np.log2(excess)).astype(np.uint8)
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -74,14 +75,18 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def document_nodes(docs: DataFrame, classes, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node and the tokens that candidates are found by; null node if empty."""
+    """doc_id, n_shingles, node, its point and the tokens that candidates are found by.
+
+    An empty set has a null node.
+    """
     def sets(batches):
         order = classes.value
         for batch in batches:
-            n, nodes, firsts = [], [], []
+            n, nodes, points, firsts = [], [], [], []
             for tokens in shingle_sets(batch.column("text"), size):
                 n.append(len(tokens))
                 nodes.append(_node(tokens) if len(tokens) else None)
+                points.append(point(tokens) if len(tokens) else None)
                 needed = len(tokens) + (-percent * len(tokens)) // 100 + 1 if len(tokens) else 0
                 kind = order[_cell(tokens)]
                 by = np.argsort(kind, kind="stable") if kind.any() else slice(None)
@@ -89,55 +94,54 @@ def document_nodes(docs: DataFrame, classes, size: int, percent: int) -> DataFra
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()),
-                "node": pa.array(nodes, pa.int64()),
+                "node": pa.array(nodes, pa.int64()), "point": pa.array(points, pa.binary()),
                 "firsts": pa.ListArray.from_arrays(ends, np.concatenate([*firsts, np.zeros(0, np.int64)]))})
 
     return docs.select("doc_id", "text").mapInArrow(
-        sets, "doc_id long, n_shingles long, node long, firsts array<long>")
+        sets, "doc_id long, n_shingles long, node long, point binary, firsts array<long>")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, n, point and full sorted set of the wanted nodes (doc_id, node)."""
+    """The full sorted sets of the wanted nodes (doc_id, node)."""
     def sets(batches):
         for batch in batches:
             out = [(node, tokens) for node, tokens in
                    zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), size))
                    if len(tokens) and _node(tokens) == node]
             ends = np.cumsum([0, *(len(t) for _, t in out)], dtype=np.int32)
-            yield pa.record_batch({
-                "node": pa.array([k for k, _ in out], pa.int64()),
-                "n": pa.array([len(t) for _, t in out], pa.int64()),
-                "point": pa.array([point(t) for _, t in out], pa.binary()),
-                "tokens": pa.ListArray.from_arrays(
-                    ends, np.concatenate([*(t for _, t in out), np.zeros(0, np.uint64)]).view(np.int64))})
+            flat = np.concatenate([*(t for _, t in out), np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.record_batch({"node": pa.array([k for k, _ in out], pa.int64()),
+                                   "tokens": pa.ListArray.from_arrays(ends, flat)})
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     return (texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-            .mapInArrow(sets, "node long, n long, point binary, tokens array<long>"))
+            .mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, store: Store) -> DataFrame:
-    """The pairs (a, b) that are links: first by the points, then by the sets."""
+def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, percent: int,
+              store: Store) -> DataFrame:
+    """The pairs (a, b) that are links: first by the points, then by the full sets."""
     def bounded(batches):
         for batch in batches:
-            keep = overlap_bound(batch.column("pa"), batch.column("pb"))
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            batch = batch.filter(pa.array((100 + percent) * keep >= percent * (na + nb)))
-            yield batch.select(["a", "b"])
+            most = overlap_bound(batch.column("pa"), batch.column("pb"))
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.filter(pa.array((100 + percent) * most >= percent * n)).select(["a", "b"])
 
-    side = sets.select("node", "n", "point")
+    side = points.select("node", "n", "point")
     alike = (pairs.join(side.toDF("a", "na", "pa"), "a").join(side.toDF("b", "nb", "pb"), "b")
              .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     alike = store.keep(alike.select("a", "b", "na", "nb", "pa", "pb")
                        .mapInArrow(bounded, "a long, b long"))
-    side = sets.select("node", "tokens")
+    needed = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = store.keep(points.select("node", "doc_id").join(needed, "node"))
+    side = store.keep(node_sets(docs, small(wanted), size))
     both = F.size(F.array_intersect("ta", "tb"))
     full = alike.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b")
     return store.keep(full.filter(100 * both >= percent * (F.size("ta") + F.size("tb") - both))
                       .select("a", "b"))
 
 
-def _units(shared: DataFrame, pivots: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _units(shared: DataFrame, pivots: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     """Buckets with several components, cut into units; side 1 searches the members of side 0."""
     rows = (shared.join(pivots, "token").filter("node != pivot")
             .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -160,7 +164,7 @@ def _units(shared: DataFrame, pivots: DataFrame, labels: DataFrame, sets: DataFr
     others = rows.filter("component != main").select(
         "token", "node", "component", "main", F.lit(1).alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), chunk.alias("chunk"))
-    return members.unionByName(others).join(sets.select("node", "n", "point"), "node")
+    return members.unionByName(others).join(points.select("node", "n", "point"), "node")
 
 
 def _candidates(units: DataFrame, percent: int) -> DataFrame:
@@ -218,13 +222,16 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = store.keep(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
                         .join(needed, "node"))
-    sets = store.keep(node_sets(docs, small(wanted), size))
-    links = _verified(pairs, sets, percent, store)
+    points = nodes.withColumnRenamed("n_shingles", "n").select("doc_id", "node", "n", "point")
+    points = store.keep(points.alias("p").join(
+        small(wanted).alias("w"), (F.col("p.node") == F.col("w.node"))
+        & F.col("p.doc_id").eqNullSafe(F.col("w.doc_id"))).select("p.*").dropDuplicates(["node"]))
+    links = _verified(pairs, points, docs, size, percent, store)
     labels = store.keep(connected_components(links, store))
-    units = store.keep(_units(shared, pivots, labels, sets))
+    units = store.keep(_units(shared, pivots, labels, points))
     more = store.keep(_candidates(units, percent))
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, sets, percent, store))
+        links = links.unionByName(_verified(more, points, docs, size, percent, store))
         labels = store.keep(connected_components(links, store))
     every = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = every.join(labels, "node").groupBy("component").agg(F.min("least").alias("component_id"))
