@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .byte_pairs import op1_byte_pairs
 from .ngram_jaccard import op2_ngram_jaccard
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard,
+    op1_byte_pairs, op2_ngram_jaccard,
 )}
 
 ORACLE_SQL = {}
