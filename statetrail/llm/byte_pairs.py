@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .vocabulary import Pieces, default_path, default_pattern, load_tokens
@@ -159,7 +160,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with the bytes that its ids stand for as ``decoded``; null ids count as none."""
     tokens = encoded.sparkSession.sparkContext.broadcast(load_tokens(path or default_path()))
-    schema = encoded.schema.add("decoded", "binary")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         words = pa.array(tokens.value, pa.binary())
