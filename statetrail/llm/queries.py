@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .byte_pairs import op1_byte_pairs
+from .decontamination import OP6_SQL, op6_decontamination
 from .ngram_jaccard import op2_ngram_jaccard
+from .quality_ledger import OP5_SQL, op5_quality_rules
+from .toxicity import op3_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_pairs, op2_ngram_jaccard,
+    op1_byte_pairs, op2_ngram_jaccard, op3_toxicity, op5_quality_rules, op6_decontamination,
 )}
 
-ORACLE_SQL = {}
+ORACLE_SQL = {"op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL}
