@@ -23,7 +23,7 @@ from .common import table
 from .vocabulary import Pieces, default_path, default_pattern, load_tokens
 
 #: Documents taken at once, distinct pieces encoded together, and pieces that a task remembers.
-BLOCK_ROWS, BLOCK_PIECES, REMEMBERED = 2000, 10_000, 400_000
+BLOCK_ROWS, BLOCK_PIECES, REMEMBERED = 500, 10_000, 300_000
 
 
 class MergeReplay:
@@ -37,16 +37,18 @@ class MergeReplay:
                 self.pairs[token[0], token[1]] = rank
         self.known: dict[int, int] = {}
 
-    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of every piece; none for an empty one."""
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of every piece as 32-bit numbers; none for an empty one."""
+        if len(self.known) > 1 << 20:
+            self.known.clear()
         whole = [self.ranks.get(p) for p in pieces]
         open_ = [p for p, rank in zip(pieces, whole) if rank is None and p]
         replayed = iter(self._replay(open_) if open_ else ())
         return [next(replayed) if rank is None and p else
-                np.array([] if rank is None else [rank], np.int32)
+                b"" if rank is None else rank.to_bytes(4, "little")
                 for p, rank in zip(pieces, whole)]
 
-    def _replay(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _replay(self, pieces: list[bytes]) -> list[bytes]:
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         after = np.arange(1, len(data) + 1)
@@ -58,9 +60,10 @@ class MergeReplay:
         pair[ends - 1] = -1
         symbols = self.bytes[data].tolist()
         self._merge_all(symbols, after.tolist(), before.tolist(), pair, ends)
-        ids = np.array(symbols, np.int32)
-        counts = np.concatenate([[0], np.cumsum(ids >= 0)])[ends]
-        return np.split(ids[ids >= 0], counts[:-1])
+        ids = np.array(symbols, "<i4")
+        bounds = (4 * np.concatenate([[0], np.cumsum(ids >= 0)])[ends]).tolist()
+        joined = ids[ids >= 0].tobytes()
+        return [joined[a:b] for a, b in zip([0, *bounds], bounds)]
 
     def _merge_all(self, symbols, after, before, first, ends) -> None:
         """``first`` has the rank that the pair at each position would merge to, -1 for none."""
@@ -122,14 +125,14 @@ class MergeReplay:
                     put_off = ends[np.searchsorted(ends, at, "right")]
 
 
-def id_lists(texts: list[str], cutter: Pieces, replay: MergeReplay, memory: dict) -> list[list[int]]:
-    """The ids of every text; ``memory`` keeps those of pieces between calls."""
+def id_bytes(texts: list[str], cutter: Pieces, replay: MergeReplay, memory: dict) -> list[bytes]:
+    """The ids of every text as 32-bit numbers; ``memory`` keeps those of pieces between calls."""
     cut = [cutter.cut(text) for text in texts]
     new = list(set(chain.from_iterable(cut)).difference(memory))
     for start in range(0, len(new), BLOCK_PIECES):
         part = new[start:start + BLOCK_PIECES]
-        memory.update(zip(part, (x.tolist() for x in replay.encode([p.encode() for p in part]))))
-    return [list(chain.from_iterable(map(memory.__getitem__, pieces))) for pieces in cut]
+        memory.update(zip(part, replay.encode([p.encode() for p in part])))
+    return [b"".join(map(memory.__getitem__, pieces)) for pieces in cut]
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -149,10 +152,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 part = batch.slice(start, BLOCK_ROWS)
                 if len(memory) > REMEMBERED:
                     memory.clear()
-                ids = id_lists([t or "" for t in part.column("text").to_pylist()],
+                ids = id_bytes([t or "" for t in part.column("text").to_pylist()],
                                cutter, replay, memory)
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.record_batch({"doc_id": part.column("doc_id"),
-                                       "ids": pa.array(ids, pa.list_(pa.int32()))})
+                                       "ids": pa.ListArray.from_arrays(ends, flat)})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
