@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .buckets import fresh, sides
+
 #: Groups of a tree's points, and most groups of a single point; powers of two.
 GROUPS, MOST_GROUPS = 128, 1 << 16
 #: Points of a leaf, and children of an inner box.
@@ -18,9 +20,9 @@ FANOUT = 16
 _OPEN, _TOP = np.iinfo(np.uint8).max, np.iinfo(np.uint16).max
 
 
-def point(tokens: np.ndarray) -> bytes:
+def point(tokens: np.ndarray, groups: int | None = None) -> bytes:
     """Counts by group; about as many groups as tokens, so that a large set's bound is as tight."""
-    groups = min(max(GROUPS, 1 << (len(tokens) - 1).bit_length()), MOST_GROUPS)
+    groups = groups or min(max(GROUPS, 1 << (len(tokens) - 1).bit_length()), MOST_GROUPS)
     counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return np.minimum(counts, _OPEN).astype(np.uint8).tobytes()
 
@@ -34,10 +36,8 @@ def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
 
 def matrix(points) -> np.ndarray:
     """Points with GROUPS groups each."""
-    out = np.zeros((len(points), GROUPS), np.uint16)
-    for i, data in enumerate(points.to_pylist()):
-        out[i] = _folded(np.frombuffer(data, np.uint8), GROUPS)
-    return out
+    data = np.frombuffer(b"".join(points.to_pylist()), np.uint8).reshape(len(points), GROUPS)
+    return np.where(data == _OPEN, _TOP, data.astype(np.uint16))
 
 
 def minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -98,26 +98,18 @@ class CountTree:
         return self.order[at]
 
 
-def box_join(rows: pa.Table, percent: int):
-    """Pairs (a, b) of a unit that pass the bounds: side 1 against the members on side 0.
-
-    Pairs within one component are left out, and of two nodes outside the bucket's main
-    component, that are met twice, the second meeting.
-    """
-    side = rows.column("side").to_numpy()
-    members, probes = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
+def box_join(unit: pa.Table, percent: int):
+    """Pairs (a, b) of a unit that pass the bounds: side 1 against the members on side 0."""
+    members, probes = sides(unit)
     if not len(members) or not len(probes):
         return
-    node, component = members.column("node").to_numpy(), members.column("component").to_numpy()
-    main = members.column("main").to_numpy()[0]
-    tree = CountTree(matrix(members.column("point")), members.column("n").to_numpy())
-    sizes, points = probes.column("n").to_numpy(), matrix(probes.column("point"))
+    node, ask = members.column("node").to_numpy(), fresh(members)
+    tree = CountTree(matrix(members.column("box")), members.column("n").to_numpy())
+    sizes, points = probes.column("n").to_numpy(), matrix(probes.column("box"))
     a, b = [], []
     for i, (own, kind) in enumerate(zip(probes.column("node").to_numpy(),
                                         probes.column("component").to_numpy())):
-        at = tree.search(points[i], int(sizes[i]), percent)
-        at = at[(component[at] != kind) & ((component[at] == main) | (node[at] > own))]
+        at = ask(own, kind, tree.search(points[i], int(sizes[i]), percent))
         a.append(np.minimum(node[at], own))
         b.append(np.maximum(node[at], own))
-    if a:
-        yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
+    yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})

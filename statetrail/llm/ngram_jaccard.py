@@ -7,8 +7,9 @@ shingles. Equal sets are one *node*. How all links between different sets are fo
    token's class is the magnitude of its group's count; the order (class, token) puts tokens
    that very many documents share last.
 2. Linked sets share a token among the first n - ceil(percent * n / 100) + 1 of either. These
-   meet in *buckets*, one for each token. Buckets are reduced to least and greatest node before
-   the shuffle; only those that hold two different nodes go on.
+   meet in *buckets*, one for each token. Buckets are reduced to least and greatest node and a
+   sum over the nodes before the shuffle; only those that hold two different nodes go on, and of
+   buckets with equal members (the tokens of a passage) one.
 3. Each node is a point: the counts of its tokens in groups. The overlap of two sets is at most
    the sum of coordinate minima, of a set and a box at most that of the point and the box's
    upper corner.
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import meet, search, units
 from .common import Store, small, table
 from .components import connected_components
 from .count_tree import GROUPS, box_join, overlap_bound, point
@@ -36,8 +38,6 @@ from .words import shingle_sets
 SIZE, PERCENT = 5, 75
 #: Groups that tokens are counted in to order them, a power of two.
 CELLS = 1 << 18
-#: Rows of a work unit, on either side.
-PROBES, MEMBERS = 512, 4096
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -82,11 +82,12 @@ def document_nodes(docs: DataFrame, classes, size: int, percent: int) -> DataFra
     def sets(batches):
         order = classes.value
         for batch in batches:
-            n, nodes, points, firsts = [], [], [], []
+            n, nodes, points, boxes, firsts = [], [], [], [], []
             for tokens in shingle_sets(batch.column("text"), size):
                 n.append(len(tokens))
                 nodes.append(_node(tokens) if len(tokens) else None)
                 points.append(point(tokens) if len(tokens) else None)
+                boxes.append(point(tokens, GROUPS))
                 needed = len(tokens) + (-percent * len(tokens)) // 100 + 1 if len(tokens) else 0
                 kind = order[_cell(tokens)]
                 by = np.argsort(kind, kind="stable") if kind.any() else slice(None)
@@ -95,10 +96,11 @@ def document_nodes(docs: DataFrame, classes, size: int, percent: int) -> DataFra
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()),
                 "node": pa.array(nodes, pa.int64()), "point": pa.array(points, pa.binary()),
+                "box": pa.array(boxes, pa.binary()),
                 "firsts": pa.ListArray.from_arrays(ends, np.concatenate([*firsts, np.zeros(0, np.int64)]))})
 
     return docs.select("doc_id", "text").mapInArrow(
-        sets, "doc_id long, n_shingles long, node long, point binary, firsts array<long>")
+        sets, "doc_id long, n_shingles long, node long, point binary, box binary, firsts array<long>")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -141,59 +143,6 @@ def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, p
                       .select("a", "b"))
 
 
-def _units(shared: DataFrame, pivots: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Buckets with several components, cut into units; side 1 searches the members of side 0."""
-    rows = (shared.join(pivots, "token").filter("node != pivot")
-            .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = (rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo != hi").select("token"))
-    rows = rows.join(mixed, "token", "left_semi").select("token", "node", "component")
-    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("token").agg(
-        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"))
-    top = top.select(
-        "token", F.col("top.component").alias("main"),
-        F.ceil(F.col("members") / MEMBERS).cast("int").alias("parts"),
-        F.ceil((F.col("members") - F.col("top.n")) / PROBES).cast("int").alias("chunks"))
-    rows = rows.join(top, "token")
-    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
-    chunk = F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int")
-    members = rows.select(
-        "token", "node", "component", "main", F.lit(0).alias("side"), part.alias("part"),
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    others = rows.filter("component != main").select(
-        "token", "node", "component", "main", F.lit(1).alias("side"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), chunk.alias("chunk"))
-    return members.unionByName(others).join(points.select("node", "n", "point"), "node")
-
-
-def _candidates(units: DataFrame, percent: int) -> DataFrame:
-    def search(batches):
-        for rows in _runs(batches):
-            yield from box_join(rows, percent)
-
-    keys = ["token", "part", "chunk"]
-    return (units.repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(search, "a long, b long").distinct())
-
-
-def _runs(batches):
-    """The rows of one unit after the other; a unit is of bounded size."""
-    rest = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables(
-            [rest, pa.Table.from_batches([batch])]).combine_chunks()
-        key = [now.column(c).to_numpy() for c in ("token", "part", "chunk")]
-        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-        start = 0
-        for cut in cuts:
-            yield now.slice(start, cut - start)
-            start = cut
-        rest = now.slice(start)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links.
 
@@ -207,29 +156,18 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     classes = spark.sparkContext.broadcast(token_classes(group_counts(docs, size)))
     nodes = store.keep(document_nodes(docs, classes, size, percent))
     entries = nodes.select(F.explode("firsts").alias("token"), "node")
-    buckets = store.keep(
-        entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                     F.count("*").alias("n")).filter("lo < hi"))
-    large = buckets.filter("n > 2").select("token")
-    shared = store.keep(entries.join(small(store.keep(large)), "token", "left_semi").distinct())
-    common = shared.groupBy("node").agg(F.count("*").alias("weight"))
-    pivots = store.keep(shared.join(common, "node").groupBy("token").agg(
-        F.max(F.struct("weight", "node")).alias("top")).select("token", F.col("top.node").alias("pivot")))
-    pairs = (buckets.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-             .unionByName(shared.join(pivots, "token").filter("node != pivot").select(
-                 F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))))
-    pairs = store.keep(pairs.distinct())
+    shared, pivots, pairs = meet(entries, store)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = store.keep(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
                         .join(needed, "node"))
-    points = nodes.withColumnRenamed("n_shingles", "n").select("doc_id", "node", "n", "point")
+    points = nodes.withColumnRenamed("n_shingles", "n").select("doc_id", "node", "n", "point", "box")
     points = store.keep(points.alias("p").join(
         small(wanted).alias("w"), (F.col("p.node") == F.col("w.node"))
         & F.col("p.doc_id").eqNullSafe(F.col("w.doc_id"))).select("p.*").dropDuplicates(["node"]))
     links = _verified(pairs, points, docs, size, percent, store)
     labels = store.keep(connected_components(links, store))
-    units = store.keep(_units(shared, pivots, labels, points))
-    more = store.keep(_candidates(units, percent))
+    rest = units(shared, pivots, labels, points.select("node", "n", "box"))
+    more = store.keep(search(rest, lambda unit: box_join(unit, percent)))
     if not more.isEmpty():
         links = links.unionByName(_verified(more, points, docs, size, percent, store))
         labels = store.keep(connected_components(links, store))
