@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statetrail.llm.byte_pairs import encode_and_decode
 from statetrail.llm.common import Store, table
+from statetrail.llm.decontamination import drop_contaminated
+from statetrail.llm.line_dedup import drop_repeated_lines
 from statetrail.llm.ngram_jaccard import keep_first_of_component
+from statetrail.llm.toxicity import drop_toxic
 
 #: (name, function): each takes (spark, docs, sf_dir); what it returns is the next one's docs.
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
     ("ngram_jaccard", keep_first_of_component),
+    ("decontamination", drop_contaminated),
+    ("byte_pairs", encode_and_decode),
 ]
 
 #: Sets of shingles, edit distances and byte pairs are beyond SQL; the tests compare each stage
