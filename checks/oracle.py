@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from statetrail.fixed_values import LIFECYCLE
 from statetrail.sources.driver_tables import RAW_EDGES, RAW_STATES, SIGNALS, STATES
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -188,6 +189,18 @@ CURRENT = "SELECT unit_id, unit_name, current_state, state_since, details, techn
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _plain_sql()
+    for name, same in CUT_AS.items():
+        found[name] = found[same]
+    return found
+
+
+#: Queries over cut units give the rows of the plain ones.
+CUT_AS = {"w4_cut": "w4_prev_event", "v1_cut": "v1_intervals_initial", "m2_cut": "m2_apply_signals",
+          "q07_cut": "q07_avg_state_durations", "m6_cut": "m6_audit_log"}
+
+
+def _plain_sql() -> dict[str, str]:
     raw_edges = _values([
         (next(n for n, (e, _, _) in enumerate(SIGNALS, 1) if e == s),
          [x[0] for x in RAW_STATES].index(a) + 1, [x[0] for x in RAW_STATES].index(b) + 1)
@@ -196,12 +209,8 @@ def oracle_sql() -> dict[str, str]:
              "OR contains(current_state, 'error')")
     unit_class = (f"CASE WHEN {error} THEN 'error' WHEN current_state IN "
                   "('reported', 'end of service') THEN 'success' ELSE '' END")
-    lifecycle = [("neutral", "Received"), ("registered", "Registered"),
-                 ("assigned", "Assigned"), ("dispatched", "Dispatched"),
-                 ("start of service", "Service Started"), ("parts missing", "Parts Missing"),
-                 ("end of service", "Service Complete"), ("reported", "Reported")]
     steps = "VALUES " + ", ".join(
-        f"({n}, '{name}', '{label}')" for n, (name, label) in enumerate(lifecycle, 1))
+        f"({n}, '{name}', '{label}')" for n, (name, label) in enumerate(LIFECYCLE, 1))
     return {
         "q01_current_units": LOG + CURRENT + " FROM current_units",
         "q02_technician_board": LOG + "SELECT * FROM board",
@@ -215,6 +224,16 @@ WHERE state_name IN ('parts missing', 'assigned') AND age > 6 * 3600000000""",
         "q06_unit_durations": timeline(),
         "q07_avg_state_durations": durations("initial_state_id"),
         "q07_avg_final": durations("final_state_id"),
+        "q06_one_unit": LOG + f"""
+SELECT state_name, entered_at, coalesce(left_at, {NOW}) AS left_at,
+       round((epoch_us(coalesce(left_at, {NOW})) - epoch_us(entered_at)) / 60000000.0::DOUBLE, 8)
+         AS minutes_spent
+FROM stays JOIN st ON st.id = initial_state_id WHERE unit_id = 3""",
+        "q08_week": LOG + """
+SELECT * FROM daily WHERE day >= DATE '2024-01-25' AND day < DATE '2024-02-01'""",
+        "q11_day": LOG + """
+SELECT * FROM hourly
+WHERE hour >= TIMESTAMP '2024-01-30 00:00:00' AND hour < TIMESTAMP '2024-01-31 00:00:00'""",
         "q08_daily_activity": LOG + "SELECT * FROM daily",
         "q09_state_distribution": LOG + "SELECT * FROM shares",
         "q10_worker_performance": LOG + f"""
@@ -363,6 +382,18 @@ FROM customer""",
         "l4_resolve_transitions": LOG + """
 SELECT DISTINCT signal_id, initial_state_id AS in_state_id, final_state_id AS out_state_id
 FROM log WHERE signal_id IS NOT NULL""",
+        "l4_first_edge_wins": LOG + """
+SELECT DISTINCT signal_id, initial_state_id AS in_state_id, final_state_id AS out_state_id
+FROM log WHERE signal_id IS NOT NULL""",
+        "l4_conflicts": LOG + """
+SELECT DISTINCT signal_name AS signal, st.state_name AS in_state, st.state_name AS out_state,
+       final_state_id AS kept_state_id
+FROM log JOIN sig ON sig.id = signal_id JOIN st ON st.id = initial_state_id
+WHERE initial_state_id <> final_state_id""",
+        "x11_payload_fields": """
+SELECT event_id, concat('T', k) AS last_tech, 'old' AS first_tech,
+       CASE WHEN CAST(k AS INTEGER) % 3 = 0 THEN 'old' ELSE concat('I', k) END AS id_or_name
+FROM (SELECT event_id, props ->> '$.k' AS k FROM events)""",
         "l5_append_log": LOG + """
 SELECT log_id, unit_id, initial_state_id, final_state_id, payload, signal_id, ts,
        CAST(ts AS DATE) AS day
@@ -396,8 +427,9 @@ FROM log JOIN sig ON sig.id = log.signal_id GROUP BY ALL""",
         "t4_apply_signals": ACCEPTED,
         "t4_replay_batches": ACCEPTED,
         "t5_sla_alerts": LOG + """
-SELECT unit_id, state_name, ts AS entered_at, ts + INTERVAL 6 HOUR AS due_at
-FROM latest
+SELECT unit_id, state_name, entered_at, entered_at + INTERVAL 6 HOUR AS due_at
+FROM stays JOIN st ON st.id = final_state_id
 WHERE state_name IN ('parts missing', 'assigned')
-  AND ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 10 MINUTE""",
+  AND (left_at IS NULL OR left_at > entered_at + INTERVAL 6 HOUR)
+  AND entered_at + INTERVAL 6 HOUR < (SELECT max(ts) FROM log) - INTERVAL 10 MINUTE""",
     }

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import statetrail as st
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from statetrail.functions import technician
+from statetrail.functions import technician, technician_id_or_name
 from statetrail.model import LOG_SCHEMA, StateModel, signal_table, state_table
 from statetrail.operators import latest_per_unit
 from statetrail.session import configure, shared_dir
@@ -52,6 +52,8 @@ from statetrail.streaming import (
 
 AS_OF = "2024-01-31 00:00:00"
 WORKER = "T3"
+UNIT = 3
+CUT_ROWS = 40
 SLA_HOURS = 6
 LOG_COLUMNS = ["log_id", "unit_id", "initial_state_id", "final_state_id", "payload",
                "signal_id", "ts"]
@@ -152,10 +154,61 @@ def resolved(model):
     edges = st.transition_heatmap(model).select(
         F.col("signal_name").alias("signal"), F.col("from_state").alias("in_state"),
         F.col("to_state").alias("out_state"))
-    known, _ = resolve_transitions(edges, model.state, model.signal)
+    known, _, _ = resolve_transitions(edges, model.state, model.signal)
     return known.select("signal_id", "in_state_id", "out_state_id")
 
 
+def planted_edges(model):
+    """All edges of the log, and behind them the same signals and states leading back."""
+    taken = st.transition_heatmap(model).select(
+        F.col("signal_name").alias("signal"), F.col("from_state").alias("in_state"),
+        F.col("to_state").alias("out_state"))
+    back = taken.select("signal", "in_state", F.col("in_state").alias("out_state"))
+    return taken.withColumn("seq", F.lit(1)).unionByName(back.withColumn("seq", F.lit(2)))
+
+
+def resolved_in_order(model):
+    known, _, _ = resolve_transitions(planted_edges(model), model.state, model.signal, "seq")
+    return known.select("signal_id", "in_state_id", "out_state_id")
+
+
+def conflicting(model):
+    _, _, conflicts = resolve_transitions(planted_edges(model), model.state, model.signal, "seq")
+    return conflicts
+
+
+def cut(query):
+    """The same query with every unit of more than CUT_ROWS rows cut into pieces."""
+    def run(spark, sf_dir):
+        session(spark)
+        model = mapped_model(spark, sf_dir)
+        some = StateModel(model.state, model.signal, model.transition, model.unit,
+                          model.log.select(*LOG_COLUMNS), CUT_ROWS)
+        return plain(query(some))
+
+    return run
+
+
+def cut_signals(spark, sf_dir):
+    """Raw signals replayed piece by piece."""
+    model = raw_model(session(spark), sf_dir)
+    return plain(st.apply_signals(model, raw_signals(spark, sf_dir), rows_per_task=CUT_ROWS)[0])
+
+
+def payload_fields(spark, sf_dir):
+    """Technician by id or name, and the last of duplicate keys, in payloads made from events."""
+    session(spark)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    k = F.get_json_object("props", "$.k").cast("int")
+    name = F.concat(F.lit("T"), k.cast("string"))
+    payload = F.concat(
+        F.lit('{"tech": "old", "tech": "'), name, F.lit('", "technician_id": "'),
+        F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("I"), k.cast("string"))), F.lit('"}'))
+    return read_table(spark, sf_dir, "events").select("event_id", payload.alias("payload")).select(
+        "event_id", technician(last_duplicate=True).alias("last_tech"), technician().alias("first_tech"),
+        technician_id_or_name().alias("id_or_name"))
+
+
 def upserted(spark, sf_dir):
     """Customers without events are added to those that have some."""
     units = customers(session(spark), sf_dir)
@@ -288,12 +341,15 @@ def queries() -> dict[str, Query]:
         "q04_throughput": mapped(lambda m: st.throughput(m, as_of=AS_OF)),
         "q05_transition_heatmap": mapped(st.transition_heatmap),
         "q06_unit_durations": mapped(lambda m: st.unit_durations(m, as_of=AS_OF).drop("is_open")),
+        "q06_one_unit": mapped(lambda m: st.unit_durations(m, UNIT, as_of=AS_OF).drop("is_open")),
         "q07_avg_state_durations": mapped(st.avg_state_durations),
         "q07_avg_final": mapped(lambda m: st.avg_state_durations(m, label="final")),
         "q08_daily_activity": mapped(lambda m: st.daily_activity(m, days=None)),
+        "q08_week": mapped(lambda m: st.daily_activity(m, as_of=AS_OF)),
         "q09_state_distribution": mapped(st.state_distribution),
         "q10_worker_performance": mapped(st.worker_performance),
         "q11_hourly_activity": mapped(lambda m: st.hourly_activity(m, hours=None)),
+        "q11_day": mapped(lambda m: st.hourly_activity(m, as_of=AS_OF)),
         "q12_bottlenecks": mapped(lambda m: st.bottlenecks(m, as_of=AS_OF), 10),
         "q13_workers_list": mapped(st.workers_list),
         "q14_worker_units": mapped(lambda m: st.worker_units(m, WORKER, as_of=AS_OF)),
@@ -321,6 +377,12 @@ def queries() -> dict[str, Query]:
         "c10_zero_defaults": mapped(zero_filled),
         "c11_open_flag": mapped(lambda m: st.timeline_flags(m, as_of=AS_OF)),
         "x14_hour_labels": mapped(lambda m: st.hourly_labels(m, hours=None)),
+        "w4_cut": cut(previous_event),
+        "v1_cut": cut(lambda m: st.state_intervals(m.trail)),
+        "q07_cut": cut(st.avg_state_durations),
+        "m6_cut": cut(lambda m: st.audit_log(moved_back(m))),
+        "m2_cut": cut_signals,
+        "x11_payload_fields": payload_fields,
         "m1_create_units": created_units,
         "m2_apply_signals": raw(lambda m, s: st.apply_signals(m, s)[0]),
         "m2_rejected": raw(lambda m, s: st.apply_signals(m, s)[1]),
@@ -331,6 +393,8 @@ def queries() -> dict[str, Query]:
         "l2_json_rows": mapped(json_rows),
         "l3_upsert_missing": upserted,
         "l4_resolve_transitions": mapped(resolved),
+        "l4_first_edge_wins": mapped(resolved_in_order),
+        "l4_conflicts": mapped(conflicting),
         "l5_append_log": appended,
         "l6_shift_time": mapped(lambda m: moved_back(m).log.select(
             "log_id", "unit_id", "ts", technician().alias("technician"))),

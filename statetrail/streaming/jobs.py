@@ -72,7 +72,12 @@ def apply_signals_stream(signals: DataFrame, model: StateModel) -> DataFrame:
 
 def sla_alerts_stream(log: DataFrame, model: StateModel, *, states: Sequence[str] = SLA_STATES,
                       hours: float | None = None, delay: str = "10 minutes") -> DataFrame:
-    """One row for each stay in ``states`` that outlasts ``hours`` of event time."""
+    """One row for each stay in ``states`` that outlasts ``hours`` of event time.
+
+    It is handed out once the watermark, ``delay`` behind the newest row, has passed the end of
+    the allowed time. A stay of exactly ``hours`` is in time. The rows do not depend on how the
+    log is cut into micro-batches, but for rows that come later than ``delay``.
+    """
     hours = within("hours", default_sla_hours() if hours is None else hours, 1, 168)
     watched = {row["id"]: row["state_name"] for row in
                bounded_rows(model.state.filter(F.col("state_name").isin(*states))

@@ -41,7 +41,7 @@ class SignalProcessor(StatefulProcessor):
             last = tuple(last)
         else:
             state, last = self.initial, None
-        for row in sorted(rows, key=lambda r: (r.at, r.event_id)):
+        for row in sorted(rows, key=lambda r: (r.at, r.event_id)):  # a repeated row is late
             now = (row.at, row.event_id)
             if last is not None and now <= last:
                 yield self._out(row, None, None, "late")
@@ -65,7 +65,13 @@ class SignalProcessor(StatefulProcessor):
 
 
 class WaitProcessor(StatefulProcessor):
-    """One alert per stay: a timer at the end of the allowed time, reset by a newer row."""
+    """One alert per stay that outlasts the allowed time, however the rows fall into micro-batches.
+
+    Rows are kept until event time has passed the end of what they may decide. A watched row is
+    decided by a timer just behind the end of its allowed time: all rows up to that end are
+    there by then, so the row after it, if any, tells whether the stay was over in time. Rows
+    behind the watermark are ignored.
+    """
 
     def __init__(self, watched, micros):
         self.watched = watched
@@ -73,27 +79,38 @@ class WaitProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.stay = handle.getValueState("stay", "state bigint, at bigint, log_id bigint")
+        self.pending = handle.getMapState("pending", "at bigint, log_id bigint", "state bigint")
+
+    def decided(self, at):
+        """The first millisecond behind the allowed time; an end on time is no alert."""
+        return (at + self.micros) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues):
-        known = self.stay.get() if self.stay.exists() else None
-        newest = None
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        timers = set()
         for row in rows:
-            if newest is None or (row.at, row.log_id) > (newest.at, newest.log_id):
-                newest = row
-        if known is not None and (newest.at, newest.log_id) <= (known[1], known[2]):
-            return iter(())
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.stay.update((newest.final_state_id, newest.at, newest.log_id))
-        if newest.final_state_id in self.watched:
-            # whole milliseconds, rounded up: never before the time is over
-            self.handle.registerTimer(-(-(newest.at + self.micros) // 1000))
+            if row.at < passed:
+                continue
+            self.pending.updateValue((row.at, row.log_id), (row.final_state_id,))
+            if row.final_state_id in self.watched:
+                timers.add(self.decided(row.at))
+        for timer in sorted(timers):
+            self.handle.registerTimer(timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state, at, _ = self.stay.get()
-        yield Row(unit_id=key[0], state_id=state, entered=at, due=at + self.micros)
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        rows = sorted((at, log_id, state) for (at, log_id), (state,) in self.pending.iterator())
+        for n, (at, _, state) in enumerate(rows):
+            if state in self.watched and self.decided(at) == now:
+                left = rows[n + 1][0] if n + 1 < len(rows) else None
+                if left is None or left - at > self.micros:
+                    yield Row(unit_id=key[0], state_id=state, entered=at, due=at + self.micros)
+        undecided = [at for at, _, state in rows if state in self.watched and self.decided(at) > now]
+        keep_from = min([now * 1000, *undecided])
+        for at, log_id, _ in rows:
+            if at < keep_from:
+                self.pending.removeKey((at, log_id))
 
     def close(self):
         pass

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,9 +44,12 @@ def replay_batches(signals: DataFrame, model: StateModel, path: str, checkpoint:
     def run(batch: DataFrame, batch_id: int) -> None:
         known = spark.read.schema(STATE_SCHEMA).parquet(states(batch_id - 1))
         marks = known.select("unit_id", F.struct("ts", "event_id").alias("_mark"))
-        batch = batch.persist()
-        dated = batch.join(marks, "unit_id", "left").withColumn("_late", F.coalesce(
-            F.struct("ts", "event_id") <= F.col("_mark"), F.lit(False)))
+        # a signal that comes twice within a batch is late the second time, as across batches
+        again = F.row_number().over(Window.partitionBy("unit_id", "ts", "event_id").orderBy(
+            "signal", "payload")) > 1
+        dated = batch.withColumn("_again", again).join(marks, "unit_id", "left")
+        dated = dated.withColumn("_late", F.col("_again") | F.coalesce(
+            F.struct("ts", "event_id") <= F.col("_mark"), F.lit(False))).persist()
         log = known.select(F.col("event_id").alias("log_id"), "unit_id", "ts",
                            F.col("state").alias("final_state_id"))
         moved = signal_outcomes(replace(model, log=log, log_trail=None),
@@ -54,9 +57,11 @@ def replay_batches(signals: DataFrame, model: StateModel, path: str, checkpoint:
         reached = F.col("final_state_id").isNotNull()
         moved = moved.withColumn("outcome", F.when(reached, "accepted").otherwise("rejected"))
         late = dated.filter("_late").select(*names).withColumn("outcome", F.lit("late"))
-        (moved.unionByName(late, allowMissingColumns=True)
-         .write.mode("overwrite").parquet(outcomes(batch_id)))
-        batch.unpersist()
+        try:
+            (moved.unionByName(late, allowMissingColumns=True)
+             .write.mode("overwrite").parquet(outcomes(batch_id)))
+        finally:
+            dated.unpersist()
 
         written = spark.read.schema(OUTCOME_SCHEMA).parquet(outcomes(batch_id))
         newest = latest_per_unit(written.filter("outcome <> 'late'"), tie="event_id").select(

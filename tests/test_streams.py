@@ -182,3 +182,36 @@ def test_streams_check_their_arguments(spark):
     model = fx.model(spark)
     with pytest.raises(ValueError):
         sla_alerts_stream(model.log, model, hours=0)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_t5_does_not_depend_on_the_micro_batches(spark, tmp_path, parts):
+    model = fx.model(spark, rows=[])
+    feed = Feed(spark, tmp_path, LOG_SCHEMA,
+                lambda s: sla_alerts_stream(s, model, hours=2, delay="10 minutes"), "append")
+
+    def row(log_id, unit, state, hours):
+        return (log_id, unit, 1, state, None, 1, T0 + timedelta(hours=hours))
+
+    # unit 1 leaves ``assigned`` after 30 hours, 2 after exactly two, 3 a second later; 4 stays
+    # on, 5 enters once more at the same time; 6 is seen out of order, within the delay
+    rows = [row(1, 1, 3, 0), row(2, 2, 3, 0), row(3, 3, 3, 0), row(4, 4, 3, 0), row(5, 5, 3, 0),
+            row(6, 5, 3, 0), row(7, 6, 2, 0.1), row(8, 6, 3, 0.05), row(9, 2, 4, 2),
+            row(10, 3, 4, 2 + 1 / 3600), row(11, 5, 4, 2.5), row(12, 1, 4, 30), row(13, 9, 2, 31)]
+    size = -(-len(rows) // parts)
+    for start in range(0, len(rows), size):
+        feed.push(rows[start:start + size])
+    found = sorted((r["unit_id"], r["entered_at"]) for r in feed.table().collect())
+    assert [unit for unit, _ in found] == [1, 3, 4, 5]
+
+
+def test_t5_ignores_what_is_behind_the_watermark(spark, tmp_path):
+    model = fx.model(spark, rows=[])
+    feed = Feed(spark, tmp_path, LOG_SCHEMA,
+                lambda s: sla_alerts_stream(s, model, hours=1, delay="0 seconds"), "append")
+
+    def row(log_id, unit, state, hours):
+        return (log_id, unit, 1, state, None, 1, T0 + timedelta(hours=hours))
+
+    feed.push([row(1, 1, 4, 5)]).push([row(2, 2, 4, 6)]).push([row(3, 1, 3, 1)]).push([row(4, 2, 4, 9)])
+    assert feed.table().count() == 0
