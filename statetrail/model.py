@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -57,6 +57,20 @@ class StateModel:
         """The log in time order per unit."""
         return self.log_trail or trail(self.log, rows_per_task=self.rows_per_task)
 
+    def trail_of(self, *columns: str, where: Column | None = None) -> Trail:
+        """The trail with only some columns of the log, and of rows that are selected by unit.
+
+        Columns and rows are chosen before the log is ordered, so that units that have to be
+        cut are stored without the rest.
+        """
+        needed = ["unit_id", "ts", "log_id", *columns]
+        if self.log_trail is not None:
+            kept = self.log_trail
+            rows = kept.rows if where is None else kept.rows.filter(where)
+            return kept.on(rows.select(*dict.fromkeys([*needed, *kept.group])))
+        rows = self.log if where is None else self.log.filter(where)
+        return trail(rows.select(*needed), rows_per_task=self.rows_per_task)
+
     @cached_property
     def initial_state_id(self) -> int | None:
         rows = bounded_rows(self.state.filter("is_initial").select(F.min("id").alias("id")))
@@ -104,5 +118,5 @@ def seeded_dimensions(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFr
     from .sources.tables import resolve_transitions
 
     state, signal = state_table(spark), signal_table(spark)
-    edges, _ = resolve_transitions(edge_table(spark), state, signal)
+    edges, _, _ = resolve_transitions(edge_table(spark), state, signal)
     return state, signal, edges

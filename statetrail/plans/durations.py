@@ -18,22 +18,25 @@ def state_intervals(log: Trail, label: str = "initial") -> DataFrame:
     ``label="initial"`` names the state the unit has just left, ``"final"`` the one it is in
     during the interval.
     """
-    if label not in LABELS:
-        raise ValueError(f"label must be one of {sorted(LABELS)}, got {label!r}")
     rows = log.rows.select(
-        *log.group, log.tie, F.col(LABELS[label]).alias("state_id"),
+        *log.group, log.tie, F.col(_column(label)).alias("state_id"),
         F.col(log.time).alias("entered_at"))
     ordered = Trail(rows, log.key, "entered_at", log.tie, log.piece)
     return ordered.with_next(left_at="entered_at").rows.select(
         log.key, "state_id", "entered_at", "left_at")
 
 
+def _column(label: str) -> str:
+    if label not in LABELS:
+        raise ValueError(f"label must be one of {sorted(LABELS)}, got {label!r}")
+    return LABELS[label]
+
+
 def unit_durations(model: StateModel, unit_id: int | None = None, *, as_of=None,
                    label: str = "initial") -> DataFrame:
     """Timeline of a unit. ``unit_id=None`` gives all units, unsorted, with their ids."""
-    log = model.trail
-    if unit_id is not None:
-        log = log.on(log.rows.filter(F.col("unit_id") == unit_id))
+    own = None if unit_id is None else F.col("unit_id") == unit_id
+    log = model.trail_of(_column(label), where=own)
     left_at = F.coalesce("left_at", instant(as_of))
     timeline = (state_intervals(log, label).join(
         model.states.withColumnRenamed("id", "state_id"), "state_id")
@@ -49,7 +52,7 @@ def avg_state_durations(model: StateModel, *, label: str = "initial",
                         top: int | None = None) -> DataFrame:
     """Average, count, shortest and longest closed stay per state, in minutes."""
     stay = micros_between("entered_at", "left_at")
-    closed = state_intervals(model.trail, label).filter(F.col("left_at").isNotNull())
+    closed = state_intervals(model.trail_of(_column(label)), label).filter(F.col("left_at").isNotNull())
     named = model.states.withColumnRenamed("id", "state_id")
     rows = (closed.join(named, "state_id").groupBy("state_name")
             .agg(F.round(exact_average(stay, MINUTE)).cast("long").alias("avg_minutes"),

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import instant
-from ..model import StateModel
+from ..model import StateModel, literal_table
 from ..operators.latest import latest_per_unit
 from ..operators.lookup import LOOKUP_ROWS, bounded_rows, small
 from ..operators.trail import WHOLE, Trail, trail
+from ..session import shared_dir
 from .replay import OUTCOME_SCHEMA, SIGNAL, START, chainer, composer, replayer
-def create_units(model: StateModel, new_units: DataFrame, *, as_of=None, order: str = "seq",
-                 rows_per_task: int | None = None) -> tuple[DataFrame, DataFrame]:
+
+
+def create_units(model: StateModel, new_units: DataFrame, *, as_of=None,
+                 order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Units in the initial state: (unit rows, log rows).
 
     ``new_units`` has ``unit_name``, ``unit_details`` and a unique column ``order``; ids
-    continue after the greatest ones in that order. They are ranks along a trail with a single
-    key, so a large table is ranked piece by piece.
+    continue after the greatest ones in that order. The rows are range-partitioned by it and
+    stored with the number of their range; a rank is the place within the range behind what the
+    ranges before it hold. Only the sizes of the ranges go to the driver.
     """
     initial = _initial_state(model)
-    rows = new_units.select(F.lit(1).alias("_all"), F.col(order).alias("_order"),
-                            "unit_name", "unit_details")
-    ranked = trail(rows, "_all", "_order", "_order", rows_per_task).with_rank("_rank").rows
+    ranked = _ranked(new_units.select(F.col(order).alias("_order"), "unit_name", "unit_details"))
     last_unit, last_log = (bounded_rows(table.select(F.max(column)))[0][0] or 0
                            for table, column in ((model.unit, "id"), (model.log, "log_id")))
     units = ranked.select((F.col("_rank") + last_unit).alias("id"), "unit_name", "unit_details")
@@ -35,6 +39,23 @@ def create_units(model: StateModel, new_units: DataFrame, *, as_of=None, order:
     return units, log
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_rank``, their place by ``_order`` from 1."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    (rows.repartitionByRange("_order").withColumn("_range", F.spark_partition_id())
+     .write.parquet(path))
+    stored = spark.read.parquet(path)
+    skipped, before = [], 0
+    for number, n in sorted(stored.groupBy("_range").count().collect()):
+        skipped.append((number, before))
+        before += n
+    offsets = literal_table(spark, skipped, "_range int, _skip bigint")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_order"))
+    return (stored.withColumn("_place", place).join(F.broadcast(offsets), "_range")
+            .withColumn("_rank", F.col("_place") + F.col("_skip")))
+
+
 def _initial_state(model: StateModel) -> Column:
     if model.initial_state_id is None:
         raise ValueError("no initial state flagged in the state table")

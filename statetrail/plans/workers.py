@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions.bounds import whole_number
 from ..functions.payload import technician
 from ..functions.times import MINUTE, days_before, micros_between
 from ..model import StateModel
+from ..operators.lookup import LOOKUP_ROWS, small
 from ..operators.ranges import in_range
 
 
@@ -65,7 +68,12 @@ def worker_performance(model: StateModel) -> DataFrame:
 
 def worker_detail(model: StateModel, worker: str) -> DataFrame:
     """The same for one technician, in one row; an unknown name gives zeros and NULLs."""
-    return _measures(_actions(model).filter(F.col("technician") == worker), days=True)
+    own = technician(default=None) == worker
+    touched = model.log.filter(own).select("unit_id").distinct()
+    touched = small(touched, 10 * LOOKUP_ROWS)
+    # previous rows are found within a unit, so the units that the worker has touched are enough
+    some = replace(model, log=model.log.join(touched, "unit_id", "left_semi"), log_trail=None)
+    return _measures(_actions(some).filter(F.col("technician") == worker), days=True)
 
 
 def worker_history(model: StateModel, worker: str, *, as_of=None, days: int = 30,

@@ -78,8 +78,13 @@ def stored_log(rows: DataFrame) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append log rows to a table partitioned by day, so that time filters prune files."""
-    stored_log(rows).write.mode("append").partitionBy("day").parquet(path)
+    """Append log rows to a table partitioned by day, so that time filters prune files.
+
+    Rows are gathered by day first; Spark splits a large day, so that files are neither many
+    and small nor written by one task.
+    """
+    by_day = stored_log(rows).hint("rebalance", F.col("day"))
+    by_day.write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -109,9 +114,14 @@ def update_where(df: DataFrame, condition: Column, changes: Mapping[str, Column]
         for name in df.columns])
 
 
-def resolve_transitions(edges: DataFrame, state: DataFrame,
-                        signal: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turn (signal, in_state, out_state) names into ids: (resolved edges, unknown names)."""
+def resolve_transitions(edges: DataFrame, state: DataFrame, signal: DataFrame,
+                        order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turn (signal, in_state, out_state) names into ids: (resolved, unknown names, conflicts).
+
+    Of edges with the same signal and state the first by the column ``order`` stays, or without
+    such a column the one to the state with the least id. Those that lead elsewhere are returned
+    as conflicts, with the state that was kept.
+    """
     states = small(state.select("id", "state_name"))
     signals = small(signal.select("id", "signal_name"))
     before = states.select(F.col("id").alias("in_state_id"), F.col("state_name").alias("in_state"))
@@ -123,12 +133,16 @@ def resolve_transitions(edges: DataFrame, state: DataFrame,
                  .join(after, "out_state", "left"))
     complete = (F.col("signal_id").isNotNull() & F.col("in_state_id").isNotNull()
                 & F.col("out_state_id").isNotNull())
-    resolved = (looked_up.filter(complete)
-                .groupBy("signal_id", "in_state_id")
-                .agg(F.min("out_state_id").alias("out_state_id"))
-                .withColumn("details", F.lit("{}")))
+    first = F.struct(*([] if order is None else [F.col(order)]), "out_state_id")
+    kept = (looked_up.filter(complete).groupBy("signal_id", "in_state_id")
+            .agg(F.min(first).alias("_first"))
+            .select("signal_id", "in_state_id", F.col("_first.out_state_id").alias("_kept")))
+    resolved = kept.withColumnRenamed("_kept", "out_state_id").withColumn("details", F.lit("{}"))
     unknown = looked_up.filter(~complete).select("signal", "in_state", "out_state")
-    return resolved, unknown
+    conflicts = (looked_up.filter(complete).join(kept, ["signal_id", "in_state_id"])
+                 .filter("out_state_id <> _kept")
+                 .select("signal", "in_state", "out_state", F.col("_kept").alias("kept_state_id")))
+    return resolved, unknown, conflicts
 
 
 def purge_units(unit: DataFrame, log: DataFrame,
@@ -151,13 +165,15 @@ def deletable(dim: DataFrame, references: Iterable[tuple[DataFrame, str]]) -> Da
 def validate_model(model: StateModel) -> DataFrame:
     """Broken constraints as rows (check, table, key, n); an empty result is a sound model.
 
-    Each check counts per key first, so a key that fills the table shrinks before it moves.
+    Each check counts per key first, so a key that fills the table shrinks before it moves. The
+    log is read three times: for its key, for its units, and for all other columns.
     """
     tables = {"state": model.state, "signal": model.signal, "transition": model.transition,
               "unit": model.unit, "log": model.log}
 
     def row(check, table, key, n):
-        return [F.lit(check).alias("check"), F.lit(table).alias("table"),
+        check = check if isinstance(check, Column) else F.lit(check)
+        return [check.alias("check"), F.lit(table).alias("table"),
                 key.cast("string").alias("key"), n.cast("long").alias("n")]
 
     def unique(table, *columns):
@@ -180,6 +196,29 @@ def validate_model(model: StateModel) -> DataFrame:
         return listed.filter("c.n > 0").select(
             *row("not_null", table, F.col("c.key"), F.col("c.n")))
 
+    def log_columns():
+        """References and NULLs of the log's small columns, counted together in one pass."""
+        targets = {"initial_state_id": "state", "final_state_id": "state", "signal_id": "signal"}
+        counted = model.log.groupBy(*targets).agg(
+            F.count("*").alias("n"), F.count_if(F.col("unit_id").isNull()).alias("no_unit"),
+            F.count_if(F.col("ts").isNull()).alias("no_ts"))
+        values = [F.struct(F.lit(c).alias("column"), F.col(c).alias("id"), F.col("n").alias("n"))
+                  for c in targets]
+        values += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("bigint").alias("id"),
+                            F.col(n).alias("n")) for c, n in (("unit_id", "no_unit"), ("ts", "no_ts"))]
+        used = (counted.select(F.inline(F.array(*values))).groupBy("column", "id")
+                .agg(F.sum("n").alias("n")).filter("n > 0"))
+        known = None
+        for column, target in targets.items():
+            of = tables[target].select(F.lit(column).alias("column"), "id")
+            known = of if known is None else known.unionByName(of)
+        missing = F.col("id").isNull()
+        lost = used.join(known, ["column", "id"], "left_anti").filter(
+            ~missing | (F.col("column") != "signal_id"))
+        return lost.select(*row(
+            F.when(missing, "not_null").otherwise("foreign_key"), "log",
+            F.concat_ws("=", F.col("column"), F.col("id")), F.col("n")))
+
     initial = model.state.agg(F.count_if("is_initial").alias("n")).filter("n <> 1").select(
         *row("single_initial", "state", F.lit("is_initial"), F.col("n")))
 
@@ -192,14 +231,11 @@ def validate_model(model: StateModel) -> DataFrame:
         refers("transition", "in_state_id", "state"),
         refers("transition", "out_state_id", "state"),
         refers("log", "unit_id", "unit"),
-        refers("log", "initial_state_id", "state"),
-        refers("log", "final_state_id", "state"),
-        refers("log", "signal_id", "signal"),
         present("state", ["state_name", "is_initial", "is_terminal"]),
         present("signal", ["signal_name"]),
         present("transition", ["signal_id", "in_state_id", "out_state_id"]),
         present("unit", ["unit_name"]),
-        present("log", ["unit_id", "initial_state_id", "final_state_id", "ts"]),
+        log_columns(),
         initial,
     ]
     report = checks[0]

@@ -186,8 +186,8 @@ def test_default_clock_is_now(spark):
 def test_creation(spark):
     new = spark.createDataFrame([(20, "b", '{"x": 1}'), (10, "a", "{}"), (30, "c", "{}")],
                                 "seq bigint, unit_name string, unit_details string")
-    for limit in (None, 1):
-        units, log = st.create_units(fx.model(spark), new, as_of=fx.AS_OF, rows_per_task=limit)
+    for parts in (1, 3):
+        units, log = st.create_units(fx.model(spark), new.repartition(parts), as_of=fx.AS_OF)
         assert sorted(fx.rows_of(units)) == [(17, "a", "{}"), (18, "b", '{"x": 1}'),
                                              (19, "c", "{}")]
         assert sorted(fx.rows_of(log.drop("ts"))) == [

@@ -97,7 +97,8 @@ def test_resolve_transitions(spark):
                                ("assign", "registered", "assigned"),
                                ("unheard of", "registered", "assigned"),
                                ("assign", "nowhere", "assigned")])
-    known, unknown = resolve_transitions(edges, state_table(spark), signal_table(spark))
+    known, unknown, conflicts = resolve_transitions(edges, state_table(spark), signal_table(spark))
+    assert conflicts.collect() == []
     assert sorted(map(tuple, known.collect())) == [(2, 2, 3, "{}")]
     assert sorted(map(tuple, unknown.collect())) == [
         ("assign", "nowhere", "assigned"), ("unheard of", "registered", "assigned")]
