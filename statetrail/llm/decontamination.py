@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, small, table
+from .common import Store, columns, free, small, table
 
 WINDOW, SHINGLE = 13, 5
 #: A document is contaminated if it has a hit word and this many times the hits reach its words.
@@ -147,12 +147,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: documents that are not contaminated by the benchmark of ``sf_dir``."""
     store = Store(spark, "contaminated")
+    id_, key_, n_ = (free(name, docs) for name in ("id", "key", "n_hit"))
     found = hits(docs, table(spark, sf_dir, "benchmark"), store).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_hit")
-    kept = docs.join(small(found), (F.xxhash64("text") == F.col("_key"))
-                     & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    clean = F.col("n_hit").isNull() | (TIMES * F.col("n_hit") < F.size(words_of(F.col("text"))))
-    return kept.filter(clean).select(*[docs[c] for c in docs.columns])
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key_), F.col("n_hit").alias(n_))
+    kept = docs.join(small(found), (F.xxhash64("text") == F.col(key_))
+                     & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    clean = F.col(n_).isNull() | (TIMES * F.col(n_) < F.size(words_of(F.col("text"))))
+    return kept.filter(clean).select(*columns(docs))
 
 
 OP6_SQL = r"""

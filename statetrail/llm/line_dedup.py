@@ -17,9 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .buckets import fresh, meet, search, sides, units
-from .common import Store, small, table
+from .common import Store, columns, free, small, table
 from .components import connected_components
 from .edit_distance import within
 
@@ -168,24 +169,25 @@ def line_dedup(docs: DataFrame, most: int = MOST_EDITS, least: int = LEAST_CHARS
     its own are replaced. An empty table gives no rows.
     """
     store = Store(docs.sparkSession, "lines")
-    dropped = repeated_lines(docs, store, most, least).select(F.col("doc_id").alias("_id"), "places")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*kept).join(small(dropped), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    plain = docs.select(*kept)
-    schema = plain.withColumn("n_lines", F.lit(0).cast("long")).withColumn(
-        "n_dropped", F.lit(0).cast("long")).schema
+    docs = docs.drop("n_lines", "n_dropped")
+    id_, gone_ = free("id", docs), free("places", docs)
+    dropped = repeated_lines(docs, store, most, least).toDF(id_, gone_)
+    rows = docs.join(small(dropped), F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()),
+                           T.StructField("n_dropped", T.LongType())])
 
     def cut(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column(gone_).to_pylist()):
                 gone = frozenset(places or ())
                 lines = text.split("\n") if text is not None else []
                 left = [x for i, x in enumerate(lines) if i not in gone]
                 texts.append(None if text is None else text if len(left) == len(lines) else "\n".join(left))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema.names)
 
@@ -198,5 +200,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: texts without repeated lines; a document of which no line is left goes."""
-    found = line_dedup(docs)
-    return found.filter("n_dropped = 0 OR n_dropped < n_lines").select(*docs.columns)
+    own = docs.drop("n_lines", "n_dropped")
+    found = line_dedup(docs).filter("n_dropped = 0 OR n_dropped < n_lines")
+    return found.select(*columns(own))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import meet, search, units
-from .common import Store, small, table
+from .common import Store, columns, small, table
 from .components import connected_components
 from .count_tree import GROUPS, box_join, overlap_bound, point
 from .words import shingle_sets
@@ -194,4 +194,4 @@ def keep_first_of_component(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     found = jaccard_components(docs)
     dropped = Store(spark, "near-copies").keep(
         found.filter("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(dropped), "doc_id", "left_anti").select(*columns(docs))
