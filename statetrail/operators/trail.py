@@ -17,11 +17,11 @@ from math import ceil
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import CUT_PREFIX, shared_dir
 
 ROWS_PER_TASK = 5_000_000
-MAX_HOT_KEYS = 100_000
-MAX_PIECES = 20_000
+# piece summaries and keys are sent to every task up to so many rows, and shuffled beyond
+BROADCAST_ROWS = 100_000
 WHOLE = -1  # piece number of a key that was not cut
 
 
@@ -32,6 +32,7 @@ class Trail:
     time: str
     tie: str
     piece: str | None = None  # column with the piece number, if any key was cut
+    few: bool = True  # whether the piece summaries may be broadcast
 
     @property
     def group(self) -> list[str]:
@@ -50,6 +51,13 @@ class Trail:
         """The same order over rows derived from these."""
         return replace(self, rows=rows)
 
+    def _attach(self, rows: DataFrame, summaries: DataFrame, name: str) -> DataFrame:
+        """Add a column of the piece summaries; rows of the key NULL meet theirs too."""
+        there = summaries.select(*[F.col(c).alias(f"_{c}_") for c in self.group], name)
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in self.group]
+        there = F.broadcast(there) if self.few else there
+        return rows.join(there, same, "left").drop(*[f"_{c}_" for c in self.group])
+
     def with_previous(self, **columns: str) -> Trail:
         """Add columns of the row before: ``with_previous(last_state="state")``."""
         return self._neighbour(columns, F.lag, F.max_by)
@@ -68,8 +76,8 @@ class Trail:
             border(values, F.struct(self.time, self.tie)).alias("_end"))
         pieces = Window.partitionBy(self.key).orderBy(self.piece)
         across = ends.select(*self.group, step("_end").over(pieces).alias("_across"))
-        rows = self.rows.withColumn("_near", step(values).over(self.window)).join(
-            F.broadcast(across), self.group, "left")
+        rows = self._attach(
+            self.rows.withColumn("_near", step(values).over(self.window)), across, "_across")
         found = rows.select(*self.rows.columns, F.coalesce("_near", "_across").alias("_found"))
         return self.on(found.select(
             *self.rows.columns, *[F.col(f"_found.{name}").alias(name) for name in columns]))
@@ -83,8 +91,7 @@ class Trail:
         before = (Window.partitionBy(self.key).orderBy(self.piece)
                   .rowsBetween(Window.unboundedPreceding, -1))
         skipped = sizes.select(*self.group, F.sum("_n").over(before).alias("_skip"))
-        rows = (self.rows.withColumn(name, rank)
-                .join(F.broadcast(skipped), self.group, "left"))
+        rows = self._attach(self.rows.withColumn(name, rank), skipped, "_skip")
         return self.on(rows.select(
             *self.rows.columns,
             (F.col(name) + F.coalesce("_skip", F.lit(0))).alias(name)))
@@ -117,7 +124,7 @@ class Trail:
         across = (points.withColumn("_across", F.max("_seen").over(earlier))
                   .filter(F.col(self.piece).isNotNull())
                   .select(*self.group, "_across"))
-        rows = here.rows.join(F.broadcast(across), self.group, "left")
+        rows = self._attach(here.rows, across, "_across")
         return self.on(rows.select(
             *self.rows.columns, F.coalesce(name, "_across").alias(name)))
 
@@ -127,29 +134,31 @@ def trail(rows: DataFrame, key: str = "unit_id", time: str = "ts", tie: str = "l
     """Order ``rows`` per ``key`` by (``time``, ``tie``), cutting the keys that are too large.
 
     The total comes from the file footers when ``rows`` is a plain scan. Only if it exceeds
-    ``rows_per_task`` are the keys counted. At most ``MAX_HOT_KEYS`` keys can be over the
-    limit, because the limit grows with the total; the pieces are bounded by ``MAX_PIECES``
-    plus those keys. So all that is broadcast here is bounded.
+    ``rows_per_task`` are the keys counted; those above the limit, of which there are at most
+    total / limit, are stored. Pieces grow in number with the rows of these keys, so that none
+    holds much more than the limit. Keys and piece summaries are broadcast while they are few and
+    shuffled beyond. The key NULL is a key like others.
     """
     limit = rows_per_task or ROWS_PER_TASK
-    total = rows.count()
-    if total <= limit:
+    if rows.count() <= limit:
         return Trail(rows, key, time, tie)
-    limit = max(limit, ceil(total / MAX_HOT_KEYS))
-    hot = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).collect()
-    hot = [row for row in hot if row[key] is not None]
-    if not hot:
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/{CUT_PREFIX}{uuid.uuid4().hex}"
+    (rows.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("n"))
+     .filter(F.col("n") > limit).write.parquet(f"{path}/keys"))
+    hot = spark.read.parquet(f"{path}/keys")
+    n_keys, n_rows = hot.agg(F.count("*"), F.sum("n")).first()
+    if not n_keys:
         return Trail(rows, key, time, tie)
 
-    spark = rows.sparkSession
-    keys = F.broadcast(spark.createDataFrame(
-        [(row[key],) for row in hot], rows.select(key).schema))
-    pieces = min(MAX_PIECES, ceil(2 * sum(row["n"] for row in hot) / limit))
-    path = f"{shared_dir(spark)}/trail-{uuid.uuid4().hex}"
-    (rows.join(keys, key, "left_semi")
+    keys = hot.select("_hot")
+    keys = F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys
+    same = rows[key].eqNullSafe(keys["_hot"])
+    pieces = ceil(2 * n_rows / limit)
+    (rows.join(keys, same, "left_semi")
      .repartitionByRange(pieces, key, time, tie)
      .withColumn("piece", F.spark_partition_id())
-     .write.parquet(path))
-    cut = spark.read.parquet(path)
-    uncut = rows.join(keys, key, "left_anti").withColumn("piece", F.lit(WHOLE))
-    return Trail(uncut.unionByName(cut), key, time, tie, "piece")
+     .write.parquet(f"{path}/rows"))
+    cut = spark.read.parquet(f"{path}/rows")
+    uncut = rows.join(keys, same, "left_anti").withColumn("piece", F.lit(WHOLE))
+    return Trail(uncut.unionByName(cut), key, time, tie, "piece", pieces + n_keys <= BROADCAST_ROWS)

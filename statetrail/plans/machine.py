@@ -12,7 +12,7 @@ from ..model import StateModel, literal_table
 from ..operators.latest import latest_per_unit
 from ..operators.lookup import LOOKUP_ROWS, bounded_rows, small
 from ..operators.trail import WHOLE, Trail, trail
-from ..session import shared_dir
+from ..session import RANGE_PREFIX, shared_dir
 from .replay import OUTCOME_SCHEMA, SIGNAL, START, chainer, composer, replayer
 
 
@@ -42,7 +42,7 @@ def create_units(model: StateModel, new_units: DataFrame, *, as_of=None,
 def _ranked(rows: DataFrame) -> DataFrame:
     """``rows`` with ``_rank``, their place by ``_order`` from 1."""
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{RANGE_PREFIX}{uuid.uuid4().hex}"
     (rows.repartitionByRange("_order").withColumn("_range", F.spark_partition_id())
      .write.parquet(path))
     stored = spark.read.parquet(path)
@@ -110,11 +110,14 @@ def signal_outcomes(model: StateModel, signals: DataFrame,
 
 
 def apply_signals(model: StateModel, signals: DataFrame, *, strict: bool = False,
-                  rows_per_task: int | None = None) -> tuple[DataFrame, DataFrame]:
+                  rows_per_task: int | None = None,
+                  path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Move units by signals: (log rows, rejected signals).
 
     A signal without a transition from the unit's state leaves the unit where it is.
     ``strict=True`` fails the query on such a signal. Event ids and log ids are one sequence.
+    With ``path`` all outcomes are written there first and both frames read them, so that the
+    replay runs once, whichever are used.
     """
     outcomes = signal_outcomes(model, signals, rows_per_task)
     if strict:
@@ -123,6 +126,9 @@ def apply_signals(model: StateModel, signals: DataFrame, *, strict: bool = False
                              F.col("initial_state_id").cast("string"))
         outcomes = outcomes.withColumn("final_state_id", F.coalesce(
             "final_state_id", F.raise_error(complaint).cast("bigint")))
+    if path is not None:
+        outcomes.write.parquet(path)
+        outcomes = outcomes.sparkSession.read.schema(outcomes.schema).parquet(path)
     log = outcomes.filter(F.col("final_state_id").isNotNull()).select(
         F.col("event_id").alias("log_id"), "unit_id", "initial_state_id", "final_state_id",
         "payload", "signal_id", "ts")

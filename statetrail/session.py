@@ -33,6 +33,31 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Beginnings of the folders that cut units and ranked rows are stored in.
+CUT_PREFIX, RANGE_PREFIX = "trail-", "ranges-"
+
+
+def require_shared_dir(spark: SparkSession) -> None:
+    """Fail at once, not when the first unit is too large, where the cluster names no folder."""
+    if not spark.sparkContext.master.startswith("local"):
+        shared_dir(spark)
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete what cut units and ranked rows were stored in; returns the number of folders.
+
+    To be called once the frames that read them are done with.
+    """
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [s.getPath() for s in (files.listStatus(base) if files.exists(base) else ())
+            if s.getPath().getName().startswith((CUT_PREFIX, RANGE_PREFIX))]
+    for path in gone:
+        files.delete(path, True)
+    return len(gone)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach.
 

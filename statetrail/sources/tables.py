@@ -16,6 +16,7 @@ from ..model import (
     StateModel,
 )
 from ..operators.lookup import LOOKUP_ROWS, small
+from ..session import require_shared_dir
 
 TABLES = {
     "state": STATE_SCHEMA,
@@ -33,6 +34,7 @@ def load_model(spark: SparkSession, path: str, fmt: str = "parquet",
     A log laid out by :func:`append_log` brings its ``day`` along, which prunes files wherever a
     query has a time range.
     """
+    require_shared_dir(spark)
     tables = {}
     for name, schema in TABLES.items():
         reader = spark.read.format(fmt).schema(schema)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import StateModel
 from ..operators.latest import latest_per_unit
 from ..plans.machine import signal_outcomes
+from .sink import drop_folders
 
 STATE_SCHEMA = "unit_id bigint, event_id bigint, ts timestamp, state bigint"
 OUTCOME_SCHEMA = ("unit_id bigint, event_id bigint, ts timestamp, signal_id bigint, "
@@ -69,6 +70,8 @@ def replay_batches(signals: DataFrame, model: StateModel, path: str, checkpoint:
             F.coalesce("final_state_id", "initial_state_id").alias("state"))
         untouched = known.join(newest.select("unit_id"), "unit_id", "left_anti")
         newest.unionByName(untouched).write.mode("overwrite").parquet(states(batch_id))
+        # the batch before may still be asked for by a retry of this one, older ones no more
+        drop_folders(spark, f"{path}/states", batch_id - 1)
 
     start = latest_per_unit(model.log.select("unit_id", "log_id", "ts", "final_state_id"))
     (start.select("unit_id", F.lit(-1).cast("bigint").alias("event_id"), "ts",

@@ -12,6 +12,7 @@ from statetrail.fixed_values import EDGES, SIGNALS, STATES
 from statetrail.functions import technician, technician_id_or_name, within, whole_number
 from statetrail.model import LOG_SCHEMA, SIGNALS_IN_SCHEMA
 from statetrail.operators import latest_per_unit, trail
+from statetrail.session import remove_intermediate
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
 FEW = settings(max_examples=6, deadline=None, derandomize=True,
@@ -259,3 +260,18 @@ def test_error_class_covers_all_words(spark):
     from statetrail.plans.board import unit_class
     assert [r[0] for r in df.select(unit_class("s")).collect()] == [
         "error", "error", "error", "", "success"]
+
+
+def test_rows_without_a_unit_are_cut_like_others(spark):
+    rows = [(n, None if n % 2 else 1, 1, 1, None, None, T0 + timedelta(seconds=n)) for n in range(80)]
+    schema = LOG_SCHEMA.replace("unit_id bigint NOT NULL", "unit_id bigint")
+    cut = trail(spark.createDataFrame(rows, schema), rows_per_task=10)
+    assert cut.cut_rows.filter("unit_id IS NULL").select("piece").distinct().count() > 2
+    found = cut.with_rank("r").with_previous(p="log_id").with_earlier_time("e").rows
+    assert sorted((r["log_id"], r["r"], r["p"], r["e"] is None) for r in found.collect()) == [
+        (n, n // 2 + 1, n - 2 if n > 1 else None, n < 2) for n in range(80)]
+
+
+def test_intermediate_folders_are_removed(spark):
+    trail(log_of(spark, [(7, 3)] * 30), rows_per_task=5)
+    assert remove_intermediate(spark) > 0 and remove_intermediate(spark) == 0

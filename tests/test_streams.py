@@ -215,3 +215,17 @@ def test_t5_ignores_what_is_behind_the_watermark(spark, tmp_path):
 
     feed.push([row(1, 1, 4, 5)]).push([row(2, 2, 4, 6)]).push([row(3, 1, 3, 1)]).push([row(4, 2, 4, 9)])
     assert feed.table().count() == 0
+
+
+def test_updates_by_key_are_brought_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("statetrail.streaming.sink.COMPACT_EVERY", 4)
+    rows = [(n, n % 3, 1, 2, None, 1, T0 + timedelta(hours=n)) for n in range(10)]
+    (tmp_path / "in").mkdir()
+    stream = current_state_stream(spark.readStream.schema(LOG_SCHEMA).parquet(f"{tmp_path}/in"))
+    for row in rows:
+        spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(
+            f"{tmp_path}/in")
+        run_available(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", keys=["unit_id"])
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch_id=")]) <= 6
+    table = last_updates(spark, f"{tmp_path}/out", stream.schema, ["unit_id"])
+    assert {(r["unit_id"], r["log_id"]) for r in table.collect()} == {(0, 9), (1, 7), (2, 8)}
