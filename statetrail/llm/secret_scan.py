@@ -33,7 +33,7 @@ _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _DIGESTS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _IDENTIFIERS = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9]*|[0-9+/_=-]+|(?:sha256|sha512|md5)-[A-Za-z0-9+/=]+")
+    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9_-]*Z?|[0-9+/_=-]+|(?:sha256|sha512|md5)-[A-Za-z0-9+/=]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -43,8 +43,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    if _DIGIT.search(text) or "a" in text:
-        found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return sorted(found)
 
 
