@@ -15,29 +15,38 @@ UTC = timezone.utc
 START = datetime(2025, 1, 10, 12, 0, 0, tzinfo=UTC)
 AS_OF = datetime(2025, 1, 10, 13, 0, 0, tzinfo=UTC)
 
-SHORT = {"C": "customer call", "A": "assign", "D": "dispatch", "R": "arrive",
-         "PM": "parts missing", "PO": "parts picked ok", "PF": "parts picked failed",
-         "OK": "finished work ok", "KO": "finished work failed",
-         "CN": "customer notification", "TI": "time interval"}
-
-# name, signals, technician, signals without technician, days back
+# The scenario's units, as (name, signals in order, technician, signals without
+# a technician, days that the unit lies back).
 UNITS = [
-    ("Repair Job Alpha", "C A D R OK CN", None, "", 0),
-    ("Repair Job Beta", "C A D R PM PO KO TI", None, "", 0),
-    ("Repair Job Gamma", "C A D R PM", "Mike Wilson", "", 3),
-    ("Repair Job Delta", "C A", "Lisa Chen", "", 0),
-    ("Repair Job Epsilon", "C A D R PM PF", "James Rodriguez", "C", 0),
-    ("Repair Job Zeta", "C A D R OK CN", "Alex Kim", "C CN", 1),
-    ("Repair Job Eta", "C A D R KO TI", "Maria Santos", "C TI", 0),
-    ("Repair Job Theta", "C A D", "Nina Patel", "C", 0),
-    ("Repair Job Iota", "C A D R", "Oliver Chen", "C", 0),
-    ("Repair Job Kappa", "C A D R PM PO PM PO OK CN", "Rachel Green", "C CN", 5),
-    ("Quick Job 1", "C A D R OK CN", "Quick Tech", "C CN", 1),
-    ("Quick Job 2", "C A D R KO", "Quick Tech", "C", 2),
-    ("Quick Job 3", "C A D R OK CN", "Quick Tech", "C CN", 3),
-    ("Incoming Job 1", "C", None, "", 0),
-    ("Incoming Job 2", "C", None, "", 0),
-    ("Incoming Job 3", "C", None, "", 0),
+    ("Repair Job Alpha", ["customer call", "assign", "dispatch", "arrive", "finished work ok",
+     "customer notification"], None, [], 0),
+    ("Repair Job Beta", ["customer call", "assign", "dispatch", "arrive", "parts missing",
+     "parts picked ok", "finished work failed", "time interval"], None, [], 0),
+    ("Repair Job Gamma", ["customer call", "assign", "dispatch", "arrive", "parts missing"],
+     "Mike Wilson", [], 3),
+    ("Repair Job Delta", ["customer call", "assign"], "Lisa Chen", [], 0),
+    ("Repair Job Epsilon", ["customer call", "assign", "dispatch", "arrive", "parts missing",
+     "parts picked failed"], "James Rodriguez", ["customer call"], 0),
+    ("Repair Job Zeta", ["customer call", "assign", "dispatch", "arrive", "finished work ok",
+     "customer notification"], "Alex Kim", ["customer call", "customer notification"], 1),
+    ("Repair Job Eta", ["customer call", "assign", "dispatch", "arrive", "finished work failed",
+     "time interval"], "Maria Santos", ["customer call", "time interval"], 0),
+    ("Repair Job Theta", ["customer call", "assign", "dispatch"], "Nina Patel",
+     ["customer call"], 0),
+    ("Repair Job Iota", ["customer call", "assign", "dispatch", "arrive"], "Oliver Chen",
+     ["customer call"], 0),
+    ("Repair Job Kappa", ["customer call", "assign", "dispatch", "arrive", "parts missing",
+     "parts picked ok", "parts missing", "parts picked ok", "finished work ok",
+     "customer notification"], "Rachel Green", ["customer call", "customer notification"], 5),
+    ("Quick Job 1", ["customer call", "assign", "dispatch", "arrive", "finished work ok",
+     "customer notification"], "Quick Tech", ["customer call", "customer notification"], 1),
+    ("Quick Job 2", ["customer call", "assign", "dispatch", "arrive", "finished work failed"],
+     "Quick Tech", ["customer call"], 2),
+    ("Quick Job 3", ["customer call", "assign", "dispatch", "arrive", "finished work ok",
+     "customer notification"], "Quick Tech", ["customer call", "customer notification"], 3),
+    ("Incoming Job 1", ["customer call"], None, [], 0),
+    ("Incoming Job 2", ["customer call"], None, [], 0),
+    ("Incoming Job 3", ["customer call"], None, [], 0),
 ]
 CALL_TAKER = {"Repair Job Gamma": "Sarah", "Repair Job Delta": "Reception"}
 
@@ -49,23 +58,23 @@ def log_rows(shifted=True):
     rows, log_id = [], 0
     for unit_id, (name, signals, tech, without, back) in enumerate(UNITS, 1):
         here = "neutral"
-        for short in [None, *signals.split()]:
+        for name_of in [None, *signals]:
             log_id += 1
             ts = START + timedelta(seconds=log_id - 1)
             if shifted:
                 ts -= timedelta(days=back)
-                if name == "Repair Job Delta" and short == "A":
+                if name == "Repair Job Delta" and name_of == "assign":
                     ts -= timedelta(days=2)
-            if short is None:
+            if name_of is None:
                 rows.append((log_id, unit_id, 1, 1, "{}", None, ts))
                 continue
-            there = edges[SHORT[short], here]
-            who = CALL_TAKER.get(name) if short == "C" and name in CALL_TAKER else tech
-            if short in without.split():
+            there = edges[name_of, here]
+            who = CALL_TAKER.get(name) if name_of == "customer call" and name in CALL_TAKER else tech
+            if name_of in without:
                 who = None
             payload = '{"tech": "%s"}' % who if who else "{}"
             rows.append((log_id, unit_id, state[here], state[there], payload,
-                         signal[SHORT[short]], ts))
+                         signal[name_of], ts))
             here = there
     return rows
 

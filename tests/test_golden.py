@@ -78,9 +78,10 @@ def test_q5_heatmap(model):
     edges = {s: (a, b) for s, a, b in EDGES}
     rows = fx.rows_of(st.transition_heatmap(model))
     counts = {signal: n for _, signal, _, n in rows}
-    assert counts == {fx.SHORT[k]: n for k, n in {
-        "C": 16, "A": 13, "D": 12, "R": 11, "CN": 5, "OK": 5, "PM": 5, "PO": 3, "KO": 3,
-        "TI": 2, "PF": 1}.items()}
+    assert counts == {
+        "customer call": 16, "assign": 13, "dispatch": 12, "arrive": 11, "customer notification": 5,
+        "finished work ok": 5, "parts missing": 5, "parts picked ok": 3, "finished work failed": 3,
+        "time interval": 2, "parts picked failed": 1}
     assert all(edges[signal] == (a, b) for a, signal, b, _ in rows)
     assert [n for *_, n in rows] == sorted((n for *_, n in rows), reverse=True)
     assert fx.rows_of(st.heatmap_top(model)) == rows[:10]
@@ -117,22 +118,28 @@ def test_q7_avg_state_durations(model):
         ("start of service", 0, 13, tick, tick)]
 
 
+# (events, units) by day and signal
 DAYS = {
-    "01-05": "PM2/1 PO2/1 R1/1 A1/1 C1/1 CN1/1 D1/1 OK1/1",
-    "01-07": "R2/2 A2/2 C2/2 D2/2 CN1/1 OK1/1 PM1/1",
-    "01-08": "A2/2 R1/1 C1/1 D1/1 KO1/1",
-    "01-09": "R2/2 A2/2 C2/2 CN2/2 D2/2 OK2/2",
-    "01-10": "C10/10 A6/6 D6/6 R5/5 KO2/2 PM2/2 TI2/2 CN1/1 OK1/1 PF1/1 PO1/1",
+    "01-05": {"parts missing": (2, 1), "parts picked ok": (2, 1), "arrive": (1, 1),
+              "assign": (1, 1), "customer call": (1, 1), "customer notification": (1, 1),
+              "dispatch": (1, 1), "finished work ok": (1, 1)},
+    "01-07": {"arrive": (2, 2), "assign": (2, 2), "customer call": (2, 2), "dispatch": (2, 2),
+              "customer notification": (1, 1), "finished work ok": (1, 1), "parts missing": (1, 1)},
+    "01-08": {"assign": (2, 2), "arrive": (1, 1), "customer call": (1, 1), "dispatch": (1, 1),
+              "finished work failed": (1, 1)},
+    "01-09": {"arrive": (2, 2), "assign": (2, 2), "customer call": (2, 2),
+              "customer notification": (2, 2), "dispatch": (2, 2), "finished work ok": (2, 2)},
+    "01-10": {"customer call": (10, 10), "assign": (6, 6), "dispatch": (6, 6), "arrive": (5, 5),
+              "finished work failed": (2, 2), "parts missing": (2, 2), "time interval": (2, 2),
+              "customer notification": (1, 1), "finished work ok": (1, 1), "parts picked failed": (1, 1),
+              "parts picked ok": (1, 1)},
 }
 
 
 def test_q8_daily_activity(model):
     expected = set()
-    for day, listed in DAYS.items():
-        for item in listed.split():
-            short = item.rstrip("0123456789/")
-            n, units = item[len(short):].split("/")
-            expected.add((f"{day} 00:00:00", fx.SHORT[short], int(n), int(units)))
+    for day, signals in DAYS.items():
+        expected.update((f"{day} 00:00:00", signal, *counts) for signal, counts in signals.items())
     rows = fx.rows_of(at(st.daily_activity(model, as_of=fx.AS_OF)))
     assert len(rows) == len(expected) and set(rows) == expected
     rollup = st.daily_rollup(model, as_of=fx.AS_OF).collect()

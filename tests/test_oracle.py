@@ -38,3 +38,25 @@ def test_cut(spark, duck, monkeypatch, name):
     """The same with every unit of more than 20 rows cut into pieces."""
     monkeypatch.setattr(sys.modules["statetrail.operators.trail"], "ROWS_PER_TASK", 20)
     assert compare.difference(spark, duck, SF_DIR, name) == ""
+
+
+# What rows are ordered by; a minus stands for descending.
+ORDERS = {
+    "q01_current_units": ["-state_since", "-unit_id"],
+    "q02_technician_board": ["technician", "state"],
+    "q03_sla_breaches": ["-hours_in_state", "id"],
+    "q05_transition_heatmap": ["-cnt", "from_state", "signal_name", "to_state"],
+    "q08_daily_activity": ["day", "-activity_count", "signal_name"],
+    "c05_process_board": ["-is_error", "state_since", "unit_id"],
+}
+
+
+@pytest.mark.parametrize("name", ORDERS)
+def test_order(spark, duck, name):
+    """The rows come in the order in which DuckDB sorts its own."""
+    df = registered.queries()[name](spark, SF_DIR)
+    keys = [(k.lstrip("-"), k.startswith("-")) for k in ORDERS[name]]
+    by = ", ".join(f"{k} DESC" if down else k for k, down in keys)
+    columns = ", ".join(k for k, _ in keys)
+    theirs = duck.execute(f"SELECT {columns} FROM ({oracle.oracle_sql()[name]}) ORDER BY {by}").fetchall()
+    assert [tuple(row[k] for k, _ in keys) for row in df.collect()] == theirs
