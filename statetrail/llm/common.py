@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a table of a few numbers that are sent to every executor; above it both sides shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Most cells of a table that is sent to every executor; above it both sides of a join shuffle.
+BROADCAST_CELLS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,15 @@ class Store:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, to be broadcast if its rows, counted first, are within the limit."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, in_arrays: Column | None = None) -> DataFrame:
+    """A stored table, to be broadcast if its cells, counted first, are within the limit.
+
+    ``in_arrays`` is how many cells the arrays of a row hold.
+    """
+    cells = F.count("*") * len(df.columns)
+    if in_arrays is not None:
+        cells += F.coalesce(F.sum(in_arrays), F.lit(0))
+    return F.broadcast(df) if df.agg(cells).first()[0] <= BROADCAST_CELLS else df
 
 
 def text_or_empty(df: DataFrame) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from .buckets import fresh, sides
 
 #: Groups of a tree's points, and most groups of a single point; powers of two.
-GROUPS, MOST_GROUPS = 128, 1 << 16
+GROUPS, MOST_GROUPS = 256, 1 << 16
 #: Points of a leaf, and children of an inner box.
 FANOUT = 16
 #: Stands for any count from there on.

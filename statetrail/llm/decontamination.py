@@ -80,11 +80,11 @@ def matches(docs: DataFrame, items: DataFrame, store: Store, window: int = WINDO
     places = (found.join(small(rarest), "token")
               .select("doc_id", "n", "wid", "length", (F.col("pos") - F.col("offset")).alias("start"))
               .filter("start >= 0 AND start + length <= n"))
-    places = places.join(small(each), "wid").filter(F.size("words") == F.col("length")).groupBy(
+    places = places.join(small(store.keep(each), F.size("words")), "wid").filter(F.size("words") == F.col("length")).groupBy(
         "doc_id").agg(F.collect_set(F.struct("start", "length", "wid", "words")).alias("places"))
     places = store.keep(places)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    read = (texts.join(small(places), F.col("id").eqNullSafe(F.col("doc_id")))
+    read = (texts.join(small(places, 20 * F.size("places")), F.col("id").eqNullSafe(F.col("doc_id")))
             .select("doc_id", F.xxhash64("text").alias("text_key"),
                     words_of(F.col("text")).alias("own"), "places"))
     exact = F.filter("places", lambda p: F.slice("own", p["start"] + 1, p["length"]) == p["words"])
@@ -130,7 +130,7 @@ def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                        F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return (rows.join(small(found), (F.col("text_key") == F.col("key"))
+    return (rows.join(small(found, F.size("items")), (F.col("text_key") == F.col("key"))
                       & F.col("doc_id").eqNullSafe(F.col("id")), "left")
             .select("doc_id", "n_words", n_hit.alias("n_hit"),
                     F.size(listed).cast("long").alias("n_items"), listed.alias("items"),

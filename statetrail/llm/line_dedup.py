@@ -135,7 +135,7 @@ def line_groups(docs: DataFrame, store: Store, most: int = MOST_EDITS, least: in
     firsts = lines.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("first"))
     wanted = store.keep(firsts.join(needed, "node").groupBy("first.doc_id").agg(
         F.collect_set(F.struct("first.place", "node")).alias("places")))
-    texts = store.keep(_texts(docs, small(wanted)))
+    texts = store.keep(_texts(docs, small(wanted, 2 * F.size("places"))))
     links = store.keep(_links(pairs, texts, most))
     labels = store.keep(connected_components(links, store))
     more = store.keep(search(units(shared, pivots, labels, texts), lambda unit: _compare(unit, most)))
@@ -172,7 +172,7 @@ def line_dedup(docs: DataFrame, most: int = MOST_EDITS, least: int = LEAST_CHARS
     docs = docs.drop("n_lines", "n_dropped")
     id_, gone_ = free("id", docs), free("places", docs)
     dropped = repeated_lines(docs, store, most, least).toDF(id_, gone_)
-    rows = docs.join(small(dropped), F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
+    rows = docs.join(small(dropped, F.size(gone_)), F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()),
                            T.StructField("n_dropped", T.LongType())])

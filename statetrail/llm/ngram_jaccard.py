@@ -24,6 +24,8 @@ shingles. Equal sets are one *node*. How all links between different sets are fo
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,28 +38,45 @@ from .count_tree import GROUPS, box_join, overlap_bound, point
 from .words import shingle_sets
 
 SIZE, PERCENT = 5, 75
-#: Groups that tokens are counted in to order them, a power of two.
-CELLS = 1 << 18
+#: Groups that tokens are counted in to order them, and how many of them go in one block.
+CELLS, BLOCK = 1 << 23, 1 << 16
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return (tokens >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)
 
 
 def group_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """How many (document, token) pairs fall into each group, over all documents."""
+    """How many (document, token) pairs fall into each group, over all documents.
+
+    Every task sends its counts in packed blocks, which are added up block by block; the whole is
+    CELLS numbers, whatever the size of the corpus.
+    """
     def count(batches):
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, "<i4")
         for batch in batches:
             for found in shingle_sets(batch.column(0), size):
                 np.add.at(total, _cell(found), 1)
-        used = np.flatnonzero(total)
-        yield pa.record_batch({"cell": used.astype(np.int32), "n": total[used]})
+        parts = [(at // BLOCK, total[at:at + BLOCK]) for at in range(0, CELLS, BLOCK)]
+        parts = [(block, zlib.compress(x.tobytes(), 1)) for block, x in parts if x.any()]
+        yield pa.record_batch({"block": pa.array([b for b, _ in parts], pa.int32()),
+                               "counts": pa.array([x for _, x in parts], pa.binary())})
 
-    rows = (docs.select("text").mapInArrow(count, "cell int, n long")
-            .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for block, x in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                part = np.frombuffer(zlib.decompress(x), "<i4")
+                total[block] = total[block] + part if block in total else part.astype("<i8")
+        yield pa.record_batch({
+            "block": pa.array(list(total), pa.int32()),
+            "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())})
+
+    schema = "block int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
     out = np.zeros(CELLS, np.int64)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    for block, x in rows.collect():
+        out[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(x)), "<i8")
     return out
 
 
