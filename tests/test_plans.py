@@ -5,7 +5,7 @@ import re
 import fixture as fx
 import pytest
 import statetrail as st
-from statetrail.sources import append_log, load_model
+from statetrail.sources import append_log, load_model, validate_model
 
 
 @pytest.fixture(scope="module")
@@ -83,10 +83,35 @@ def test_unit_filter_passes_the_window(stored):
 
 
 def test_technician_filter_stays_above_the_previous_event(stored):
+    """The units of the worker are chosen below the window, the worker's own rows above."""
     lines = plan(st.worker_detail(stored, "a")).splitlines()
     window = next(n for n, line in enumerate(lines) if "Window [max(ts" in line)
     wanted = [n for n, line in enumerate(lines) if "Filter" in line and "= a)" in line]
-    assert wanted and max(wanted) < window
+    semi = [n for n, line in enumerate(lines) if "LeftSemi" in line]
+    assert min(wanted) < window < min(semi) and max(wanted) > window
+
+
+def test_hourly_activity_shuffles_the_log_once(stored):
+    text = plan(st.hourly_activity(stored, hours=None))
+    assert "Expand" not in text
+    assert len([s for s in shuffles(text) if s.startswith("hashpartitioning") and "unit_id" in s]) == 1
+
+
+def test_new_units_are_ranked_without_a_single_task(spark):
+    new = spark.createDataFrame([(n, f"u{n}", "{}") for n in range(50)],
+                                "seq bigint, unit_name string, unit_details string")
+    units, log = st.create_units(fx.model(spark), new, as_of=fx.AS_OF)
+    assert not any("SinglePartition" in s for df in (units, log) for s in shuffles(plan(df)))
+
+
+def test_pieces_hold_only_what_is_asked_for(spark):
+    cut = fx.model(spark, rows_per_task=3).trail_of("initial_state_id")
+    assert cut.piece and sorted(cut.rows.columns) == [
+        "initial_state_id", "log_id", "piece", "ts", "unit_id"]
+
+
+def test_the_integrity_report_reads_the_log_three_times(stored):
+    assert len(log_reads(plan(validate_model(stored)))) == 3
 
 
 def test_history_keeps_only_the_wanted_rows_per_task(stored):
