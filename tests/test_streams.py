@@ -229,3 +229,12 @@ def test_updates_by_key_are_brought_together(spark, tmp_path, monkeypatch):
     assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch_id=")]) <= 6
     table = last_updates(spark, f"{tmp_path}/out", stream.schema, ["unit_id"])
     assert {(r["unit_id"], r["log_id"]) for r in table.collect()} == {(0, 9), (1, 7), (2, 8)}
+
+
+@pytest.mark.parametrize("replayed", [False, True], ids=["state", "replay"])
+def test_t4_a_signal_that_comes_twice_is_late(spark, tmp_path, replayed):
+    feed = SignalFeed(spark, tmp_path, fx.model(spark, rows=[]), replayed)
+    call = (1, 1, "customer call", "{}", T0)
+    feed.push([call, call, (2, 1, "assign", "{}", T0 + timedelta(hours=1))]).push([call])
+    assert sorted(r["outcome"] for r in feed.table().collect()) == [
+        "accepted", "accepted", "late", "late"]
