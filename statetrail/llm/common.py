@@ -27,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def parts(batches, rows: int = 500):
+    """The batches in slices, so that a task makes Python objects of few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 class Store:
     """Intermediate tables in a folder of their own below the shared folder.
 

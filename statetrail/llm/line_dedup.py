@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import fresh, meet, search, sides, units
-from .common import Store, columns, free, small, table
+from .common import Store, columns, free, parts, small, table
 from .components import connected_components
 from .edit_distance import within
 
@@ -60,7 +60,7 @@ def keys(line: str, most: int) -> tuple[list[int], list[int]]:
 def lines_of(docs: DataFrame, most: int, least: int) -> DataFrame:
     """doc_id, place, node and keys of every line of at least ``least`` characters."""
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows, known = [], {}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for place, line in enumerate((text or "").split("\n")):
@@ -82,7 +82,7 @@ def lines_of(docs: DataFrame, most: int, least: int) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and its line, for the wanted (doc_id, places of nodes)."""
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             nodes, lines = [], []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
                 cut = (text or "").split("\n")
@@ -178,7 +178,7 @@ def line_dedup(docs: DataFrame, most: int = MOST_EDITS, least: int = LEAST_CHARS
                            T.StructField("n_dropped", T.LongType())])
 
     def cut(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, places in zip(batch.column("text").to_pylist(), batch.column(gone_).to_pylist()):
                 gone = frozenset(places or ())

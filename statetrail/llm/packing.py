@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import parts, table
 from .vocabulary import default_path, default_pattern, load_tokens
 
 #: Tokens of a row; tokens that a task packs together.
@@ -129,7 +129,7 @@ def packed(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                                   mergeable_ranks={t: i for i, t in enumerate(tokens.value)})
         kind = "<u2" if len(tokens.value) <= 1 << 16 else "<u4"
         doc_ids, ids, held, block = [], [], 0, 0
-        for batch in batches:
+        for batch in parts(batches):
             block = batch.column("part")[0].as_py() << 32 | block & 0xFFFFFFFF if len(batch) else block
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = np.array(coder.encode_ordinary(text or ""), kind)

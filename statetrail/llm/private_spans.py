@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts, table
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -252,7 +252,7 @@ def trained(samples: list[str]) -> SemiMarkov:
 def training_regions(docs: DataFrame) -> list[str]:
     """At most SAMPLE_REGIONS regions, of at most SAMPLE_DOCS documents chosen by a hash of the id."""
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 text = text or ""
@@ -280,7 +280,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         model = SemiMarkov(weights.value)
-        for batch in batches:
+        for batch in parts(batches):
             counts, base, spans = [[] for _ in KINDS], [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts, table
 from .vocabulary import default_path, default_pattern, load_tokens
 
 KINDS = ("assign", "access", "hex", "random")
@@ -87,7 +87,7 @@ def secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
         import tiktoken
         coder = tiktoken.Encoding("bytes", pat_str=pattern, special_tokens={},
                                   mergeable_ranks={t: i for i, t in enumerate(tokens.value)})
-        for batch in batches:
+        for batch in parts(batches):
             counts, base, spans = ([], [], []), [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""

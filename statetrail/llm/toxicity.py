@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, small, table
+from .common import Store, parts, small, table
 from .toxicity_grammar import KINDS, TOKEN, Reader
 
 #: Most labelled rows that are learned from; which ones is decided by a hash of the doc_id.
@@ -38,7 +38,7 @@ def learned_words(sample: DataFrame) -> set[str]:
     """Words and beginnings of words that mark toxic samples (text, toxic)."""
     def count(batches):
         with_, without = Counter(), Counter()
-        for batch in batches:
+        for batch in parts(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 (with_ if toxic else without).update(_forms(text or ""))
         forms = [w for w in with_.keys() | without.keys()]
@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store) -> tuple[set[str], l
 
     def read(batches):
         reader = Reader(words)
-        for batch in batches:
+        for batch in parts(batches):
             out = [_features(*reader.counts(t or "")) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"x": pa.array(out, pa.list_(pa.float64())),
                                    "toxic": batch.column("toxic")})
@@ -106,7 +106,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches):
         reader, w = Reader(words), np.array(weights)
-        for batch in batches:
+        for batch in parts(batches):
             x = [_features(*reader.counts(t or "")) for t in batch.column("text").to_pylist()]
             x = np.array(x, float).reshape(-1, len(w))
             yield pa.record_batch({"doc_id": batch.column("doc_id"),
@@ -127,7 +127,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def keep(batches):
         reader, w = Reader(words), np.array(weights)
-        for batch in batches:
+        for batch in parts(batches):
             x = [_features(*reader.counts(t or "")) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(np.array(x, float).reshape(-1, len(w)) @ w < 0))
 

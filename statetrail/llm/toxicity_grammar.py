@@ -145,7 +145,7 @@ class Reader:
         """How many clauses there are of each kind, and how many words and marks."""
         words = TOKEN.findall(text.lower())
         seen, out = self.seen, [0] * len(KINDS)
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         for word in set(words).difference(seen):
             seen[word] = self.kind(word)
