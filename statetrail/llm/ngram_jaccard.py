@@ -176,9 +176,15 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     nodes = store.keep(document_nodes(docs, classes, size, percent))
     entries = nodes.select(F.explode("firsts").alias("token"), "node")
     shared, pivots, pairs = meet(entries, store)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = store.keep(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-                        .join(needed, "node"))
+    every = store.keep(nodes.filter("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
+    sized = every.select("node", "n")
+    pairs = store.keep(
+        pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
+        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+    needed = (pairs.select(F.explode(F.array("a", "b")).alias("node"))
+              .unionByName(shared.select("node")).distinct())
+    wanted = store.keep(every.select("node", "doc_id").join(needed, "node"))
     points = nodes.withColumnRenamed("n_shingles", "n").select("doc_id", "node", "n", "point", "box")
     points = store.keep(points.alias("p").join(
         small(wanted).alias("w"), (F.col("p.node") == F.col("w.node"))
@@ -190,7 +196,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     if not more.isEmpty():
         links = links.unionByName(_verified(more, points, docs, size, percent, store))
         labels = store.keep(connected_components(links, store))
-    every = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    every = every.select("node", F.col("doc_id").alias("least"))
     named = every.join(labels, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     grouped = every.join(labels, "node").join(named, "component").select("node", "component_id")
     alone = every.join(labels, "node", "left_anti").select("node", F.col("least").alias("component_id"))
