@@ -49,7 +49,7 @@ ON_STORED = {
     "w4_prev_event": lambda m: m.trail.with_earlier_time("earlier").rows,
     "c05_process_board": lambda m: st.process_board(m, as_of=AS_OF),
     "c07_lifecycle": st.lifecycle_progress,
-    "m4_unit_status": st.unit_status,
+    "m4_unit_status": registered.status,
     "m6_audit_log": st.audit_log,
 }
 AS_REGISTERED = """m1_create_units m2_apply_signals m5_terminal_states l1_load_model l3_upsert_missing
