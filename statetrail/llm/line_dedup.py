@@ -12,6 +12,8 @@ Of each group of equal or linked lines the first, by doc_id and place, stays.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,8 +26,19 @@ from .common import Store, columns, free, parts, small, table
 from .components import connected_components
 from .edit_distance import within
 
-#: Edits that lines may differ by, and characters below which a line is left alone.
+#: Edits that lines may differ by, and characters below which ``line_dedup`` leaves a line alone if
+#: nothing else is asked for. A line without a word is always left alone below LEAST_CHARS.
 MOST_EDITS, LEAST_CHARS = 1, 32
+#: What the query and the stage ask for: every line with a word repeats if it is equal to an earlier
+#: one, and one edit per so many characters, up to so many, is allowed beside.
+ALL_LINES, EDITS = 1, (32, 1)
+
+_WORD = re.compile(r"\w")
+
+
+def edits(length: int, most: int | tuple[int, int]) -> int:
+    """Edits within which a line of that length is linked with another that is no shorter."""
+    return most if isinstance(most, int) else min(length // most[0], most[1])
 
 
 def _number(data: str, seed: int = 0) -> int:
@@ -57,17 +70,27 @@ def keys(line: str, most: int) -> tuple[list[int], list[int]]:
     return own, sorted(asked.difference(own))
 
 
-def lines_of(docs: DataFrame, most: int, least: int) -> DataFrame:
-    """doc_id, place, node and keys of every line of at least ``least`` characters."""
+def counted(line: str, least: int) -> bool:
+    return len(line) >= least and (len(line) >= LEAST_CHARS or _WORD.search(line) is not None)
+
+
+def lines_of(docs: DataFrame, most: int | tuple[int, int], least: int) -> DataFrame:
+    """doc_id, place, node and keys of every line that counts.
+
+    Keys come with a line's first place in a slice of documents, and not at all if the line is too
+    short for an edit.
+    """
     def run(batches):
         for batch in parts(batches):
             rows, known = [], {}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for place, line in enumerate((text or "").split("\n")):
-                    if len(line) >= least:
-                        if line not in known:
-                            known[line] = (_number(line), *keys(line, most))
-                        rows.append((doc_id, place, *known[line]))
+                    if line in known:
+                        rows.append((doc_id, place, known[line], None, None))
+                    elif counted(line, least):
+                        known[line], bound = _number(line), edits(len(line), most)
+                        rows.append((doc_id, place, known[line],
+                                     *(keys(line, bound) if bound else (None, None))))
             yield pa.record_batch({
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()),
                 "place": pa.array([r[1] for r in rows], pa.int32()),
@@ -100,7 +123,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, lines: DataFrame, most: int) -> DataFrame:
     def verify(batches):
         for batch in batches:
-            near = [within(x, y, most) for x, y in
+            near = [within(x, y, edits(min(len(x), len(y)), most)) for x, y in
                     zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
@@ -114,18 +137,19 @@ def _compare(unit: pa.Table, most: int):
         return
     node, ask = members.column("node").to_numpy(), fresh(members)
     lines = members.column("line").to_pylist()
-    sizes = np.array([len(x) for x in lines])
+    sizes, bounds = np.array([len(x) for x in lines]), np.array([edits(len(x), most) for x in lines])
     a, b = [], []
     for own, kind, line in zip(probes.column("node").to_numpy(), probes.column("component").to_numpy(),
                                probes.column("line").to_pylist()):
-        for at in ask(own, kind, np.flatnonzero(np.abs(sizes - len(line)) <= most)):
-            if within(line, lines[at], most):
+        for at in ask(own, kind, np.flatnonzero(np.abs(sizes - len(line)) <= np.minimum(
+                bounds, edits(len(line), most)))):
+            if within(line, lines[at], min(bounds[at], edits(len(line), most))):
                 a.append(min(own, node[at]))
                 b.append(max(own, node[at]))
     yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def line_groups(docs: DataFrame, store: Store, most: int = MOST_EDITS, least: int = LEAST_CHARS):
+def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOST_EDITS, least: int = LEAST_CHARS):
     """(lines, labels): doc_id, place and node of the lines; node and component of linked nodes."""
     lines = store.keep(lines_of(docs, most, least))
     entries = lines.select(F.explode("own").alias("token"), "node", F.lit(True).alias("held")).unionByName(
@@ -144,7 +168,7 @@ def line_groups(docs: DataFrame, store: Store, most: int = MOST_EDITS, least: in
     return lines.select("doc_id", "place", "node"), labels
 
 
-def repeated_lines(docs: DataFrame, store: Store, most: int = MOST_EDITS,
+def repeated_lines(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOST_EDITS,
                    least: int = LEAST_CHARS) -> DataFrame:
     """doc_id and the places (from 0) of its lines that are equal or linked to an earlier one."""
     lines, labels = line_groups(docs, store, most, least)
@@ -158,11 +182,15 @@ def repeated_lines(docs: DataFrame, store: Store, most: int = MOST_EDITS,
     return store.keep(rows.filter(~same).groupBy("doc_id").agg(F.collect_set("place").alias("places")))
 
 
-def line_dedup(docs: DataFrame, most: int = MOST_EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, most: int | tuple[int, int] = MOST_EDITS,
+               least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the lines that repeat taken out of ``text``, and n_lines and n_dropped (long).
 
     A line repeats if an earlier line, by doc_id and place, is in its group: equal lines and lines
-    within ``most`` edits, and what these lead to. Lines of fewer than ``least`` characters stay.
+    within ``most`` edits, and what these lead to. ``most`` may be a pair (characters, edits): one
+    edit for so many characters of the shorter line, up to so many edits; lines too short for one
+    repeat only if they are equal. Lines of fewer than ``least`` characters stay, and so do those
+    of fewer than LEAST_CHARS without a word (blank ones, say).
     Null text stays null and has no lines; an empty text has one. A null doc_id is before all
     others; rows of equal doc_id are one document as to order, so that equal rows keep the same
     lines. All columns of ``docs`` are returned as they are; columns n_lines and n_dropped of
@@ -195,11 +223,11 @@ def line_dedup(docs: DataFrame, most: int = MOST_EDITS, least: int = LEAST_CHARS
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup(table(spark, sf_dir, "documents"), EDITS, ALL_LINES).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: texts without repeated lines; a document of which no line is left goes."""
     own = docs.drop("n_lines", "n_dropped")
-    found = line_dedup(docs).filter("n_dropped = 0 OR n_dropped < n_lines")
+    found = line_dedup(docs, EDITS, ALL_LINES).filter("n_dropped = 0 OR n_dropped < n_lines")
     return found.select(*columns(own))

@@ -104,3 +104,10 @@ def test_stage_drops_documents_of_which_nothing_is_left(spark, docs_of):
     texts = {1: line, 2: line, 3: f"{line}\nown words", 4: "", 5: line[:-1] + "x"}
     kept = ld.drop_repeated_lines(spark, docs_of(texts), "")
     assert {r.doc_id: r.text for r in kept.collect()} == {1: line, 3: "own words", 4: ""}
+
+
+def test_equal_lines_repeat_at_any_length(spark, tmp_path, docs_of):
+    texts = {1: "Yes.\n\nname: x\n--\n", 2: "Yes.\n\nname: y\nYes.\n--", 3: "中\nno", 4: "no\n中"}
+    docs_of(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.text, r.n_dropped) for r in ld.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {1: (texts[1], 0), 2: ("\nname: y\n--", 2), 3: (texts[3], 0), 4: ("", 2)}
