@@ -1,11 +1,14 @@
 """Line dedup: lines within a few edits of each other, by a segment-partition edit join.
 
-A line that is cut into threshold + 1 segments keeps at least one of them unchanged under at most
-threshold edits. So each distinct line is entered under its own segments (with its length and
-the segment's number), and looked up under those of its substrings that could be such a segment
-of a line of its length or up to threshold shorter; of these only the places that a
-left-to-right alignment within the bound allows are asked. Lines that meet are verified by
-banded bit-parallel edit distance.
+Of threshold + 1 segments of a line at least one stays unchanged under at most threshold edits, with
+at most i edits before it if it is segment i, and at most threshold - i behind it. Segments of
+the first half lie at fixed places from the beginning of the line, those of the second half from
+its end, with a size that depends on a class of lengths. So each distinct line is entered under
+its own segments, and looked up under those of its substrings that could be such a segment of a
+line of its class, or of the class below if that is within reach: a segment of the first half
+can have moved by i places at most, one of the second half by threshold - i from the end. Lines
+that meet are asked for their lengths and counts of characters first, and verified by banded
+bit-parallel edit distance.
 
 Of each group of equal or linked lines the first, by doc_id and place, stays.
 """
@@ -31,7 +34,7 @@ from .edit_distance import within
 MOST_EDITS, LEAST_CHARS = 1, 32
 #: What the query and the stage ask for: every line with a word repeats if it is equal to an earlier
 #: one, and one edit per so many characters, up to so many, is allowed beside.
-ALL_LINES, EDITS = 1, (32, 1)
+ALL_LINES, EDITS = 1, (16, 8)
 
 _WORD = re.compile(r"\w")
 
@@ -45,61 +48,106 @@ def _number(data: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
 
 
-def segments(length: int, most: int) -> list[tuple[int, int]]:
-    """(start, size) of the most + 1 segments of a line of that length; sizes differ by 1."""
-    size, longer = divmod(length, most + 1)
-    sizes = [size + (i >= most + 1 - longer) for i in range(most + 1)]
-    return [(sum(sizes[:i]), sizes[i]) for i in range(most + 1)]
+def length_class(length: int, most: int | tuple[int, int]) -> tuple[int, int]:
+    """(least length of the class, edits); classes are wider than the edits."""
+    bound = edits(length, most)
+    if isinstance(most, int):
+        low = bound + 1
+    elif bound < most[1]:
+        return bound * most[0], bound
+    else:
+        low = most[0] * bound
+    if length < low:
+        return 0, bound
+    while length >= (above := max(low * 3 // 2, low + bound + 1)):
+        low = above
+    return low, bound
 
 
-def keys(line: str, most: int) -> tuple[list[int], list[int]]:
+def keys(line: str, most: int | tuple[int, int]) -> tuple[list[int], list[int]]:
     """Own keys, and those under which the line is looked for among others."""
     n, own, asked = len(line), [], set()
-    for shorter in range(most + 1):
-        length = n - shorter
-        for i, (start, size) in enumerate(segments(length, most)):
-            seed = length * (most + 1) + i
-            left = max(start - i, start + shorter - (most - i), 0)
-            right = min(start + i, start + shorter + (most - i), n - size)
-            for at in range(left, right + 1):
-                key = _number(line[at:at + size], seed)
-                if not shorter and at == start:
+    raw = line.encode("utf-32-le", "surrogatepass")
+    mine = length_class(n, most)
+    classes = [mine]
+    if mine[0]:
+        below = length_class(mine[0] - 1, most)
+        if n - below[1] < mine[0]:
+            classes.append(below)
+    for low, bound in classes:
+        if not bound:
+            continue
+        size = low // (bound + 1)
+        for i in range(bound + 1):
+            first_half = i <= bound - i
+            start = i * size if first_half else n - (bound + 1 - i) * size
+            moved = i if first_half else bound - i
+            for at in range(max(start - moved, 0), min(start + moved, n - size) + 1):
+                key = xxhash.xxh64_intdigest(raw[4 * at:4 * (at + size)], low * (bound + 1) + i) - (1 << 63)
+                if at == start and low == mine[0]:
                     own.append(key)
                 else:
                     asked.add(key)
     return own, sorted(asked.difference(own))
 
 
+def signature(line: str) -> bytes:
+    """How often characters come, by the last five bits of their numbers, each count modulo 256."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(codes & 31, minlength=32).astype(np.uint8).tobytes()
+
+
+def _counts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
+
+
+def _bounds(sizes: np.ndarray, most: int | tuple[int, int]) -> np.ndarray:
+    return np.full(len(sizes), most) if isinstance(most, int) else np.minimum(sizes // most[0], most[1])
+
+
+def alike(size_a, counts_a, size_b, counts_b, most) -> np.ndarray:
+    """Whether lengths and counts allow that lines are within the bound: an edit takes at most one
+    character away and brings at most one. Differences within the bound survive the modulus."""
+    bound = _bounds(np.minimum(size_a, size_b), most)
+    lost = (counts_a - counts_b).view(np.int8).astype(np.int32)
+    return ((np.abs(size_a - size_b) <= bound) & (np.maximum(lost, 0).sum(axis=-1) <= bound)
+            & (np.maximum(-lost, 0).sum(axis=-1) <= bound))
+
+
 def counted(line: str, least: int) -> bool:
     return len(line) >= least and (len(line) >= LEAST_CHARS or _WORD.search(line) is not None)
 
 
 def lines_of(docs: DataFrame, most: int | tuple[int, int], least: int) -> DataFrame:
-    """doc_id, place, node and keys of every line that counts.
+    """doc_id, place and node of every line that counts, with size, signature and keys.
 
-    Keys come with a line's first place in a slice of documents, and not at all if the line is too
+    These come with a line's first place in a slice of documents, and not at all if the line is too
     short for an edit.
     """
+    none = (None,) * 4
+
     def run(batches):
         for batch in parts(batches):
             rows, known = [], {}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for place, line in enumerate((text or "").split("\n")):
                     if line in known:
-                        rows.append((doc_id, place, known[line], None, None))
+                        rows.append((doc_id, place, known[line], *none))
                     elif counted(line, least):
-                        known[line], bound = _number(line), edits(len(line), most)
-                        rows.append((doc_id, place, known[line],
-                                     *(keys(line, bound) if bound else (None, None))))
+                        known[line] = _number(line)
+                        rows.append((doc_id, place, known[line], *(
+                            (len(line), signature(line), *keys(line, most)) if edits(len(line), most) else none)))
             yield pa.record_batch({
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()),
                 "place": pa.array([r[1] for r in rows], pa.int32()),
                 "node": pa.array([r[2] for r in rows], pa.int64()),
-                "own": pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                "asked": pa.array([r[4] for r in rows], pa.list_(pa.int64()))})
+                "size": pa.array([r[3] for r in rows], pa.int32()),
+                "signature": pa.array([r[4] for r in rows], pa.binary()),
+                "own": pa.array([r[5] for r in rows], pa.list_(pa.int64())),
+                "asked": pa.array([r[6] for r in rows], pa.list_(pa.int64()))})
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, place int, node long, own array<long>, asked array<long>")
+        run, "doc_id long, place int, node long, size int, signature binary, own array<long>, asked array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -120,51 +168,72 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             .mapInArrow(run, "node long, line string").dropDuplicates(["node"]))
 
 
-def _links(pairs: DataFrame, lines: DataFrame, most: int) -> DataFrame:
+def _near(pairs: DataFrame, marks: DataFrame, most: int | tuple[int, int]) -> DataFrame:
+    """The pairs whose lengths and counts allow a link."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = alike(batch.column("m").to_numpy(), _counts(batch.column("x")),
+                             batch.column("n").to_numpy(), _counts(batch.column("y")), most)
+                yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    both = pairs.join(marks.toDF("a", "m", "x"), "a").join(marks.toDF("b", "n", "y"), "b")
+    return both.select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, lines: DataFrame, store: Store,
+           most: int | tuple[int, int]) -> DataFrame:
+    """The pairs that are within the bound; only their lines are read again."""
     def verify(batches):
         for batch in batches:
             near = [within(x, y, edits(min(len(x), len(y)), most)) for x, y in
                     zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    needed = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    firsts = lines.join(small(needed), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("doc_id", "place")).alias("first"))
+    wanted = store.keep(firsts.groupBy("first.doc_id").agg(
+        F.collect_set(F.struct("first.place", "node")).alias("places")))
+    texts = store.keep(_texts(docs, small(wanted, 2 * F.size("places"))))
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    return store.keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
 
 
-def _compare(unit: pa.Table, most: int):
+def _compare(unit: pa.Table, most: int | tuple[int, int]):
     members, probes = sides(unit)
     if not len(members) or not len(probes):
         return
     node, ask = members.column("node").to_numpy(), fresh(members)
-    lines = members.column("line").to_pylist()
-    sizes, bounds = np.array([len(x) for x in lines]), np.array([edits(len(x), most) for x in lines])
+    sizes, counts = members.column("size").to_numpy(), _counts(members.column("signature"))
     a, b = [], []
-    for own, kind, line in zip(probes.column("node").to_numpy(), probes.column("component").to_numpy(),
-                               probes.column("line").to_pylist()):
-        for at in ask(own, kind, np.flatnonzero(np.abs(sizes - len(line)) <= np.minimum(
-                bounds, edits(len(line), most)))):
-            if within(line, lines[at], min(bounds[at], edits(len(line), most))):
-                a.append(min(own, node[at]))
-                b.append(max(own, node[at]))
-    yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOST_EDITS, least: int = LEAST_CHARS):
+    for own, kind, size, count in zip(
+            probes.column("node").to_numpy(), probes.column("component").to_numpy(),
+            probes.column("size").to_numpy(), _counts(probes.column("signature"))):
+        at = ask(own, kind, np.flatnonzero(np.abs(sizes - size) <= _bounds(np.minimum(sizes, size), most)))
+        at = at[alike(sizes[at], counts[at], size, count, most)]
+        a.append(np.minimum(own, node[at]))
+        b.append(np.maximum(own, node[at]))
+    yield pa.record_batch({"a": pa.array(np.concatenate(a), pa.int64()),
+                           "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOST_EDITS,
+                least: int = LEAST_CHARS):
     """(lines, labels): doc_id, place and node of the lines; node and component of linked nodes."""
     lines = store.keep(lines_of(docs, most, least))
     entries = lines.select(F.explode("own").alias("token"), "node", F.lit(True).alias("held")).unionByName(
         lines.select(F.explode("asked").alias("token"), "node", F.lit(False).alias("held")))
     shared, pivots, pairs = meet(entries, store, F.bool_or("held"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    firsts = lines.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    wanted = store.keep(firsts.join(needed, "node").groupBy("first.doc_id").agg(
-        F.collect_set(F.struct("first.place", "node")).alias("places")))
-    texts = store.keep(_texts(docs, small(wanted, 2 * F.size("places"))))
-    links = store.keep(_links(pairs, texts, most))
+    met = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    marks = store.keep(lines.filter("size IS NOT NULL").select("node", "size", "signature")
+                       .join(small(met), "node", "left_semi").dropDuplicates(["node"]))
+    links = _links(store.keep(_near(pairs, marks, most)), docs, lines, store, most)
     labels = store.keep(connected_components(links, store))
-    more = store.keep(search(units(shared, pivots, labels, texts), lambda unit: _compare(unit, most)))
+    more = store.keep(search(units(shared, pivots, labels, marks), lambda unit: _compare(unit, most)))
     if not more.isEmpty():
-        labels = store.keep(connected_components(links.unionByName(more), store))
+        links = links.unionByName(_links(more, docs, lines, store, most))
+        labels = store.keep(connected_components(links, store))
     return lines.select("doc_id", "place", "node"), labels
 
 

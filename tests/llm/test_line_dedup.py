@@ -2,6 +2,8 @@ import random
 import string
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from statetrail.llm import buckets
 from statetrail.llm import line_dedup as ld
@@ -111,3 +113,56 @@ def test_equal_lines_repeat_at_any_length(spark, tmp_path, docs_of):
     docs_of(texts).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: (r.text, r.n_dropped) for r in ld.op10_line_dedup(spark, str(tmp_path)).collect()}
     assert found == {1: (texts[1], 0), 2: ("\nname: y\n--", 2), 3: (texts[3], 0), 4: ("", 2)}
+
+
+GROWING = (8, 5)
+
+
+def edited(rnd, line, n):
+    line = list(line)
+    for _ in range(n):
+        i, what = rnd.randrange(len(line) + 1), rnd.randint(0, 2)
+        line[i:i + (what > 0)] = rnd.choice("abc") if what < 2 else ""
+    return "".join(line)
+
+
+def test_lines_within_a_growing_bound_share_a_key_and_are_alike():
+    rnd = random.Random(7)
+    for _ in range(6000):
+        a = "".join(rnd.choices("abc", k=rnd.randint(8, 90)))
+        b = edited(rnd, a, ld.edits(len(a), GROWING))
+        bound = ld.edits(min(len(a), len(b)), GROWING)
+        if within(a, b, bound):
+            (own_a, asked_a), (own_b, asked_b) = ld.keys(a, GROWING), ld.keys(b, GROWING)
+            assert not bound or set(own_a) & {*own_b, *asked_b} or set(own_b) & {*own_a, *asked_a}
+            counts = [ld._counts(pa.array([ld.signature(x)])) for x in (a, b)]
+            assert ld.alike(np.array([len(a)]), counts[0], np.array([len(b)]), counts[1], GROWING).all()
+
+
+@pytest.mark.parametrize("unit", [None, (2, 3)])
+def test_growing_bound_as_plain(docs_of, monkeypatch, unit):
+    if unit:
+        monkeypatch.setattr(buckets, "PROBES", unit[0])
+        monkeypatch.setattr(buckets, "MEMBERS", unit[1])
+    rnd = random.Random(3)
+    stock = ["".join(rnd.choices("abcd ", k=rnd.randint(12, 90))) for _ in range(25)]
+    texts = {d: "\n".join(edited(rnd, rnd.choice(stock), rnd.choice([0, 1, 2, 3, 4, 5]))
+                          for _ in range(rnd.randint(1, 5))) for d in range(80)}
+    found = {r.doc_id: r.text for r in ld.line_dedup(docs_of(texts), GROWING, 4).collect()}
+    lines = sorted((d, i, x) for d, t in texts.items() for i, x in enumerate(t.split("\n")))
+    group, linked = list(range(len(lines))), 0
+    for i, (_, _, x) in enumerate(lines):
+        for j, (_, _, y) in enumerate(lines[:i]):
+            if x == y or within(x, y, ld.edits(min(len(x), len(y)), GROWING)):
+                linked += not within(x, y, 1)
+                group = [group[j] if g == group[i] else g for g in group]
+    left = [at for i, at in enumerate(lines) if group.index(group[i]) == i]
+    assert linked and found == {d: "\n".join(x for e, _, x in left if e == d) for d in texts}
+
+
+def test_query_links_long_lines_with_a_word_replaced(spark, tmp_path, docs_of):
+    line = " ".join(f"word{i} stands here" for i in range(15))
+    docs_of({1: line, 2: line.replace("word7", "another"), 3: line[::-1]}).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    found = ld.op10_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_dropped for r in found} == {1: 0, 2: 1, 3: 0}
