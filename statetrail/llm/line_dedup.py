@@ -265,14 +265,20 @@ def line_dedup(docs: DataFrame, most: int | tuple[int, int] = MOST_EDITS,
     lines. All columns of ``docs`` are returned as they are; columns n_lines and n_dropped of
     its own are replaced. An empty table gives no rows.
     """
+    rows, worded = _without_repeats(docs, most, least)
+    return rows.drop(worded)
+
+
+def _without_repeats(docs: DataFrame, most: int | tuple[int, int], least: int) -> tuple[DataFrame, str]:
+    """What ``line_dedup`` returns, and a further column, by name: whether the text has a word left."""
     store = Store(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_dropped")
     id_, gone_ = free("id", docs), free("places", docs)
     dropped = repeated_lines(docs, store, most, least).toDF(id_, gone_)
     rows = docs.join(small(dropped, F.size(gone_)), F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
-    names = docs.columns
+    names, worded = docs.columns, free("worded", docs)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()),
-                           T.StructField("n_dropped", T.LongType())])
+                           T.StructField("n_dropped", T.LongType()), T.StructField(worded, T.BooleanType())])
 
     def cut(batches):
         for batch in parts(batches):
@@ -286,9 +292,10 @@ def line_dedup(docs: DataFrame, most: int | tuple[int, int] = MOST_EDITS,
                 n_dropped.append(len(lines) - len(left))
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema.names)
+                [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
+                 pa.array([bool(_WORD.search(x or "")) for x in texts], pa.bool_())], schema.names)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, schema), worded
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +303,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: texts without repeated lines; a document of which no line is left goes."""
+    """Stage: texts without repeated lines; a document that lost lines and has no word left goes."""
     own = docs.drop("n_lines", "n_dropped")
-    found = line_dedup(docs, EDITS, ALL_LINES).filter("n_dropped = 0 OR n_dropped < n_lines")
-    return found.select(*columns(own))
+    found, worded = _without_repeats(docs, EDITS, ALL_LINES)
+    return found.filter((F.col("n_dropped") == 0) | F.col(worded)).select(*columns(own))

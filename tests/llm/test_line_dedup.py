@@ -166,3 +166,11 @@ def test_query_links_long_lines_with_a_word_replaced(spark, tmp_path, docs_of):
         f"{tmp_path}/documents.parquet")
     found = ld.op10_line_dedup(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.n_dropped for r in found} == {1: 0, 2: 1, 3: 0}
+
+
+def test_stage_drops_copies_with_short_and_blank_lines(spark, docs_of):
+    text = "Title\n\nthis line is long enough to be looked at\n--\n\nYes.\n"
+    texts = {1: text, 2: text, 3: f"{text}½ own", 4: "\n--\n", 5: "\n--\n", 6: "Title\n\n" + "=" * 40}
+    kept = ld.drop_repeated_lines(spark, docs_of(texts), "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {
+        1: text, 3: "\n--\n\n½ own", 4: texts[4], 5: texts[5]}
