@@ -12,7 +12,7 @@ knows them (the country code of a phone number, say), so that the features carry
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from math import exp, log
 
 import pyarrow as pa
@@ -23,8 +23,8 @@ from .common import parts, table
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Atoms of the longest segment, and of a piece that a very long region is cut into.
-LONGEST, PIECE = 24, 96
+#: Atoms of the longest segment.
+LONGEST = 24
 #: Most documents that training regions come from, most regions, rounds and learning rate.
 SAMPLE_DOCS, SAMPLE_REGIONS, ROUNDS, RATE = 20_000, 1_500, 4, 0.3
 
@@ -171,14 +171,19 @@ class SemiMarkov:
         return w[kind, "bias"] + sum(w.get((kind, f), 0.0) for f in made)
 
     def best(self, text: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of the best segmentation, by dynamic programming over the ends."""
-        segments = self.segments(text, cuts)
-        top, back = [0.0], [None]
+        """(start, kind, end) of the best segmentation, by dynamic programming over the ends.
+
+        Kept are a back pointer for each end and the scores that a segment can begin at; so a region
+        can be as long as its text.
+        """
+        cue = _cue(text, cuts[0][0]) if cuts else None
+        top, back = deque([0.0], LONGEST), [None]
         for last in range(len(cuts)):
-            value, how = top[last], None
-            for first, made in segments.get(last, ()):
-                for kind in range(OUTSIDE):
-                    now = top[first] + self.score(kind, made)
+            value, how, least = top[-1], None, last + 1 - len(top)
+            for first in range(least, last + 1):
+                made = features(text, cuts[first][0], cuts[last][1], last - first + 1, cue)
+                for kind in range(OUTSIDE) if made else ():
+                    now = top[first - least] + self.score(kind, made)
                     if now > value:
                         value, how = now, (first, kind)
             top.append(value)
@@ -241,7 +246,7 @@ def trained(samples: list[str]) -> SemiMarkov:
             text, local = item if isinstance(item, tuple) else (item, None)
             gold_spans = base_spans(text) if local is None else [(local[0], 3, local[1])]
             for start, end in regions(text):
-                cuts = atoms(text, start, end)[:PIECE]
+                cuts = atoms(text, start, end)
                 first = {a: i for i, (a, _) in enumerate(cuts)}
                 last = {b: i for i, (_, b) in enumerate(cuts)}
                 gold = {(first[a], last[b]): k for a, k, b in gold_spans if a in first and b in last}
@@ -272,8 +277,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the fixed patterns, base and spans (kind:start:end, comma-joined).
 
     Offsets are code points, ends exclusive. Spans that the model adds overlap no base span. Null
-    and empty texts have none. A region of more than PIECE atoms is worked on piece by piece.
-    Rows are answered one by one, also repeated ones and those with a null doc_id. Other columns
+    and empty texts have none. Rows are answered one by one, also repeated ones and those with a null doc_id. Other columns
     are not read; an empty table gives no rows.
     """
     weights = docs.sparkSession.sparkContext.broadcast(dict(trained(training_regions(docs)).weights))
@@ -305,11 +309,9 @@ def added(text: str, fixed, model: SemiMarkov) -> list[tuple[int, int, int]]:
     for start, end in regions(text):
         if sum("0" <= c <= "9" for c in text[start:end]) < 4 and "@" not in text[start:end]:
             continue
-        cuts = atoms(text, start, end)
-        for piece in range(0, len(cuts), PIECE):
-            for a, kind, b in model.best(text, cuts[piece:piece + PIECE]):
-                if not any(s < b and a < e for s, _, e in fixed):
-                    out.append((a, kind, b))
+        for a, kind, b in model.best(text, atoms(text, start, end)):
+            if not any(s < b and a < e for s, _, e in fixed):
+                out.append((a, kind, b))
     return out
 
 

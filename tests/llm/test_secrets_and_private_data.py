@@ -116,3 +116,24 @@ def test_odd_rows(odd_docs, no_docs):
         rows = found(odd_docs).collect()
         assert len(rows) == 9 and {r.base for r in rows} == {""}
         assert found(no_docs).collect() == []
+
+
+def test_a_line_of_100_numbers_is_one_region(model):
+    rnd = random.Random(5)
+    text = "7 " + " ".join(f"({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}" for _ in range(100))
+    cuts = p.atoms(text, 0, len(text))
+    top, chosen = [0.0], [[]]
+    segments = model.segments(text, cuts)
+    for last in range(len(cuts)):
+        value, way = top[last], chosen[last]
+        for first, made in segments.get(last, ()):
+            for kind in range(p.OUTSIDE):
+                if top[first] + model.score(kind, made) > value:
+                    value = top[first] + model.score(kind, made)
+                    way = [*chosen[first], (cuts[first][0], kind, cuts[last][1])]
+        top.append(value)
+        chosen.append(way)
+    assert len(cuts) > 700 and len(chosen[-1]) > 30
+    assert p.added(text, [], model) == chosen[-1]
+    assert p.added(f"{text}\n{text}", [], model) == chosen[-1] + [
+        (a + len(text) + 1, k, b + len(text) + 1) for a, k, b in p.added(text, [], model)]
