@@ -17,8 +17,9 @@ from .common import parts, table
 from .vocabulary import default_path, default_pattern, load_tokens
 
 KINDS = ("assign", "access", "hex", "random")
-#: Characters that a candidate has at least, and characters a token below which it is random.
-LEAST_CHARS, RATIO = 16, 2.2
+#: Characters that a candidate has at least, and characters a token below which it is random: with
+#: digits, and of letters alone, where ordinary words are nearer.
+LEAST_CHARS, RATIO, RATIO_LETTERS = 16, 2.2, 1.75
 
 _ASSIGN = re.compile(
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
@@ -33,7 +34,7 @@ _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _DIGESTS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _IDENTIFIERS = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9_-]*Z?|[0-9+/_=-]+|(?:sha256|sha512|md5)-[A-Za-z0-9+/=]+")
+    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9_-]*Z?|[0-9+/_=-]+|[A-Z]+(?:_[A-Z]+)+|(?:sha256|sha512|md5)-[A-Za-z0-9+/=]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,19 +56,31 @@ def known(word: str) -> bool:
 
 
 def random_spans(text: str, base, count_tokens) -> list[tuple[int, int, int]]:
-    """Candidates with letters and digits, outside the base spans, that take many tokens."""
+    """Candidates with letters, or what the base spans leave of them, that take many tokens."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        word = m.group()
-        if not (_DIGIT.search(word) and _LETTER.search(word)) or known(word):
+        if not _LETTER.search(m.group()) or known(m.group()):
             continue
-        if any(start < m.end() and m.start() < end for start, _, end in base):
-            continue
-        if len(word) < RATIO * count_tokens(word):
-            out.append((m.start(), 3, m.end()))
+        for start, end in _outside(m.start(), m.end(), base):
+            word = text[start:end]
+            if len(word) < LEAST_CHARS or not _LETTER.search(word) or known(word):
+                continue
+            if len(word) < (RATIO if _DIGIT.search(word) else RATIO_LETTERS) * count_tokens(word):
+                out.append((start, 3, end))
     return out
 
 
+def _outside(start: int, end: int, base):
+    """The parts of a range that no base span covers; base spans come by their start."""
+    for a, _, b in base:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
 def spans_text(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 

@@ -137,3 +137,13 @@ def test_a_line_of_100_numbers_is_one_region(model):
     assert p.added(text, [], model) == chosen[-1]
     assert p.added(f"{text}\n{text}", [], model) == chosen[-1] + [
         (a + len(text) + 1, k, b + len(text) + 1) for a, k, b in p.added(text, [], model)]
+
+
+def test_random_letters_and_what_base_spans_leave_are_found(docs_of):
+    hexa, key = "0123456789abcdef" * 2, "x9Kq2LmZ8vTtGRwPqZ"
+    texts = {1: "use xTKqWLmZQvTtBRwPqH here", 2: f"{key}{hexa}{key}", 3: f"short{hexa}",
+             4: "MAX_CONNECTION_POOL_SIZE of Geschwindigkeitsbegrenzung", 5: f"{key}password=hunter22x",
+             6: "/usr/share/locale/messages"}
+    found = {r.doc_id: r.spans for r in s.secrets(docs_of(texts)).collect()}
+    assert found == {1: "random:4:22", 2: "random:0:18,hex:18:50,random:50:68", 3: "hex:5:37", 4: "",
+                     5: "random:0:18,assign:18:36", 6: ""}
