@@ -20,8 +20,8 @@ STAGES = [
     ("byte_pairs", encode_and_decode),
 ]
 
-#: Sets of shingles, edit distances and byte pairs are beyond SQL; the tests compare each stage
-#: with a plain version.
+#: Sets of shingles, edit distances and byte pairs are beyond SQL. The tests compare operators with
+#: plain versions, but not yet the rows of ``run``.
 ORACLE_SQL = None
 
 
