@@ -64,9 +64,8 @@ def blocks(texts: pa.Array):
         row = last
 
 
-def word_numbers(data: np.ndarray, bounds: np.ndarray, between: np.ndarray, lower: bool):
-    """Number of every word, and for each row the range of its words."""
-    data = LOWER[data] if lower else data
+def word_spans(data: np.ndarray, bounds: np.ndarray, between: np.ndarray):
+    """Start and end of every word; no word goes on beyond the end of its row."""
     inside = ~between[data]
     filled = bounds[:-1][bounds[:-1] < bounds[1:]]
     before, after = np.empty_like(inside), np.empty_like(inside)
@@ -74,8 +73,13 @@ def word_numbers(data: np.ndarray, bounds: np.ndarray, between: np.ndarray, lowe
     if len(inside):
         before[filled] = False
         after[bounds[1:][bounds[:-1] < bounds[1:]] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def word_numbers(data: np.ndarray, bounds: np.ndarray, between: np.ndarray, lower: bool):
+    """Number of every word, and for each row the range of its words."""
+    data = LOWER[data] if lower else data
+    starts, ends = word_spans(data, bounds, between)
     power, inverse = _powers(max(20, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
