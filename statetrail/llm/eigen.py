@@ -20,15 +20,18 @@ def _clusters(values: np.ndarray, apart: float) -> list[np.ndarray]:
     return [run for run in np.split(order, cuts) if len(run) > 1]
 
 
-def _step(a: np.ndarray, x: np.ndarray):
-    """One correction: (better vectors, values, size of the correction, least gap that is told apart)."""
+def _step(a: np.ndarray, x: np.ndarray, least: float):
+    """One correction: (better vectors, values, size of the correction, gap from which on values are apart).
+
+    Gaps up to ``least`` are below the rounding of the matrix itself: any basis is right there.
+    """
     r = np.eye(len(a), dtype=a.dtype) - x.T @ x
     s = x.T @ (a @ x)
     values = np.diag(s) / (1 - np.diag(r))
     apart = 2 * (np.linalg.norm((s - np.diag(values)).astype(float))
                  + np.linalg.norm(a.astype(float)) * np.linalg.norm(r.astype(float)))
     gap = values[None, :] - values[:, None]
-    told = np.abs(gap) > apart
+    told = np.abs(gap) > max(apart, least)
     e = np.where(told, (s + values[None, :] * r) / np.where(told, gap, 1), r / 2)
     return x + x @ e, values, float(np.abs(e).max()), apart
 
@@ -61,17 +64,16 @@ def refined(matrix: np.ndarray, exact=np.longdouble) -> tuple[np.ndarray, np.nda
     a = matrix.astype(exact) / scale
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(exact)
     tiny = float(np.finfo(float).eps) / 64
-    least = np.inf
+    rounding, smallest = 4 * float(np.finfo(float).eps) * float(np.linalg.norm(a.astype(float))), np.inf
     for step in range(MOST_STEPS):
-        x, values, change, apart = _step(a, x)
-        close = _clusters(values, apart)
+        x, values, change, apart = _step(a, x, rounding)
+        close = apart > rounding and bool(_clusters(values, apart))
         # where eigenvalues nearly meet, the correction ends at the rounding of the products
-        settled = change < tiny or step > 6 and change > least / 2
-        if settled and (not close or step > MOST_STEPS // 2):
+        if not close and (change < tiny or step > 6 and change > smallest / 2):
             break
-        least = min(least, change)
+        smallest = min(smallest, change)
         if close and step % 3 == 1:
-            x, least = _solve_clusters(a, x, values, apart), np.inf
+            x, smallest = _solve_clusters(a, x, values, apart), np.inf
     for _ in range(2):
         x = x @ (1.5 * np.eye(len(a), dtype=exact) - 0.5 * (x.T @ x))
     values = (x * (a @ x)).sum(axis=0)
