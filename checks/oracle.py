@@ -424,7 +424,11 @@ SELECT date_trunc('day', ts) AS day,
        count(*) AS total_transitions
 FROM log JOIN sig ON sig.id = log.signal_id GROUP BY ALL""",
         "t3_hourly_activity": LOG + "SELECT * FROM hourly",
+        "t3_hourly_final": LOG + """
+SELECT * FROM hourly WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 HOUR""",
         "t4_apply_signals": ACCEPTED,
+        "t4_in_time_order": f"""
+SELECT * FROM ({ACCEPTED}) WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
         "t4_replay_batches": ACCEPTED,
         "t5_sla_alerts": LOG + """
 SELECT unit_id, state_name, entered_at, entered_at + INTERVAL 6 HOUR AS due_at

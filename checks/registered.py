@@ -42,6 +42,7 @@ from statetrail.streaming import (
     OUTCOME_SCHEMA,
     apply_signals_stream,
     current_state_stream,
+    hourly_activity_stream,
     hourly_partials_stream,
     last_updates,
     replay_batches,
@@ -323,6 +324,15 @@ def streamed_signals(spark, sf_dir):
     return accepted(last_updates(spark, out, stream.schema))
 
 
+def ordered_signals(spark, sf_dir):
+    """Signals wait for the watermark, so the order of files does not matter."""
+    session(spark)
+    _, out, checkpoint = folders(spark)
+    stream = apply_signals_stream(signal_stream(spark, sf_dir), raw_model(spark, sf_dir), "10 minutes")
+    run_available(stream, out, checkpoint, "append")
+    return accepted(last_updates(spark, out, stream.schema))
+
+
 def replayed_signals(spark, sf_dir):
     """All files at once; large units are replayed in pieces."""
     session(spark)
@@ -406,7 +416,9 @@ def queries() -> dict[str, Query]:
         "t3_hourly_activity": streamed(
             lambda log, m: hourly_partials_stream(log), ["hour", "unit_id", "technician"],
             finish=st.hourly_from_partials),
+        "t3_hourly_final": streamed(lambda log, m: hourly_activity_stream(log), None, "append"),
         "t4_apply_signals": streamed_signals,
+        "t4_in_time_order": ordered_signals,
         "t4_replay_batches": replayed_signals,
         "t5_sla_alerts": streamed(
             lambda log, m: sla_alerts_stream(log, m, hours=SLA_HOURS), None, "append"),

@@ -1,6 +1,7 @@
 from .jobs import (
     apply_signals_stream,
     current_state_stream,
+    hourly_activity_stream,
     hourly_partials_stream,
     sla_alerts_stream,
     throughput_stream,
@@ -13,6 +14,7 @@ __all__ = [
     "append_log_stream",
     "apply_signals_stream",
     "current_state_stream",
+    "hourly_activity_stream",
     "hourly_partials_stream",
     "last_updates",
     "replay_batches",

@@ -14,7 +14,7 @@ from ..functions.times import HOUR
 from ..model import StateModel
 from ..operators.latest import latest_per_unit
 from ..operators.lookup import bounded_rows
-from .processors import ALERT, OUTCOME, SignalProcessor, WaitProcessor
+from .processors import ALERT, OUTCOME, OrderedSignalProcessor, SignalProcessor, WaitProcessor
 
 
 def current_state_stream(log: DataFrame) -> DataFrame:
@@ -49,24 +49,49 @@ def hourly_partials_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
             .select(F.col("window.start").alias("hour"), "unit_id", "technician", "n"))
 
 
-def apply_signals_stream(signals: DataFrame, model: StateModel) -> DataFrame:
+def hourly_activity_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The columns of ``hourly_activity`` for every hour that the watermark has passed, each once.
+
+    Two stateful steps, one behind the other: distinct units and technicians per hour, then
+    their counts. Both run in append mode, so an hour is handed out when no row of it can come
+    any more, whatever the micro-batches; rows that come later than ``delay`` are ignored.
+    """
+    kinds = F.array(F.struct(F.lit(True).alias("is_unit"), F.col("unit_id").cast("string").alias("name")),
+                    F.struct(F.lit(False).alias("is_unit"), technician().alias("name")))
+    met = (log.withWatermark("ts", delay).select("ts", F.explode(kinds).alias("met"))
+           .groupBy(F.window("ts", "1 hour"), "met").agg(F.count("*").alias("n")))
+    is_unit = F.col("met.is_unit")
+    return (met.groupBy(F.window(F.window_time("window"), "1 hour"))
+            .agg(F.sum(F.when(is_unit, F.col("n"))).alias("activity_count"),
+                 F.count_if(is_unit).alias("unique_units"),
+                 F.count_if(~is_unit).alias("active_technicians"))
+            .select(F.col("window.start").alias("hour"), "activity_count", "unique_units",
+                    "active_technicians"))
+
+
+def apply_signals_stream(signals: DataFrame, model: StateModel, delay: str | None = None) -> DataFrame:
     """Move units by a stream of signals; ``outcome`` is accepted, rejected or late.
 
     Units known to the model's log start from their state there. Needs the RocksDB state
-    store (see :mod:`statetrail.session`) and append mode.
+    store (see :mod:`statetrail.session`) and append mode. A signal older than one of its unit
+    that was handled in an earlier micro-batch is late. With ``delay`` signals are held until the watermark,
+    ``delay`` behind the newest one, has passed them. Then outcomes do not depend on the
+    micro-batches, and only signals behind the watermark (or without a time) are late.
     """
     if model.initial_state_id is None:
         raise ValueError("no initial state flagged in the state table")
     named = model.signals.withColumnsRenamed({"id": "signal_id", "signal_name": "signal"})
-    rows = (signals.join(named, "signal", "left")
+    rows = signals if delay is None else signals.withWatermark("ts", delay)
+    rows = (rows.join(named, "signal", "left")
             .select("unit_id", "event_id", F.unix_micros("ts").alias("at"), "signal_id",
                     "signal", "payload"))
     start = latest_per_unit(model.log.select("unit_id", "log_id", "ts", "final_state_id"))
     start = start.select("unit_id", F.col("final_state_id").alias("state"),
                          F.unix_micros("ts").alias("at"))
+    processor = SignalProcessor if delay is None else OrderedSignalProcessor
     moved = rows.groupBy("unit_id").transformWithState(
-        SignalProcessor(model.moves, model.initial_state_id), OUTCOME, "Append", "None",
-        initialState=start.groupBy("unit_id"))
+        processor(model.moves, model.initial_state_id), OUTCOME, "Append",
+        "None" if delay is None else "EventTime", initialState=start.groupBy("unit_id"))
     return moved.withColumn("ts", F.timestamp_micros("at")).drop("at")
 
 
