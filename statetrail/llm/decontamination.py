@@ -2,10 +2,11 @@
 
 A window is a run of up to 13 item words. It occurs in a document exactly if all its shingles
 do, in place; so one shingle of a window, the necessary prefix, has to be looked for. Shingles of
-documents that no window has are dropped where they are made. The others are counted over all
-documents, and a window is looked up by its rarest one only; a window with a shingle that no document
-has is gone at once. What is found gives the place the whole window would have; places that
-don't fit into the document fall out, and the rest is verified word by word.
+documents that no window has are dropped where they are made; the others leave the scan with the words
+around them and are counted over all documents. A window is looked up by its rarest one only, and
+a window with a shingle that no document has is gone at once. What is found gives the place the
+whole window would have; places that don't fit into the document fall out, and the rest is
+verified word by word. Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
 from .common import Store, columns, free, small, table
 
 WINDOW, SHINGLE = 13, 5
@@ -29,11 +31,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _shingles(words: str, size: int) -> Column:
-    """The numbers of all runs of ``size`` words; none if there are fewer words."""
-    made = F.transform(F.sequence(F.lit(0), F.size(words) - size),
-                       lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
-    return F.when(F.size(words) >= size, made)
+def _numbers(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _shingles(numbers: str, size: int) -> Column:
+    """The numbers of all runs of ``size`` words, from those of the words; empty if there are fewer."""
+    made = F.transform(F.sequence(F.lit(0), F.size(numbers) - size),
+                       lambda i: F.xxhash64(*[F.get(numbers, i + j) for j in range(size)]))
+    return F.when(F.size(numbers) >= size, made).otherwise(F.array().cast("array<long>"))
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -45,59 +51,97 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.select("item_id", F.xxhash64("words").alias("wid"), "words").distinct()
 
 
+def _tokens(each: DataFrame, sizes: list[int], shingle: int) -> DataFrame:
+    """wid, words, token and its offset for all shingles of the windows (wid, words)."""
+    numbered = each.withColumn("numbers", _numbers("words"))
+    out = None
+    for k in sizes:
+        longer = F.size("words") >= k if k == shingle else F.size("words") == k
+        of = numbered.filter(longer).select("wid", "words", F.posexplode(_shingles("numbers", k)).alias(
+            "offset", "token"))
+        out = of if out is None else out.unionByName(of)
+    return out
+
+
+def _found(docs: DataFrame, asked: DataFrame, sizes: list[int], window: int, marks: bool) -> DataFrame:
+    """Shingles of the texts that are asked for, with the words a window around them could have.
+
+    doc_id, text_key, n (words of the text), pos, token, near (words) and near_from, the place of
+    the first of them. With ``marks`` every row of ``docs`` also gives one with the pos -1. Each text is
+    split once, and nothing but what is found leaves the scan: the words are carried along
+    by reference until a shingle has met the broadcast ones.
+    """
+    read = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    read = read.select("*", F.size("words").alias("n"), _numbers("words").alias("numbers"))
+    mark = F.array(F.lit(0).cast("long"))
+    runs = read.select("doc_id", "text_key", "words", "n", F.concat(
+        *[_shingles("numbers", k) for k in sizes], mark).alias("runs"))
+    if marks:
+        asked = asked.unionByName(asked.sparkSession.range(1).select(F.col("id").alias("token"))).distinct()
+    # outer, as Spark would else filter by the size of the array first, and make it twice for that
+    met = (runs.select("doc_id", "text_key", "words", "n", F.posexplode_outer("runs").alias("at", "token"))
+           .join(F.broadcast(asked), "token", "left_semi"))
+    # shingles of the sizes follow each other, the mark is behind them all
+    pos, before = None, F.lit(0)
+    for k in sizes:
+        here = F.greatest(F.col("n") - k + 1, F.lit(0))
+        pos = (F.when(F.col("at") < before + here, F.col("at") - before) if pos is None
+               else pos.when(F.col("at") < before + here, F.col("at") - before))
+        before = before + here
+    pos = F.lit(-1) if pos is None else pos.otherwise(-1)
+    back = window - min(sizes, default=window)
+    found = met.select("doc_id", "text_key", "n", "words", pos.alias("pos"), "token").select(
+        "*", F.greatest(F.col("pos") - back, F.lit(0)).alias("near_from"))
+    near = F.when(F.col("pos") >= 0, F.slice("words", F.col("near_from") + 1, F.lit(back + window)))
+    found = found.select("doc_id", "text_key", "n", "pos", "token", "near_from", near.alias("near"))
+    return found if marks else found.filter("pos >= 0")
+
+
 def matches(docs: DataFrame, items: DataFrame, store: Store, window: int = WINDOW,
-            shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, places (start, length, wid): every occurrence of a window, verified."""
+            shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(rows, places): doc_id, text_key and n of all rows of ``docs``; and for texts with verified
+    occurrences of windows these and places (start, length, wid).
+
+    All shingles of the windows are broadcast, in blocks if they are too many, each with a scan of its
+    own.
+    """
     windows = store.keep(windows_of(items, window))
-    each = windows.select("wid", "words").dropDuplicates(["wid", "words"])
+    each = windows.select("wid", "words").distinct()
     sizes = [r.k for r in each.select(F.least(F.size("words"), F.lit(shingle)).alias("k"))
-             .distinct().collect()]  # at most ``shingle`` numbers
-    short = F.size("words")
-    tokens = None
-    for k in sorted(sizes):
-        of = each.filter(short >= shingle) if k == shingle else each.filter(short == k)
-        of = of.select("wid", short.alias("length"), F.lit(k).alias("k"),
-                       F.posexplode(_shingles("words", k)).alias("offset", "token"))
-        tokens = of if tokens is None else tokens.unionByName(of)
-    if tokens is None:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_key"), F.array(F.struct(
-            F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("wid"))).alias("places"))
-    tokens = store.keep(tokens)
-    asked = small(store.keep(tokens.select("token").distinct()))
-    read = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+             .distinct().sort("k").collect()]  # at most ``shingle`` numbers
+    spark = docs.sparkSession
+    tokens = store.keep(_tokens(each, sizes, shingle)) if sizes else spark.createDataFrame(
+        [], "wid long, words array<string>, offset int, token long")
+    asked = store.keep(tokens.select("token").distinct())
+    blocks = max(1, -(-asked.count() // max(1, common.BROADCAST_CELLS)))
     found = None
-    for k in sorted(sizes):
-        of = (read.select("doc_id", F.size("words").alias("n"),
-                          F.posexplode(_shingles("words", k)).alias("pos", "token"))
-              .join(asked, "token", "left_semi"))
-        found = of if found is None else found.unionByName(of)
+    for block in range(blocks):
+        own = asked.filter(F.pmod("token", F.lit(blocks)) == block)
+        part = _found(docs, own, sizes, window, block == 0)
+        found = part if found is None else found.unionByName(part)
     found = store.keep(found)
-    rarity = found.groupBy("token").agg(F.count("*").alias("n_found"))
-    rarest = tokens.join(rarity, "token", "left").groupBy("wid", "length").agg(
-        F.min(F.struct(F.coalesce("n_found", F.lit(0)).alias("n"), "token", "offset")).alias("top"))
-    rarest = store.keep(rarest.filter("top.n > 0").select(
-        "wid", "length", F.col("top.token").alias("token"), F.col("top.offset").alias("offset")))
-    places = (found.join(small(rarest), "token")
-              .select("doc_id", "n", "wid", "length", (F.col("pos") - F.col("offset")).alias("start"))
-              .filter("start >= 0 AND start + length <= n"))
-    places = places.join(small(store.keep(each), F.size("words")), "wid").filter(F.size("words") == F.col("length")).groupBy(
-        "doc_id").agg(F.collect_set(F.struct("start", "length", "wid", "words")).alias("places"))
-    places = store.keep(places)
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    read = (texts.join(small(places, 20 * F.size("places")), F.col("id").eqNullSafe(F.col("doc_id")))
-            .select("doc_id", F.xxhash64("text").alias("text_key"),
-                    words_of(F.col("text")).alias("own"), "places"))
-    exact = F.filter("places", lambda p: F.slice("own", p["start"] + 1, p["length"]) == p["words"])
-    read = read.select("doc_id", "text_key", F.transform(
-        exact, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"),
-                                  p["wid"].alias("wid"))).alias("places"))
-    return read.filter(F.size("places") > 0).dropDuplicates(["doc_id", "text_key"])
+    rows, met = found.filter("pos = -1").select("doc_id", "text_key", "n"), found.filter("pos >= 0")
+    rarity = met.groupBy("token").agg(F.count("*").alias("n_found"))
+    rarest = tokens.join(rarity, "token").groupBy("wid", "words").agg(
+        F.min(F.struct("n_found", "token", "offset")).alias("top"), F.count("*").alias("n_tokens"))
+    # a window with a shingle that no text has is gone
+    needed = tokens.groupBy("wid", "words").agg(F.count("*").alias("n_tokens"))
+    rarest = store.keep(rarest.join(needed, ["wid", "words", "n_tokens"], "left_semi").select(
+        "wid", "words", F.size("words").alias("length"), F.col("top.token").alias("token"),
+        F.col("top.offset").alias("offset")))
+    start = F.col("pos") - F.col("offset")
+    places = (met.join(small(rarest, F.size("words")), "token").withColumn("start", start)
+              .filter("start >= 0 AND start + length <= n")
+              .filter(F.slice("near", F.col("start") - F.col("near_from") + 1, F.col("length")) == F.col("words")))
+    return rows, store.keep(places.groupBy("doc_id", "text_key").agg(
+        F.max("n").alias("n"), F.collect_set(F.struct("start", "length", "wid")).alias("places")))
 
 
 def hits(docs: DataFrame, items: DataFrame, store: Store, window: int = WINDOW,
-         shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, n_hit and the sorted item_ids as strings, for texts with occurrences."""
-    found = store.keep(matches(docs, items, store, window, shingle))
+         shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(rows, found): doc_id, text_key and n (words) of all rows; and of texts with occurrences also
+    n_hit and the sorted item_ids as strings."""
+    rows, found = matches(docs, items, store, window, shingle)
     covered = F.aggregate(
         F.array_sort("places"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, p: F.struct(
@@ -111,7 +155,7 @@ def hits(docs: DataFrame, items: DataFrame, store: Store, window: int = WINDOW,
              .groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items")))
     both = found.alias("f").join(named.alias("m"), (F.col("f.text_key") == F.col("m.text_key"))
                                  & F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")))
-    return store.keep(both.select("f.doc_id", "f.text_key", covered.alias("n_hit"), "items"))
+    return rows, store.keep(both.select("f.doc_id", "f.text_key", "f.n", covered.alias("n_hit"), "items"))
 
 
 def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
@@ -124,17 +168,15 @@ def decontamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     Empty tables give no rows or no hits. Other columns are not read.
     """
     store = Store(docs.sparkSession, "decontamination")
-    found = hits(docs, items, store, window, shingle).select(
-        F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "n_hit", "items")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
-                       F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    rows, found = hits(docs, items, store, window, shingle)
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "n_hit", "items")
+    n_words, n_hit = F.col("n").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return (rows.join(small(found, F.size("items")), (F.col("text_key") == F.col("key"))
                       & F.col("doc_id").eqNullSafe(F.col("id")), "left")
-            .select("doc_id", "n_words", n_hit.alias("n_hit"),
+            .select("doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"),
                     F.size(listed).cast("long").alias("n_items"), listed.alias("items"),
-                    ((n_hit > 0) & (TIMES * n_hit >= F.col("n_words"))).alias("contaminated")))
+                    ((n_hit > 0) & (TIMES * n_hit >= n_words)).alias("contaminated")))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,15 +187,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents that are not contaminated by the benchmark of ``sf_dir``."""
+    """Stage: documents that are not contaminated by the benchmark of ``sf_dir``.
+
+    Null and empty texts, and all rows if the benchmark has no words, stay; rows that repeat stay or go
+    together, and those with a null doc_id are judged by their texts. All columns are returned.
+    """
     store = Store(spark, "contaminated")
-    id_, key_, n_ = (free(name, docs) for name in ("id", "key", "n_hit"))
-    found = hits(docs, table(spark, sf_dir, "benchmark"), store).select(
-        F.col("doc_id").alias(id_), F.col("text_key").alias(key_), F.col("n_hit").alias(n_))
-    kept = docs.join(small(found), (F.xxhash64("text") == F.col(key_))
-                     & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
-    clean = F.col(n_).isNull() | (TIMES * F.col(n_) < F.size(words_of(F.col("text"))))
-    return kept.filter(clean).select(*columns(docs))
+    id_, key_ = free("id", docs), free("key", docs)
+    _, found = hits(docs, table(spark, sf_dir, "benchmark"), store)
+    gone = store.keep(found.filter(TIMES * F.col("n_hit") >= F.col("n")).select(
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key_)))
+    same = (F.xxhash64(docs["text"]) == F.col(key_)) & docs["doc_id"].eqNullSafe(F.col(id_))
+    return docs.join(small(gone), same, "left_anti").select(*columns(docs))
 
 
 OP6_SQL = r"""

@@ -48,6 +48,25 @@ def test_as_plain(spark, docs_of):
     assert table(found) == plain(texts, items)
 
 
+def test_shingles_beyond_the_broadcast_limit_go_in_blocks(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(d.common, "BROADCAST_CELLS", 60)
+    rnd = random.Random(8)
+    items = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.choice([3, 14, 25])))) for i in range(8)]
+    texts = {i: " ".join(["x y", items[i % 8][1], "z", items[(i * 3) % 8][1]]) for i in range(20)}
+    texts |= {50: items[1][1][2:], 51: ""}
+    found = d.decontamination(docs_of(texts), spark.createDataFrame(items, ITEMS))
+    assert table(found) == plain(texts, items)
+
+
+def test_many_rows_of_one_id(spark):
+    item = " ".join(f"w{i}" for i in range(13))
+    rows = [(1, item)] * 400 + [(None, f"{item} {i % 3}") for i in range(400)] + [(1, "other text")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = d.decontamination(docs, spark.createDataFrame([(9, item)], ITEMS)).collect()
+    assert len(found) == 805 and sum(r.n_hit == 13 for r in found) == 800
+    assert sorted({r.n_words for r in found}) == [2, 13, 14]
+
+
 def test_a_part_of_a_window_is_no_hit(spark, docs_of):
     item = " ".join(f"w{i}" for i in range(13))
     texts = {1: item, 2: item.rsplit(" ", 1)[0], 3: item.replace("w6", "x"), 4: item + " " + "z " * 260,
