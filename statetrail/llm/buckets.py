@@ -16,6 +16,8 @@ from .common import Store, small
 
 #: Rows of a work unit, on either side.
 PROBES, MEMBERS = 512, 4096
+#: Pairs that a task gathers from its units, to hand out each of them once.
+GATHERED = 1 << 19
 
 
 def meet(entries: DataFrame, store: Store, useful: Column | None = None):
@@ -77,16 +79,39 @@ def units(shared: DataFrame, pivots: DataFrame, labels: DataFrame, payload: Data
 
 
 def search(rows: DataFrame, compare) -> DataFrame:
-    """Distinct pairs (a, b) that ``compare`` gives for the table of each unit."""
+    """Distinct pairs (a, b) that ``compare`` gives for the table of each unit.
+
+    Nodes that meet under many tokens are a pair of many units; a task hands such a pair out once for
+    every GATHERED pairs.
+    """
     def run(batches):
+        found, n = [], 0
         for unit in _units_of(batches):
-            yield from compare(unit)
+            for batch in compare(unit):
+                found.append(_distinct(batch))
+                n += found[-1].num_rows
+            if n > GATHERED:
+                found = [_distinct(pa.Table.from_batches(found))]
+                if (n := found[0].num_rows) > GATHERED // 2:
+                    yield found.pop()
+                    n = 0
+        if found:
+            yield _distinct(pa.Table.from_batches(found))
 
     keys = ["token", "part", "chunk"]
     return (rows.repartition(*keys).sortWithinPartitions(*keys)
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _distinct(pairs) -> pa.RecordBatch:
+    """The pairs (a, b), each once."""
+    pairs = np.stack([pairs.column(c).to_numpy() for c in ("a", "b")], axis=1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    keep = np.ones(len(pairs), bool)
+    keep[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    return pa.record_batch({"a": pa.array(pairs[keep, 0]), "b": pa.array(pairs[keep, 1])})
+
+
 def _units_of(batches):
     """The rows of one unit after the other; a unit is of bounded size."""
     rest = None

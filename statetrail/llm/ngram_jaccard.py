@@ -94,9 +94,9 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def document_nodes(docs: DataFrame, classes, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, its point and the tokens that candidates are found by.
+    """doc_id, text_key, n_shingles, node, its point and the tokens that candidates are found by.
 
-    An empty set has a null node.
+    An empty set has a null node. Rows of one doc_id are told apart by their texts' numbers.
     """
     def sets(batches):
         order = classes.value
@@ -113,17 +113,19 @@ def document_nodes(docs: DataFrame, classes, size: int, percent: int) -> DataFra
                 firsts.append(tokens[by][:needed].view(np.int64))
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()),
+                "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"),
+                "n_shingles": pa.array(n, pa.int64()),
                 "node": pa.array(nodes, pa.int64()), "point": pa.array(points, pa.binary()),
                 "box": pa.array(boxes, pa.binary()),
                 "firsts": pa.ListArray.from_arrays(ends, np.concatenate([*firsts, np.zeros(0, np.int64)]))})
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sets, "doc_id long, n_shingles long, node long, point binary, box binary, firsts array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        sets, "doc_id long, text_key long, n_shingles long, node long, point binary, box binary, "
+        "firsts array<long>")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The full sorted sets of the wanted nodes (doc_id, node)."""
+    """The full sorted sets of the wanted nodes (doc_id, text_key, node)."""
     def sets(batches):
         for batch in batches:
             out = [(node, tokens) for node, tokens in
@@ -134,8 +136,9 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.record_batch({"node": pa.array([k for k, _ in out], pa.int64()),
                                    "tokens": pa.ListArray.from_arrays(ends, flat)})
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    return (texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+    same = (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    return (texts.join(wanted, same).select("node", "text")
             .mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"]))
 
 
@@ -154,7 +157,7 @@ def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, p
     alike = store.keep(alike.select("a", "b", "na", "nb", "pa", "pb")
                        .mapInArrow(bounded, "a long, b long"))
     needed = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = store.keep(points.select("node", "doc_id").join(needed, "node"))
+    wanted = store.keep(points.select("node", "doc_id", "text_key").join(needed, "node"))
     side = store.keep(node_sets(docs, small(wanted), size))
     both = F.size(F.array_intersect("ta", "tb"))
     full = alike.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b")
@@ -185,7 +188,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     needed = (pairs.select(F.explode(F.array("a", "b")).alias("node"))
               .unionByName(shared.select("node")).distinct())
     wanted = store.keep(every.select("node", "doc_id").join(needed, "node"))
-    points = nodes.withColumnRenamed("n_shingles", "n").select("doc_id", "node", "n", "point", "box")
+    points = nodes.withColumnRenamed("n_shingles", "n").select("doc_id", "text_key", "node", "n", "point", "box")
     points = store.keep(points.alias("p").join(
         small(wanted).alias("w"), (F.col("p.node") == F.col("w.node"))
         & F.col("p.doc_id").eqNullSafe(F.col("w.doc_id"))).select("p.*").dropDuplicates(["node"]))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from statetrail.llm import buckets, count_tree
+from statetrail.llm.buckets import _distinct
 from statetrail.llm.components import connected_components
 from statetrail.llm.common import Store
 from statetrail.llm.ngram_jaccard import jaccard_components, keep_first_of_component
@@ -110,3 +111,22 @@ def test_stage_keeps_one_of_a_group(spark, docs_of):
     kept = keep_first_of_component(spark, docs_of(
         {4: words, 2: words + " end", 8: "something else altogether in here", 9: ""}), "")
     assert sorted(r.doc_id for r in kept.collect()) == [2, 8, 9]
+
+
+@pytest.mark.parametrize("own_id", [7, None])
+def test_many_rows_of_one_id(spark, own_id):
+    """2,000 rows in 1,000 linked pairs; each row meets its own text only."""
+    rows = []
+    for i in range(1_000):
+        words = [f"w{i}x{k}" for k in range(60)]
+        rows += [(own_id, " ".join(words)), (own_id, " ".join([*words[:-1], "other"]))]
+    rows.append((3, " ".join(f"w5x{k}" for k in range(60))))
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == 2_001
+    lowest = [r.component_id for r in found if r.doc_id != 3]
+    assert sorted(lowest, key=str) == sorted([3] * 2 + [own_id] * 1_998, key=str)
+
+
+def test_pairs_of_many_units_are_handed_out_once():
+    pairs = pa.record_batch({"a": pa.array([3, 1, 3, 1], pa.int64()), "b": pa.array([4, 2, 4, 9], pa.int64())})
+    assert _distinct(pairs).to_pydict() == {"a": [1, 1, 3], "b": [2, 9, 4]}
