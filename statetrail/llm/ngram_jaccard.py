@@ -83,8 +83,11 @@ def group_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 def token_classes(counts: np.ndarray) -> np.ndarray:
     """0 for the groups that chance explains; above, the magnitude of what is in excess."""
     mean = max(1.0, counts.sum() / len(counts))
-    excess = np.maximum(1.0, (counts - mean) / (4 * np.sqrt(mean)))
-    return np.minimum(250, 2 * np.log2(excess)).astype(np.uint8)
+    out = np.empty(len(counts), np.uint8)
+    for at in range(0, len(counts), BLOCK):  # the driver has room for few arrays of this length
+        excess = np.maximum(1.0, (counts[at:at + BLOCK] - mean) / (4 * np.sqrt(mean)))
+        out[at:at + BLOCK] = np.minimum(250, 2 * np.log2(excess))
+    return out
 
 
 def _node(tokens: np.ndarray) -> int:
