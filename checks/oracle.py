@@ -190,7 +190,7 @@ CURRENT = "SELECT unit_id, unit_name, current_state, state_since, details, techn
 
 def oracle_sql() -> dict[str, str]:
     found = _plain_sql()
-    for name, same in CUT_AS.items():
+    for name, same in (CUT_AS | WRITTEN_AS).items():
         found[name] = found[same]
     return found
 
@@ -198,6 +198,8 @@ def oracle_sql() -> dict[str, str]:
 #: Queries over cut units give the rows of the plain ones.
 CUT_AS = {"w4_cut": "w4_prev_event", "v1_cut": "v1_intervals_initial", "m2_cut": "m2_apply_signals",
           "q07_cut": "q07_avg_state_durations", "m6_cut": "m6_audit_log"}
+#: Changes that are written back to a stored log give the rows of those that are not.
+WRITTEN_AS = {"l6_rewritten_days": "l6_shift_time", "l8_marked": "l8_purge_units", "l8_folded": "l8_purge_units"}
 
 
 def _plain_sql() -> dict[str, str]:

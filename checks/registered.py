@@ -19,10 +19,14 @@ from statetrail.session import configure, shared_dir
 from statetrail.sources import (
     append_log,
     deletable,
+    fold_purged,
     load_model,
+    mark_purged,
     purge_units,
+    read_live_log,
     read_log,
     resolve_transitions,
+    rewrite_log,
     to_json_rows,
     update_where,
     upsert_missing,
@@ -255,6 +259,30 @@ def appended(spark, sf_dir):
     return plain(read_log(spark, path))
 
 
+def rewritten(spark, sf_dir):
+    """All failures moved back by two days in the stored log; it is read back."""
+    path, _, _ = folders(session(spark))
+    append_log(mapped_log(spark, sf_dir).rows.select(*LOG_COLUMNS), path)
+    rewrite_log(spark, path, F.col("final_state_id") == 6,
+                {"ts": F.col("ts") - F.expr("INTERVAL 2 DAYS")}, "failures")
+    return plain(read_log(spark, path).select("log_id", "unit_id", "ts", technician().alias("technician")))
+
+
+def purged_by_mark(fold: bool) -> Query:
+    """Finished units are marked as purged; with ``fold`` their rows are taken out of the files too."""
+    def run(spark, sf_dir):
+        path, _, _ = folders(session(spark))
+        model = mapped_model(spark, sf_dir)
+        append_log(model.log.select(*LOG_COLUMNS), path)
+        mark_purged(st.units_now(model).filter("current_state = 'end of service'"), path)
+        if fold:
+            fold_purged(spark, path)
+        log = read_log(spark, path) if fold else read_live_log(spark, path)
+        return plain(log.select("log_id", "unit_id", "ts"))
+
+    return run
+
+
 def loaded(spark, sf_dir):
     """Where every unit is, from stored tables; the log is laid out by day."""
     path, _, _ = folders(session(spark))
@@ -408,8 +436,11 @@ def queries() -> dict[str, Query]:
         "l5_append_log": appended,
         "l6_shift_time": mapped(lambda m: moved_back(m).log.select(
             "log_id", "unit_id", "ts", technician().alias("technician"))),
+        "l6_rewritten_days": rewritten,
         "l7_integrity": integrity,
         "l8_purge_units": mapped(purged),
+        "l8_marked": purged_by_mark(fold=False),
+        "l8_folded": purged_by_mark(fold=True),
         "l8_deletable": mapped(unused_customers),
         "t1_current_state": streamed(lambda log, m: current_state_stream(log), ["unit_id"]),
         "t2_throughput": streamed(throughput_stream, ["day"]),
