@@ -54,7 +54,8 @@ ON_STORED = {
 }
 AS_REGISTERED = """m1_create_units m2_apply_signals m5_terminal_states l1_load_model l3_upsert_missing
 l4_resolve_transitions l5_append_log l7_integrity l8_purge_units t1_current_state t2_throughput
-t3_hourly_activity t4_apply_signals t4_replay_batches t5_sla_alerts""".split()
+t3_hourly_activity t3_hourly_final t4_apply_signals t4_in_time_order t4_replay_batches t5_sla_alerts
+l6_rewritten_days l8_marked l8_folded""".split()
 
 SETTINGS = {
     "spark_ui_enabled": "false", "spark_ui_showConsoleProgress": "false", "spark_driver_memory": "8g",

@@ -38,9 +38,7 @@ class TimeRuns:
         self.rows = handle.getMapState("runs", "id bigint", f"rows array<struct<{schema}>>")
 
     def _load(self):
-        if not self.index.exists():
-            return [], 0
-        known, following = self.index.get()
+        known, following = self.index.get() or ((), 0)
         return [tuple(run) for run in known], following
 
     def add(self, rows):
@@ -88,7 +86,7 @@ class OneTimer:
 
     def need(self, wanted, fired=False):
         """A timer at the least of the times (milliseconds); None asks for nothing."""
-        now = self.at.get()[0] if not fired and self.at.exists() else None
+        now = None if fired else (self.at.get() or (None,))[0]
         wanted = min((t for t in wanted if t is not None), default=None)
         if wanted is None or now is not None and now <= wanted:
             if fired:
@@ -241,7 +239,8 @@ class WaitProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         ready, first = self.waiting.take(now * 1000)
-        open_ = tuple(self.stay.get()) if self.stay.exists() else None  # watched, not yet an alert
+        held = self.stay.get()
+        open_ = None if held is None else tuple(held)  # watched, not yet an alert
         for at, _, state in ready:
             if open_ is not None and at - open_[0] > self.micros:
                 yield self._alert(key, open_)
@@ -251,7 +250,7 @@ class WaitProcessor(StatefulProcessor):
             open_ = None
         if open_ is not None:
             self.stay.update(open_)
-        else:
+        elif held is not None:
             self.stay.clear()
         self.timer.need([passing(first), self.decided(open_)], fired=True)
 
