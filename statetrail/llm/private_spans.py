@@ -32,7 +32,7 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_REGION = re.compile(r"\S*[0-9@]\S*(?:\x20{1,2}\S*[0-9@]\S*)*")
+_RUN, _MARK = re.compile(r"\S+"), re.compile(r"[0-9@]")
 _ATOM = re.compile(r"[A-Za-z0-9]+|.", re.S)
 _DIGIT = re.compile(r"[0-9]")
 
@@ -99,11 +99,28 @@ _CUES = {"phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3, "telefon": 3, "
 
 
 def regions(text: str):
-    """(start, end) of what the model looks at; nothing outside has a digit or an at sign."""
-    if not ("@" in text or _DIGIT.search(text)):
+    """(start, end) of what the model looks at; nothing outside has a digit or an at sign.
+
+    Words that have one, and such words one or two blanks apart are one region. Every character is
+    looked at a bounded number of times, also in a text without blanks.
+    """
+    mark, region = _MARK.search(text), None
+    if mark is None:
         return
-    for m in _REGION.finditer(text):
-        yield m.start(), m.end()
+    for m in _RUN.finditer(text):
+        if mark is None:
+            break
+        if m.end() <= mark.start():
+            continue
+        if region is not None and text[region[1]:m.start()] in ("\x20", "\x20\x20"):
+            region = region[0], m.end()
+        else:
+            if region is not None:
+                yield region
+            region = m.span()
+        mark = _MARK.search(text, m.end())
+    if region is not None:
+        yield region
 
 
 def atoms(text: str, start: int, end: int) -> list[tuple[int, int]]:

@@ -147,3 +147,20 @@ def test_random_letters_and_what_base_spans_leave_are_found(docs_of):
     found = {r.doc_id: r.spans for r in s.secrets(docs_of(texts)).collect()}
     assert found == {1: "random:4:22", 2: "random:0:18,hex:18:50,random:50:68", 3: "hex:5:37", 4: "",
                      5: "random:0:18,assign:18:36", 6: ""}
+
+
+def test_regions_are_words_with_digits_or_at_signs():
+    import random
+    import re
+    import time
+
+    from statetrail.llm.private_spans import regions
+    pattern = re.compile(r"\S*[0-9@]\S*(?:\x20{1,2}\S*[0-9@]\S*)*")
+    rnd = random.Random(4)
+    for _ in range(3_000):
+        text = "".join(rnd.choices("a1@ \t\n.\u3000b ", k=rnd.randint(0, 30)))
+        assert list(regions(text)) == [m.span() for m in pattern.finditer(text)]
+    begun = time.perf_counter()
+    for text in ("\u4e2d" * 1_000_000 + " 7", "x" * 1_000_000 + "1", "7" + "-" * 1_000_000, "a " * 500_000 + "1"):
+        assert len(list(regions(text))) == 1
+    assert time.perf_counter() - begun < 5
