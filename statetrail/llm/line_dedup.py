@@ -19,7 +19,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +27,7 @@ from .buckets import fresh, meet, search, sides, units
 from .common import Store, columns, free, parts, small, table
 from .components import connected_components
 from .edit_distance import within
+from .segment_keys import edits, number, segment_keys, shared_keys
 
 #: Edits that lines may differ by, and characters below which ``line_dedup`` leaves a line alone if
 #: nothing else is asked for. A line without a word is always left alone below LEAST_CHARS.
@@ -39,56 +39,11 @@ ALL_LINES, EDITS = 1, (16, 8)
 _WORD = re.compile(r"\w")
 
 
-def edits(length: int, most: int | tuple[int, int]) -> int:
-    """Edits within which a line of that length is linked with another that is no shorter."""
-    return most if isinstance(most, int) else min(length // most[0], most[1])
-
-
-def _number(data: str, seed: int = 0) -> int:
-    return xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
-
-
-def length_class(length: int, most: int | tuple[int, int]) -> tuple[int, int]:
-    """(least length of the class, edits); classes are wider than the edits."""
-    bound = edits(length, most)
-    if isinstance(most, int):
-        low = bound + 1
-    elif bound < most[1]:
-        return bound * most[0], bound
-    else:
-        low = most[0] * bound
-    if length < low:
-        return 0, bound
-    while length >= (above := max(low * 3 // 2, low + bound + 1)):
-        low = above
-    return low, bound
-
-
 def keys(line: str, most: int | tuple[int, int]) -> tuple[list[int], list[int]]:
     """Own keys, and those under which the line is looked for among others."""
-    n, own, asked = len(line), [], set()
-    raw = line.encode("utf-32-le", "surrogatepass")
-    mine = length_class(n, most)
-    classes = [mine]
-    if mine[0]:
-        below = length_class(mine[0] - 1, most)
-        if n - below[1] < mine[0]:
-            classes.append(below)
-    for low, bound in classes:
-        if not bound:
-            continue
-        size = low // (bound + 1)
-        for i in range(bound + 1):
-            first_half = i <= bound - i
-            start = i * size if first_half else n - (bound + 1 - i) * size
-            moved = i if first_half else bound - i
-            for at in range(max(start - moved, 0), min(start + moved, n - size) + 1):
-                key = xxhash.xxh64_intdigest(raw[4 * at:4 * (at + size)], low * (bound + 1) + i) - (1 << 63)
-                if at == start and low == mine[0]:
-                    own.append(key)
-                else:
-                    asked.add(key)
-    return own, sorted(asked.difference(own))
+    _, found, held = segment_keys([line], most)
+    own = set(found[held].tolist())
+    return sorted(own), sorted(set(found.tolist()) - own)
 
 
 def signature(line: str) -> bytes:
@@ -119,12 +74,12 @@ def counted(line: str, least: int) -> bool:
 
 
 def lines_of(docs: DataFrame, most: int | tuple[int, int], least: int) -> DataFrame:
-    """doc_id, place and node of every line that counts, with size, signature and keys.
+    """doc_id, place and node of every line that counts, with size and signature.
 
     These come with a line's first place in a slice of documents, and not at all if the line is too
     short for an edit.
     """
-    none = (None,) * 4
+    none = (None,) * 2
 
     def run(batches):
         for batch in parts(batches):
@@ -134,20 +89,18 @@ def lines_of(docs: DataFrame, most: int | tuple[int, int], least: int) -> DataFr
                     if line in known:
                         rows.append((doc_id, place, known[line], *none))
                     elif counted(line, least):
-                        known[line] = _number(line)
+                        known[line] = number(line)
                         rows.append((doc_id, place, known[line], *(
-                            (len(line), signature(line), *keys(line, most)) if edits(len(line), most) else none)))
+                            (len(line), signature(line)) if edits(len(line), most) else none)))
             yield pa.record_batch({
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()),
                 "place": pa.array([r[1] for r in rows], pa.int32()),
                 "node": pa.array([r[2] for r in rows], pa.int64()),
                 "size": pa.array([r[3] for r in rows], pa.int32()),
-                "signature": pa.array([r[4] for r in rows], pa.binary()),
-                "own": pa.array([r[5] for r in rows], pa.list_(pa.int64())),
-                "asked": pa.array([r[6] for r in rows], pa.list_(pa.int64()))})
+                "signature": pa.array([r[4] for r in rows], pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, place int, node long, size int, signature binary, own array<long>, asked array<long>")
+        run, "doc_id long, place int, node long, size int, signature binary")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,7 +111,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
                 cut = (text or "").split("\n")
                 for at in places:
-                    if at["place"] < len(cut) and _number(cut[at["place"]]) == at["node"]:
+                    if at["place"] < len(cut) and number(cut[at["place"]]) == at["node"]:
                         nodes.append(at["node"])
                         lines.append(cut[at["place"]])
             yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "line": pa.array(lines, pa.string())})
@@ -222,8 +175,8 @@ def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOS
                 least: int = LEAST_CHARS):
     """(lines, labels): doc_id, place and node of the lines; node and component of linked nodes."""
     lines = store.keep(lines_of(docs, most, least))
-    entries = lines.select(F.explode("own").alias("token"), "node", F.lit(True).alias("held")).unionByName(
-        lines.select(F.explode("asked").alias("token"), "node", F.lit(False).alias("held")))
+    entries = store.keep(shared_keys(docs, lambda line: counted(line, least), most,
+                                     lines.filter("size IS NOT NULL").count()))
     shared, pivots, pairs = meet(entries, store, F.bool_or("held"))
     met = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     marks = store.keep(lines.filter("size IS NOT NULL").select("node", "size", "signature")
