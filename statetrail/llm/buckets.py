@@ -20,13 +20,14 @@ PROBES, MEMBERS = 512, 4096
 GATHERED = 1 << 19
 
 
-def meet(entries: DataFrame, store: Store, useful: Column | None = None):
+def meet(entries: DataFrame, store: Store, useful: Column | None = None, once: bool = False):
     """(shared, pivots, pairs): the buckets of three or more, their pivots and the first pairs.
 
     Buckets are summed up before the shuffle, to the least and greatest node and a sum over the
     nodes. Those with one node go, those with two are a pair. Of buckets with equal members one
     stays. In a larger one every member is paired with the pivot, the node that is in most
-    buckets. ``useful`` is a further aggregate that buckets must pass.
+    buckets; or, with ``once``, every node with one of its pivots only, so that there is not more
+    than a pair for a node. ``useful`` is a further aggregate that buckets must pass.
     """
     members = F.try_sum(F.pmod(F.xxhash64("node"), F.lit(1 << 32)))
     found = entries.groupBy("token").agg(
@@ -40,22 +41,25 @@ def meet(entries: DataFrame, store: Store, useful: Column | None = None):
                         .join(small(large), "token", "left_semi").distinct())
     common = shared.groupBy("node").agg(F.count("*").alias("weight"))
     pivots = store.keep(shared.join(common, "node").groupBy("token").agg(
-        F.max(F.struct("weight", "node")).alias("top")).select("token", F.col("top.node").alias("pivot")))
+        F.max(F.struct("weight", "node")).alias("top")).select("token", F.col("top.node").alias("pivot"), "top.weight"))
+    tied = shared.join(pivots, "token").filter("node != pivot")
+    if once:
+        tied = tied.groupBy("node").agg(F.max(F.struct("weight", "pivot")).alias("top")).select("node", "top.pivot")
     pairs = (buckets.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-             .unionByName(shared.join(pivots, "token").filter("node != pivot").select(
+             .unionByName(tied.select(
                  F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))))
-    return shared, pivots, store.keep(pairs.distinct())
+    return shared, pivots.drop("weight"), store.keep(pairs.distinct())
 
 
-def units(shared: DataFrame, pivots: DataFrame, labels: DataFrame, payload: DataFrame) -> DataFrame:
+def units(shared: DataFrame, pivots: DataFrame | None, labels: DataFrame, payload: DataFrame) -> DataFrame:
     """What is left to compare: members (side 0) and those outside the main component (side 1).
 
-    A bucket whose nodes, but for the pivot, are of one component is done. The others are cut
+    A bucket whose nodes, but for a pivot that all were paired with, are of one component is done. The others are cut
     into units (token, part, chunk) of bounded size, each a part of the members against a chunk
     of the nodes outside the bucket's largest component. ``payload`` (node, ...) comes along.
     """
-    rows = (shared.join(pivots, "token").filter("node != pivot")
-            .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    rows = shared if pivots is None else shared.join(pivots, "token").filter("node != pivot")
+    rows = (rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = (rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo != hi").select("token"))
     rows = rows.join(mixed, "token", "left_semi").select("token", "node", "component")

@@ -44,12 +44,13 @@ class Store:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.last = 0, None
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.count}"
         self.count += 1
         df.write.parquet(path)
+        self.last = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, path: str | None = None) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .buckets import fresh, meet, search, sides, units
 from .common import Store, columns, free, parts, small, table
 from .components import connected_components
-from .edit_distance import within
+from .edit_distance import within_each
 from .segment_keys import edits, number, segment_keys, shared_keys
 
 #: Edits that lines may differ by, and characters below which ``line_dedup`` leaves a line alone if
@@ -47,26 +47,37 @@ def keys(line: str, most: int | tuple[int, int]) -> tuple[list[int], list[int]]:
 
 
 def signature(line: str) -> bytes:
-    """How often characters come, by the last five bits of their numbers, each count modulo 256."""
+    """How often characters come, by the last five bits of their numbers, and pairs of neighbours
+    likewise, each count modulo 256."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(codes & 31, minlength=32).astype(np.uint8).tobytes()
+    pairs = codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(2246822519) >> np.uint32(27)
+    return np.bincount(np.concatenate([codes & 31, pairs + 32]), minlength=64).astype(np.uint8).tobytes()
 
 
 def _counts(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 64)
 
 
 def _bounds(sizes: np.ndarray, most: int | tuple[int, int]) -> np.ndarray:
     return np.full(len(sizes), most) if isinstance(most, int) else np.minimum(sizes // most[0], most[1])
 
 
+def _moved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What one has more than the other, the greater of both ways."""
+    lost = (a - b).view(np.int8).astype(np.int32)
+    return np.maximum(np.maximum(lost, 0).sum(axis=-1), np.maximum(-lost, 0).sum(axis=-1))
+
+
 def alike(size_a, counts_a, size_b, counts_b, most) -> np.ndarray:
     """Whether lengths and counts allow that lines are within the bound: an edit takes at most one
-    character away and brings at most one. Differences within the bound survive the modulus."""
+    character and two pairs of neighbours away and brings at most as many. Differences within the
+    bound survive the modulus."""
     bound = _bounds(np.minimum(size_a, size_b), most)
-    lost = (counts_a - counts_b).view(np.int8).astype(np.int32)
-    return ((np.abs(size_a - size_b) <= bound) & (np.maximum(lost, 0).sum(axis=-1) <= bound)
-            & (np.maximum(-lost, 0).sum(axis=-1) <= bound))
+    found = (np.abs(size_a - size_b) <= bound) & (_moved(counts_a[..., :32], counts_b[..., :32]) <= bound)
+    at = np.flatnonzero(found)
+    other = counts_b[at, 32:] if counts_b.ndim > 1 else counts_b[32:]
+    found[at] = _moved(counts_a[at, 32:], other) <= 2 * bound[at]
+    return found
 
 
 def counted(line: str, least: int) -> bool:
@@ -139,9 +150,9 @@ def _links(pairs: DataFrame, docs: DataFrame, lines: DataFrame, store: Store,
     """The pairs that are within the bound; only their lines are read again."""
     def verify(batches):
         for batch in batches:
-            near = [within(x, y, edits(min(len(x), len(y)), most)) for x, y in
-                    zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            near = within_each(x, y, [edits(min(len(p), len(q)), most) for p, q in zip(x, y)])
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     needed = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     firsts = lines.join(small(needed), "node", "left_semi").groupBy("node").agg(
@@ -177,13 +188,15 @@ def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOS
     lines = store.keep(lines_of(docs, most, least))
     entries = store.keep(shared_keys(docs, lambda line: counted(line, least), most,
                                      lines.filter("size IS NOT NULL").count()))
-    shared, pivots, pairs = meet(entries, store, F.bool_or("held"))
+    spent = store.last
+    shared, _, pairs = meet(entries, store, F.bool_or("held"), once=True)
+    store.remove(spent)
     met = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     marks = store.keep(lines.filter("size IS NOT NULL").select("node", "size", "signature")
                        .join(small(met), "node", "left_semi").dropDuplicates(["node"]))
     links = _links(store.keep(_near(pairs, marks, most)), docs, lines, store, most)
     labels = store.keep(connected_components(links, store))
-    more = store.keep(search(units(shared, pivots, labels, marks), lambda unit: _compare(unit, most)))
+    more = store.keep(search(units(shared, None, labels, marks), lambda unit: _compare(unit, most)))
     if not more.isEmpty():
         links = links.unionByName(_links(more, docs, lines, store, most))
         labels = store.keep(connected_components(links, store))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from statetrail.llm import buckets
 from statetrail.llm import line_dedup as ld
-from statetrail.llm.edit_distance import within
+from statetrail.llm.edit_distance import within, within_each
 
 
 def distance(a, b):
@@ -28,6 +28,24 @@ def test_distance_as_plain():
         assert within(a, b, most) == (distance(a, b) <= most)
 
 
+def test_many_pairs_as_one_by_one():
+    rnd = random.Random(2)
+    a, b, bounds = [], [], []
+    for _ in range(4000):
+        x = "".join(rnd.choices("ab\U0001F600", k=rnd.choice([0, 1, 5, 20, 90])))
+        y = list(x)
+        for _ in range(rnd.randint(0, 10)):
+            i, what = rnd.randrange(len(y) + 1), rnd.randint(0, 2)
+            y[i:i + (what > 0)] = rnd.choice("ab") if what < 2 else ""
+        a.append(x)
+        b.append("".join(y))
+        bounds.append(rnd.choice([0, 1, 2, 8, 31, 40]))
+    found = within_each(a, b, bounds)
+    assert 500 < found.sum() < 3900
+    assert found.tolist() == [within(x, y, most) for x, y, most in zip(a, b, bounds)]
+    assert within_each([], [], []).tolist() == []
+
+
 @pytest.mark.parametrize("most", [1, 2, 3])
 def test_lines_within_the_bound_share_a_key(most):
     rnd = random.Random(most)
