@@ -249,6 +249,7 @@ SELECT u.id AS unit_id, u.unit_name, l.state_name AS current_state, l.ts AS stat
        u.details, round(age / 60000000.0::DOUBLE, 8) AS minutes_in_state
 FROM latest l JOIN unit u ON u.id = l.unit_id WHERE l.tech = '{WORKER}'""",
         "q15_worker_history": LOG + "SELECT * FROM history",
+        "q15_sound_units": LOG + "SELECT * FROM history",
         "q16_worker_detail": LOG + f"""
 SELECT {MEASURES}, count(DISTINCT CAST(ts AS DATE)) AS active_days
 FROM actions WHERE tech = '{WORKER}'""",

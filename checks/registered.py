@@ -392,6 +392,7 @@ def queries() -> dict[str, Query]:
         "q13_workers_list": mapped(st.workers_list),
         "q14_worker_units": mapped(lambda m: st.worker_units(m, WORKER, as_of=AS_OF)),
         "q15_worker_history": mapped(lambda m: st.worker_history(m, WORKER, as_of=AS_OF)),
+        "q15_sound_units": mapped(lambda m: st.worker_history(m, WORKER, as_of=AS_OF, sound_units=True)),
         "q16_worker_detail": mapped(lambda m: st.worker_detail(m, WORKER)),
         "q17_technician_workload": mapped(st.technician_workload),
         "v1_intervals_initial": mapped(lambda m: st.state_intervals(m.trail)),

@@ -77,19 +77,27 @@ def worker_detail(model: StateModel, worker: str) -> DataFrame:
 
 
 def worker_history(model: StateModel, worker: str, *, as_of=None, days: int = 30,
-                   limit: int = 100) -> DataFrame:
-    """The latest ``limit`` signals of a technician within ``days``."""
+                   limit: int = 100, sound_units: bool = False) -> DataFrame:
+    """The latest ``limit`` signals of a technician within ``days``.
+
+    Units are named once the rows are chosen. Rows of unknown units do not count; with ``sound_units``
+    the caller states that there are none, and the unit table is not asked before.
+    """
     since = days_before(as_of, whole_number("days", days, 1, 365))
     own = in_range(model.log, since).filter(technician(default=None) == worker)
     before = model.states.withColumnsRenamed({"id": "initial_state_id",
                                               "state_name": "from_state"})
     after = model.states.withColumnsRenamed({"id": "final_state_id", "state_name": "to_state"})
     unit = model.unit.select(F.col("id").alias("unit_id"), "unit_name")
-    return (own.select("log_id", "unit_id", "initial_state_id", "final_state_id", "signal_id",
-                       "ts")
+    rows = (own.select("log_id", "unit_id", "initial_state_id", "final_state_id", "signal_id", "ts")
             .join(model.signals.withColumnRenamed("id", "signal_id"), "signal_id")
-            .join(before, "initial_state_id").join(after, "final_state_id")
-            .join(unit, "unit_id")
-            .orderBy(F.desc("ts"), F.desc("log_id")).limit(limit)
+            .join(before, "initial_state_id").join(after, "final_state_id"))
+    if not sound_units:
+        rows = rows.join(unit.select("unit_id"), "unit_id", "left_semi")
+    order = [F.desc("ts"), F.desc("log_id")]
+    latest = rows.orderBy(*order).limit(limit)
+    if limit <= LOOKUP_ROWS:
+        latest = F.broadcast(latest)
+    return (unit.join(latest, "unit_id").orderBy(*order)
             .select("unit_id", "unit_name", "from_state", "to_state", "signal_name",
                     F.col("ts").alias("timestamp")))

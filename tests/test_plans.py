@@ -118,6 +118,18 @@ def test_history_keeps_only_the_wanted_rows_per_task(stored):
     assert "TakeOrderedAndProject(limit=100" in plan(st.worker_history(stored, "a"))
 
 
+@pytest.mark.parametrize("sound", [False, True])
+def test_history_names_units_above_the_limit(stored, sound):
+    lines = plan(st.worker_history(stored, "a", sound_units=sound)).splitlines()
+    cut = next(n for n, line in enumerate(lines) if "TakeOrderedAndProject(limit=100" in line)
+    reads = [line for line in lines if "FileScan" in line and "sm_unit" in line]
+    above = [line for line in lines[:cut] if "FileScan" in line and "sm_unit" in line]
+    semi = [n for n, line in enumerate(lines) if "LeftSemi" in line]
+    named = [line for line in reads if "unit_name" in line]
+    assert len(named) == 1 and len(reads) == (1 if sound else 2) and named == above
+    assert (not semi) if sound else min(semi) > cut
+
+
 def test_cut_units_share_the_shuffle_too(spark):
     model = fx.model(spark, rows_per_task=3)
     text = plan(st.state_intervals(model.trail))
