@@ -51,12 +51,13 @@ def meet(entries: DataFrame, store: Store, useful: Column | None = None, once: b
     return shared, pivots.drop("weight"), store.keep(pairs.distinct())
 
 
-def units(shared: DataFrame, pivots: DataFrame | None, labels: DataFrame, payload: DataFrame) -> DataFrame:
+def units(shared: DataFrame, pivots: DataFrame | None, labels: DataFrame,
+          payload: DataFrame | None = None) -> DataFrame:
     """What is left to compare: members (side 0) and those outside the main component (side 1).
 
     A bucket whose nodes, but for a pivot that all were paired with, are of one component is done. The others are cut
     into units (token, part, chunk) of bounded size, each a part of the members against a chunk
-    of the nodes outside the bucket's largest component. ``payload`` (node, ...) comes along.
+    of the nodes outside the bucket's largest component. ``payload`` (node, ...) comes along, if there is one.
     """
     rows = shared if pivots is None else shared.join(pivots, "token").filter("node != pivot")
     rows = (rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -79,7 +80,8 @@ def units(shared: DataFrame, pivots: DataFrame | None, labels: DataFrame, payloa
         "token", "node", "component", "main", F.lit(1).alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int").alias("chunk"))
-    return members.unionByName(others).join(payload, "node")
+    both = members.unionByName(others)
+    return both if payload is None else both.join(payload, "node")
 
 
 def search(rows: DataFrame, compare) -> DataFrame:
@@ -90,7 +92,7 @@ def search(rows: DataFrame, compare) -> DataFrame:
     """
     def run(batches):
         found, n = [], 0
-        for unit in _units_of(batches):
+        for unit in units_of(batches):
             for batch in compare(unit):
                 found.append(_distinct(batch))
                 n += found[-1].num_rows
@@ -116,7 +118,7 @@ def _distinct(pairs) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(pairs[keep, 0]), "b": pa.array(pairs[keep, 1])})
 
 
-def _units_of(batches):
+def units_of(batches):
     """The rows of one unit after the other; a unit is of bounded size."""
     rest = None
     for batch in batches:

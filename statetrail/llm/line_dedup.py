@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buckets import fresh, meet, search, sides, units
+from .buckets import fresh, meet, sides, units, units_of
 from .common import Store, columns, free, parts, small, table
 from .components import connected_components
 from .edit_distance import within_each
@@ -36,6 +36,10 @@ MOST_EDITS, LEAST_CHARS = 1, 32
 #: one, and one edit per so many characters, up to so many, is allowed beside.
 ALL_LINES, EDITS = 1, (16, 8)
 
+#: Characters whose signatures are made at once, candidates that a task verifies at once, those of a line that
+#: are verified first, and components of which a task remembers what they were tied to.
+CHARS, WAITING, FIRST, KNOWN = 1 << 20, 1 << 14, 4, 1 << 20
+
 _WORD = re.compile(r"\w")
 
 
@@ -46,12 +50,25 @@ def keys(line: str, most: int | tuple[int, int]) -> tuple[list[int], list[int]]:
     return sorted(own), sorted(set(found.tolist()) - own)
 
 
-def signature(line: str) -> bytes:
-    """How often characters come, by the last five bits of their numbers, and pairs of neighbours
-    likewise, each count modulo 256."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    pairs = codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(2246822519) >> np.uint32(27)
-    return np.bincount(np.concatenate([codes & 31, pairs + 32]), minlength=64).astype(np.uint8).tobytes()
+def signatures(lines: list[str]) -> list[bytes]:
+    """For each line how often characters come, by the last five bits of their numbers, and pairs of
+    neighbours likewise, each count modulo 256."""
+    out, start = [], 0
+    while start < len(lines):
+        end, chars = start + 1, len(lines[start])
+        while end < len(lines) and chars + len(lines[end]) <= CHARS:
+            chars += len(lines[end])
+            end += 1
+        some = lines[start:end]
+        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(some)) * 64, [len(x) for x in some])
+        pairs = codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(2246822519) >> np.uint32(27)
+        inside = row[:-1] == row[1:]
+        counts = np.bincount(np.concatenate([row + (codes & 31), (row[:-1] + pairs + 32)[inside]]), minlength=64 * len(some))
+        data = counts.astype(np.uint8).tobytes()
+        out += [data[at:at + 64] for at in range(0, len(data), 64)]
+        start = end
+    return out
 
 
 def _counts(column) -> np.ndarray:
@@ -90,25 +107,34 @@ def lines_of(docs: DataFrame, most: int | tuple[int, int], least: int) -> DataFr
     These come with a line's first place in a slice of documents, and not at all if the line is too
     short for an edit.
     """
-    none = (None,) * 2
-
     def run(batches):
         for batch in parts(batches):
-            rows, known = [], {}
+            ids, at, nodes, sizes, marked, new, known = [], [], [], [], [], [], {}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for place, line in enumerate((text or "").split("\n")):
-                    if line in known:
-                        rows.append((doc_id, place, known[line], *none))
+                    node = known.get(line)
+                    if node is not None:
+                        sizes.append(None)
                     elif counted(line, least):
-                        known[line] = number(line)
-                        rows.append((doc_id, place, known[line], *(
-                            (len(line), signature(line)) if edits(len(line), most) else none)))
+                        node = known[line] = number(line)
+                        if edits(len(line), most):
+                            marked.append(len(nodes))
+                            new.append(line)
+                            sizes.append(len(line))
+                        else:
+                            sizes.append(None)
+                    else:
+                        continue
+                    ids.append(doc_id)
+                    at.append(place)
+                    nodes.append(node)
+            marks = [None] * len(nodes)
+            for i, mark in zip(marked, signatures(new)):
+                marks[i] = mark
             yield pa.record_batch({
-                "doc_id": pa.array([r[0] for r in rows], pa.int64()),
-                "place": pa.array([r[1] for r in rows], pa.int32()),
-                "node": pa.array([r[2] for r in rows], pa.int64()),
-                "size": pa.array([r[3] for r in rows], pa.int32()),
-                "signature": pa.array([r[4] for r in rows], pa.binary())})
+                "doc_id": pa.array(ids, pa.int64()), "place": pa.array(at, pa.int32()),
+                "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int32()),
+                "signature": pa.array(marks, pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, place int, node long, size int, signature binary")
@@ -145,41 +171,116 @@ def _near(pairs: DataFrame, marks: DataFrame, most: int | tuple[int, int]) -> Da
     return both.select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
 
 
+def _lines(needed: DataFrame, docs: DataFrame, lines: DataFrame, store: Store) -> DataFrame:
+    """node and line of the nodes ``needed``; only their documents' texts are read."""
+    firsts = lines.join(small(needed), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("doc_id", "place")).alias("first"))
+    wanted = store.keep(firsts.groupBy("first.doc_id").agg(
+        F.collect_set(F.struct("first.place", "node")).alias("places")))
+    return store.keep(_texts(docs, small(wanted, 2 * F.size("places"))))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, lines: DataFrame, store: Store,
            most: int | tuple[int, int]) -> DataFrame:
     """The pairs that are within the bound; only their lines are read again."""
     def verify(batches):
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            near = within_each(x, y, [edits(min(len(p), len(q)), most) for p, q in zip(x, y)])
+            near = _within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     needed = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    firsts = lines.join(small(needed), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("doc_id", "place")).alias("first"))
-    wanted = store.keep(firsts.groupBy("first.doc_id").agg(
-        F.collect_set(F.struct("first.place", "node")).alias("places")))
-    texts = store.keep(_texts(docs, small(wanted, 2 * F.size("places"))))
+    texts = _lines(needed, docs, lines, store)
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     return store.keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
 
 
-def _compare(unit: pa.Table, most: int | tuple[int, int]):
+def _within(x: list[str], y: list[str], most: int | tuple[int, int]) -> np.ndarray:
+    return within_each(x, y, [edits(min(len(p), len(q)), most) for p, q in zip(x, y)])
+
+
+class Ties:
+    """Candidates of the units of a task, verified many at a time.
+
+    Components that a link ties together are one from then on, so candidates between them need
+    no more be verified, and a task hands out fewer links than it meets components.
+    """
+
+    def __init__(self, most: int | tuple[int, int]):
+        self.most, self.up = most, {}
+        self.lines, self.waiting, self.n, self.probes = {}, [], 0, 0
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def add(self, own: int, component: int, nodes: np.ndarray, components: np.ndarray) -> None:
+        """``own`` is to be compared with ``nodes``; ``lines`` must know them."""
+        self.waiting.append((np.full(len(nodes), self.probes), np.full(len(nodes), own), nodes,
+                             np.full(len(nodes), component), components))
+        self.probes += 1
+        self.n += len(nodes)
+
+    def links(self) -> pa.RecordBatch:
+        """The links (a, b) among what waits that tie components; nothing waits any more."""
+        probe, a, b, x, y = (np.concatenate(c) for c in zip(*self.waiting))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((high, low))
+        new = np.ones(len(a), bool)
+        new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        left, found, each = np.sort(order[new]), [], FIRST
+        while True:
+            apart = [self.top(p) != self.top(q) for p, q in zip(x[left].tolist(), y[left].tolist())]
+            left = left[np.array(apart, bool)]
+            if not len(left):
+                break
+            now = np.arange(len(left)) - np.searchsorted(probe[left], probe[left]) < each
+            at = left[now]
+            near = _within(*([self.lines[n] for n in side[at].tolist()] for side in (a, b)), self.most)
+            for i in at[near].tolist():
+                p, q = self.top(int(x[i])), self.top(int(y[i]))
+                if p != q:
+                    self.up[max(p, q)] = min(p, q)
+                    found.append(i)
+            left, each = left[~now], each * 4
+        self.lines, self.waiting, self.n = {}, [], 0
+        if len(self.up) > KNOWN:
+            self.up = {}
+        return pa.record_batch({"a": pa.array(low[found], pa.int64()), "b": pa.array(high[found], pa.int64())})
+
+
+def _gather(unit: pa.Table, ties: Ties) -> None:
+    """The pairs of a unit that lengths and counts allow go to ``ties``."""
     members, probes = sides(unit)
     if not len(members) or not len(probes):
         return
-    node, ask = members.column("node").to_numpy(), fresh(members)
-    sizes, counts = members.column("size").to_numpy(), _counts(members.column("signature"))
-    a, b = [], []
-    for own, kind, size, count in zip(
-            probes.column("node").to_numpy(), probes.column("component").to_numpy(),
-            probes.column("size").to_numpy(), _counts(probes.column("signature"))):
-        at = ask(own, kind, np.flatnonzero(np.abs(sizes - size) <= _bounds(np.minimum(sizes, size), most)))
-        at = at[alike(sizes[at], counts[at], size, count, most)]
-        a.append(np.minimum(own, node[at]))
-        b.append(np.maximum(own, node[at]))
-    yield pa.record_batch({"a": pa.array(np.concatenate(a), pa.int64()),
-                           "b": pa.array(np.concatenate(b), pa.int64())})
+    node, ask, kinds = members.column("node").to_numpy(), fresh(members), members.column("component").to_numpy()
+    sizes, counts, lines = members.column("size").to_numpy(), _counts(members.column("signature")), members.column("line")
+    for own, kind, size, count, line in zip(
+            probes.column("node").to_numpy(), probes.column("component").to_numpy(), probes.column("size").to_numpy(),
+            _counts(probes.column("signature")), probes.column("line")):
+        at = ask(own, kind, np.flatnonzero(np.abs(sizes - size) <= _bounds(np.minimum(sizes, size), ties.most)))
+        at = at[alike(sizes[at], counts[at], size, count, ties.most)]
+        if len(at):
+            ties.lines[int(own)] = line.as_py()
+            ties.lines.update((n, lines[i].as_py()) for i, n in zip(at.tolist(), node[at].tolist()) if n not in ties.lines)
+            ties.add(own, kind, node[at], kinds[at])
+
+
+def _tied(rows: DataFrame, most: int | tuple[int, int]) -> DataFrame:
+    """Links (a, b) between components, for rows of units with size, signature and line."""
+    def run(batches):
+        ties = Ties(most)
+        for unit in units_of(batches):
+            _gather(unit, ties)
+            if ties.n >= WAITING:
+                yield ties.links()
+        if ties.n:
+            yield ties.links()
+
+    keys = ["token", "part", "chunk"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOST_EDITS,
@@ -196,10 +297,11 @@ def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOS
                        .join(small(met), "node", "left_semi").dropDuplicates(["node"]))
     links = _links(store.keep(_near(pairs, marks, most)), docs, lines, store, most)
     labels = store.keep(connected_components(links, store))
-    more = store.keep(search(units(shared, None, labels, marks), lambda unit: _compare(unit, most)))
-    if not more.isEmpty():
-        links = links.unionByName(_links(more, docs, lines, store, most))
-        labels = store.keep(connected_components(links, store))
+    left = store.keep(units(shared, None, labels))
+    if not left.isEmpty():
+        texts = _lines(store.keep(left.select("node").distinct()), docs, lines, store)
+        more = store.keep(_tied(left.join(marks.join(texts, "node"), "node"), most))
+        labels = store.keep(connected_components(links.unionByName(more), store))
     return lines.select("doc_id", "place", "node"), labels
 
 

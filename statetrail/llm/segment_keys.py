@@ -91,6 +91,20 @@ class _Substrings:
         return (self.sums[start + size] - self.sums[start]) * self.down[start]
 
 
+@lru_cache(1 << 10)
+def _places(low: int, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the segments of a class and how far each can have moved: the place, whether it is counted
+    from the end of the line, a number of the segment, and whether this is where it is entered."""
+    size, rows = low // (bound + 1), []
+    for i in range(bound + 1):
+        behind = i > bound - i
+        moved = bound - i if behind else i
+        place = i * size - behind * (bound + 1) * size
+        rows += [(place + shift, behind, low * (bound + 1) + i + 1, not shift) for shift in range(-moved, moved + 1)]
+    place, behind, segment, unmoved = zip(*rows)
+    return np.array(place), np.array(behind), _mixed(np.array(segment, np.uint64)), np.array(unmoved)
+
+
 def segment_keys(lines: list[str], most: int | tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, held): the segments that a line is entered under (held), and the substrings
     under which it is looked for among the lines of its class and of the class below."""
@@ -109,19 +123,17 @@ def segment_keys(lines: list[str], most: int | tuple[int, int]) -> tuple[np.ndar
         if not bound:
             continue
         members = np.array(members)
-        n, begin, size = sizes[members], begins[members], low // (bound + 1)
-        for i in range(bound + 1):
-            first_half = i <= bound - i
-            start = np.full(len(n), i * size) if first_half else n - (bound + 1 - i) * size
-            moved = i if first_half else bound - i
-            salt = _mixed(np.array([low * (bound + 1) + i + 1], np.uint64))
-            for shift in range(-moved, moved + 1):
-                inside = np.flatnonzero((start + shift >= 0) & (start + shift + size <= n))
-                key = _mixed(text.at((begin + start + shift)[inside], size) ^ salt)
-                found.append((members[inside], key, np.full(len(inside), mine and not shift)))
+        n, size = sizes[members][:, None], low // (bound + 1)
+        place, behind, salt, unmoved = _places(low, bound)
+        at = np.where(behind, n, 0) + place
+        inside = (at >= 0) & (at + size <= n)
+        line, which = np.nonzero(inside)
+        found.append((members[line], text.at(begins[members][line] + at[inside], size) ^ salt[which],
+                      unmoved[which] & mine))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    return tuple(np.concatenate(column) for column in zip(*found))
+    line, key, held = (np.concatenate(column) for column in zip(*found))
+    return line, _mixed(key), held
 
 
 def _runs(key: np.ndarray) -> np.ndarray:

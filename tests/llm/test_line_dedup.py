@@ -153,7 +153,7 @@ def test_lines_within_a_growing_bound_share_a_key_and_are_alike():
         if within(a, b, bound):
             (own_a, asked_a), (own_b, asked_b) = ld.keys(a, GROWING), ld.keys(b, GROWING)
             assert not bound or set(own_a) & {*own_b, *asked_b} or set(own_b) & {*own_a, *asked_a}
-            counts = [ld._counts(pa.array([ld.signature(x)])) for x in (a, b)]
+            counts = [ld._counts(pa.array(ld.signatures([x]))) for x in (a, b)]
             assert ld.alike(np.array([len(a)]), counts[0], np.array([len(b)]), counts[1], GROWING).all()
 
 
@@ -192,3 +192,43 @@ def test_stage_drops_copies_with_short_and_blank_lines(spark, docs_of):
     kept = ld.drop_repeated_lines(spark, docs_of(texts), "")
     assert {r.doc_id: r.text for r in kept.collect()} == {
         1: text, 3: "\n--\n\n½ own", 4: texts[4], 5: texts[5]}
+
+
+def test_signatures_are_counts_of_each_line(monkeypatch):
+    rnd = random.Random(5)
+    lines = ["", "a", *("".join(rnd.choices("abc \U0001F600\ud800", k=rnd.randint(0, 600))) for _ in range(60))]
+    whole = ld.signatures(lines)
+    monkeypatch.setattr(ld, "CHARS", 500)
+    assert ld.signatures(lines) == whole == [ld.signatures([x])[0] for x in lines]
+    for line, found in zip(lines, whole):
+        plain = [0] * 64
+        for c in line:
+            plain[ord(c) & 31] += 1
+        assert list(found[:32]) == [n % 256 for n in plain[:32]]
+        assert sum(found[32:]) % 256 == max(len(line) - 1, 0) % 256
+
+
+@pytest.mark.parametrize("waiting", [1, 50, 1 << 14])
+def test_ties_join_what_is_linked_with_fewer_links_than_components(waiting):
+    rnd = random.Random(waiting)
+    stock = ["".join(rnd.choices("abcd", k=60)) for _ in range(6)]
+    lines = sorted({edited(rnd, rnd.choice(stock), rnd.randint(0, 2)) for _ in range(120)})
+    ties, nodes, links = ld.Ties((16, 8)), np.arange(len(lines)), []
+    for i in range(len(lines)):
+        ties.lines.update(enumerate(lines))
+        ties.add(i, i, nodes[nodes != i], nodes[nodes != i])
+        if ties.n >= waiting:
+            links += ties.links().to_pylist()
+    if ties.n:
+        links += ties.links().to_pylist()
+
+    def groups(pairs):
+        group = list(range(len(lines)))
+        for a, b in pairs:
+            group = [group[a] if g == group[b] else g for g in group]
+        return [group.index(g) for g in group]
+
+    plain = [(i, j) for i in range(len(lines)) for j in range(i)
+             if within(lines[i], lines[j], ld.edits(min(len(lines[i]), len(lines[j])), (16, 8)))]
+    assert groups([(r["a"], r["b"]) for r in links]) == groups(plain)
+    assert len(links) == len(lines) - len(set(groups(plain)))
