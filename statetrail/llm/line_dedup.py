@@ -71,8 +71,8 @@ def signatures(lines: list[str]) -> list[bytes]:
     return out
 
 
-def _counts(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 64)
+def _counts(marks: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(marks), np.uint8).reshape(-1, 64)
 
 
 def _bounds(sizes: np.ndarray, most: int | tuple[int, int]) -> np.ndarray:
@@ -163,8 +163,8 @@ def _near(pairs: DataFrame, marks: DataFrame, most: int | tuple[int, int]) -> Da
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                near = alike(batch.column("m").to_numpy(), _counts(batch.column("x")),
-                             batch.column("n").to_numpy(), _counts(batch.column("y")), most)
+                near = alike(batch.column("m").to_numpy(), _counts(batch.column("x").to_pylist()),
+                             batch.column("n").to_numpy(), _counts(batch.column("y").to_pylist()), most)
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
     both = pairs.join(marks.toDF("a", "m", "x"), "a").join(marks.toDF("b", "n", "y"), "b")
@@ -251,25 +251,35 @@ class Ties:
 
 
 def _gather(unit: pa.Table, ties: Ties) -> None:
-    """The pairs of a unit that lengths and counts allow go to ``ties``."""
+    """The pairs of a unit that lengths and counts allow go to ``ties``, those that meet under a
+    lesser token too being left to the unit of their least one."""
     members, probes = sides(unit)
     if not len(members) or not len(probes):
         return
-    node, ask, kinds = members.column("node").to_numpy(), fresh(members), members.column("component").to_numpy()
-    sizes, counts, lines = members.column("size").to_numpy(), _counts(members.column("signature")), members.column("line")
-    for own, kind, size, count, line in zip(
-            probes.column("node").to_numpy(), probes.column("component").to_numpy(), probes.column("size").to_numpy(),
-            _counts(probes.column("signature")), probes.column("line")):
+    token, node, ask = unit.column("token")[0].as_py(), members.column("node").to_numpy(), fresh(members)
+    kinds, lines = members.column("component").to_numpy(), members.column("line").to_pylist()
+    sizes, counts = np.array([len(x) for x in lines]), _counts(signatures(lines))
+    met, before = members.column("tokens"), {}
+    asked = probes.column("line").to_pylist()
+    for i, (own, kind, line, count) in enumerate(zip(
+            probes.column("node").to_numpy(), probes.column("component").to_numpy(), asked, _counts(signatures(asked)))):
+        size = len(line)
         at = ask(own, kind, np.flatnonzero(np.abs(sizes - size) <= _bounds(np.minimum(sizes, size), ties.most)))
-        at = at[alike(sizes[at], counts[at], size, count, ties.most)]
-        if len(at):
-            ties.lines[int(own)] = line.as_py()
-            ties.lines.update((n, lines[i].as_py()) for i, n in zip(at.tolist(), node[at].tolist()) if n not in ties.lines)
+        at = at[alike(sizes[at], counts[at], size, count, ties.most)].tolist()
+        if at:
+            for j in at:
+                if j not in before:
+                    before[j] = frozenset(t for t in met[j].as_py() if t < token)
+            lesser = [t for t in probes.column("tokens")[i].as_py() if t < token]
+            at = [j for j in at if before[j].isdisjoint(lesser)]
+        if at:
+            ties.lines[int(own)] = line
+            ties.lines.update(zip(node[at].tolist(), [lines[j] for j in at]))
             ties.add(own, kind, node[at], kinds[at])
 
 
 def _tied(rows: DataFrame, most: int | tuple[int, int]) -> DataFrame:
-    """Links (a, b) between components, for rows of units with size, signature and line."""
+    """Links (a, b) between components, for rows of units with a node's line and all its tokens."""
     def run(batches):
         ties = Ties(most)
         for unit in units_of(batches):
@@ -299,8 +309,9 @@ def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOS
     labels = store.keep(connected_components(links, store))
     left = store.keep(units(shared, None, labels))
     if not left.isEmpty():
-        texts = _lines(store.keep(left.select("node").distinct()), docs, lines, store)
-        more = store.keep(_tied(left.join(marks.join(texts, "node"), "node"), most))
+        tokens = store.keep(left.groupBy("node").agg(F.collect_set("token").alias("tokens")))
+        texts = _lines(store.keep(tokens.select("node")), docs, lines, store)
+        more = store.keep(_tied(left.join(texts.join(tokens, "node"), "node"), most))
         labels = store.keep(connected_components(links.unionByName(more), store))
     return lines.select("doc_id", "place", "node"), labels
 

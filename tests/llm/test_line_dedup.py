@@ -3,7 +3,6 @@ import string
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from statetrail.llm import buckets
 from statetrail.llm import line_dedup as ld
@@ -153,7 +152,7 @@ def test_lines_within_a_growing_bound_share_a_key_and_are_alike():
         if within(a, b, bound):
             (own_a, asked_a), (own_b, asked_b) = ld.keys(a, GROWING), ld.keys(b, GROWING)
             assert not bound or set(own_a) & {*own_b, *asked_b} or set(own_b) & {*own_a, *asked_a}
-            counts = [ld._counts(pa.array(ld.signatures([x]))) for x in (a, b)]
+            counts = [ld._counts(ld.signatures([x])) for x in (a, b)]
             assert ld.alike(np.array([len(a)]), counts[0], np.array([len(b)]), counts[1], GROWING).all()
 
 
