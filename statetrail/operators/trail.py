@@ -2,10 +2,11 @@
 
 ``lead``, ``lag`` and range frames bring all rows of a key into one task. That is fine until a
 key holds a large share of the table. A :class:`Trail` therefore counts first. Keys with more
-rows than one task should sort are cut into *pieces*: Spark range-partitions their rows by
-(key, time, tie), and the piece number is stored with the rows in the shared folder, so that
-every later read, also after a lost executor, sees the same cut. Windows then run per (key,
-piece), and what crosses a piece border comes from one summary row per piece.
+rows than one task should sort are cut into *pieces*: Spark range-partitions and sorts their rows
+by (key, time, tie), and so many rows on are a piece. The piece number is stored with the rows in
+the shared folder, so that every later read, also after a lost executor, sees the same cut.
+Windows then run per (key, piece), and what crosses a piece border comes from one summary row
+per piece.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import uuid
 from dataclasses import dataclass, replace
 from math import ceil
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import CUT_PREFIX, shared_dir
 
 ROWS_PER_TASK = 5_000_000
+# rows of cut keys that make a range of their own, however small the pieces are
+RANGE_ROWS = 200_000
 # piece summaries and keys are sent to every task up to so many rows, and shuffled beyond
 BROADCAST_ROWS = 100_000
 WHOLE = -1  # piece number of a key that was not cut
@@ -116,7 +119,7 @@ class Trail:
         points = ends.select(self.key, F.explode(F.array(
             F.struct(F.col(self.piece), F.col("_first").alias("_at"),
                      F.lit(None).cast("timestamp").alias("_seen")),
-            *[F.struct(F.lit(None).cast("int").alias(self.piece), F.col(at).alias("_at"),
+            *[F.struct(F.lit(None).cast("long").alias(self.piece), F.col(at).alias("_at"),
                        F.col(at).alias("_seen")) for at in ("_last", "_before_last")],
         )).alias("_point")).select(self.key, "_point.*").filter("_at IS NOT NULL")
         earlier = (Window.partitionBy(self.key).orderBy(F.unix_micros("_at"))
@@ -136,8 +139,10 @@ def trail(rows: DataFrame, key: str = "unit_id", time: str = "ts", tie: str = "l
     The total comes from the file footers when ``rows`` is a plain scan. Only if it exceeds
     ``rows_per_task`` are the keys counted; those above the limit, of which there are at most
     total / limit, are stored. Pieces grow in number with the rows of these keys, so that none
-    holds much more than the limit. Keys and piece summaries are broadcast while they are few and
-    shuffled beyond. The key NULL is a key like others.
+    holds more than the limit, but for rows of equal (key, time, tie), which stay together. Tasks
+    and files grow with the rows, too, and not with the pieces where these are small. Keys and
+    piece summaries are broadcast while they are few and shuffled beyond. The key NULL is a key
+    like others.
     """
     limit = rows_per_task or ROWS_PER_TASK
     if rows.count() <= limit:
@@ -154,11 +159,22 @@ def trail(rows: DataFrame, key: str = "unit_id", time: str = "ts", tie: str = "l
     keys = hot.select("_hot")
     keys = F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys
     same = rows[key].eqNullSafe(keys["_hot"])
-    pieces = ceil(2 * n_rows / limit)
+    ranges = ceil(2 * n_rows / max(limit, 2 * RANGE_ROWS))
+    equal = Window.partitionBy(key, time, tie)  # served by the ranges and their sort
     (rows.join(keys, same, "left_semi")
-     .repartitionByRange(pieces, key, time, tie)
-     .withColumn("piece", F.spark_partition_id())
+     .repartitionByRange(ranges, key, time, tie)
+     .sortWithinPartitions(key, time, tie)
+     .withColumn("_at", F.monotonically_increasing_id())
+     .withColumn("_at", F.min("_at").over(equal))
+     .withColumn("piece", _piece(F.col("_at"), limit)).drop("_at")
      .write.parquet(f"{path}/rows"))
     cut = spark.read.parquet(f"{path}/rows")
-    uncut = rows.join(keys, same, "left_anti").withColumn("piece", F.lit(WHOLE))
-    return Trail(uncut.unionByName(cut), key, time, tie, "piece", pieces + n_keys <= BROADCAST_ROWS)
+    uncut = rows.join(keys, same, "left_anti").withColumn("piece", F.lit(WHOLE).cast("long"))
+    summaries = ceil(n_rows / limit) + ranges + n_keys
+    return Trail(uncut.unionByName(cut), key, time, tie, "piece", summaries <= BROADCAST_ROWS)
+
+
+def _piece(at: Column, limit: int) -> Column:
+    """The piece of the row at a place: number of the range, and of ``limit`` rows in it."""
+    place = at.bitwiseAND(F.lit((1 << 33) - 1))
+    return at - place + F.floor(place / limit)

@@ -77,11 +77,11 @@ def signal_outcomes(model: StateModel, signals: DataFrame,
     initial, moves, states = model.initial_state_id, model.moves, model.state_ids
     named = model.signals.withColumnsRenamed({"id": "signal_id", "signal_name": "signal"})
     ordered = trail(signals, tie="event_id", rows_per_task=rows_per_task)
-    piece = F.lit(WHOLE) if ordered.piece is None else F.col(ordered.piece)
+    piece = F.lit(WHOLE).cast("long") if ordered.piece is None else F.col(ordered.piece)
     rows = ordered.rows.withColumn("piece", piece).join(named, "signal", "left")
     starts = latest_per_unit(
         model.log.select("unit_id", "log_id", "ts", "final_state_id")).select(
-        "unit_id", F.lit(WHOLE).alias("piece"), F.col("final_state_id").alias("state"))
+        "unit_id", F.lit(WHOLE).cast("long").alias("piece"), F.col("final_state_id").alias("state"))
 
     if ordered.piece is not None:
         summed = (rows.filter(F.col("piece") > WHOLE)
@@ -89,15 +89,15 @@ def signal_outcomes(model: StateModel, signals: DataFrame,
                   .repartition("unit_id", "piece")
                   .sortWithinPartitions("unit_id", "piece", "ts", "event_id")
                   .mapInArrow(composer(moves, states),
-                              "unit_id bigint, piece int, leads array<bigint>"))
+                              "unit_id bigint, piece bigint, leads array<bigint>"))
         # one row per piece, and the start state of each unit that was cut
         links = summed.unionByName(
-            starts.join(summed.select("unit_id").distinct(), "unit_id", "left_semi"),
+            starts.join(ordered.cut_rows.select("unit_id").distinct(), "unit_id", "left_semi"),
             allowMissingColumns=True)
         chained = (links.select("unit_id", "piece", "state", "leads").repartition("unit_id")
                    .sortWithinPartitions("unit_id", "piece")
                    .mapInArrow(chainer(states, initial),
-                               "unit_id bigint, piece int, state bigint"))
+                               "unit_id bigint, piece bigint, state bigint"))
         starts = starts.unionByName(chained)
 
     marked = rows.withColumn("kind", F.lit(SIGNAL)).unionByName(

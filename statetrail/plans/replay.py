@@ -209,7 +209,7 @@ def composer(moves: dict[int, dict[int, int]], states: list[int]):
 def _summaries(machine: Machine, units, pieces, leads: np.ndarray) -> pa.RecordBatch:
     ends = np.arange(len(leads) + 1, dtype=np.int32) * leads.shape[1]
     return pa.RecordBatch.from_arrays(
-        [_ids(np.array(units, np.int64)), pa.array(pieces, pa.int32()),
+        [_ids(np.array(units, np.int64)), pa.array(pieces, pa.int64()),
          pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(machine.states[leads.ravel()]))],
         ["unit_id", "piece", "leads"])
 

@@ -64,6 +64,31 @@ def test_a_unit_with_one_single_time_is_cut_too(spark):
     assert cut.with_rank("r").rows.agg(F.max("r")).first()[0] == 200
 
 
+@pytest.mark.parametrize("range_rows", [None, 30])
+def test_small_pieces_make_no_tasks_of_their_own(spark, monkeypatch, range_rows):
+    if range_rows:
+        monkeypatch.setitem(trail.__globals__, "RANGE_ROWS", range_rows)
+    log = log_of(spark, [(n % 7, n // 2 % 90) for n in range(700)])
+    cut = trail(log, rows_per_task=2)
+    assert cut.cut_rows.count() == 700
+    assert len(cut.cut_rows.inputFiles()) <= (1 if range_rows is None else 30)
+    assert cut.cut_rows.groupBy("unit_id", "piece").count().agg(F.max("count")).first()[0] == 2
+
+    def found(ordered):
+        rows = ordered.with_rank("r").with_previous(p="log_id").with_next(n="log_id").with_earlier_time("e").rows
+        return sorted(rows.select("log_id", "r", "p", "n", "e").collect())
+
+    assert found(cut) == found(trail(log))
+
+
+def test_rows_of_equal_order_stay_in_a_piece(spark):
+    log = log_of(spark, [(7, n) for n in range(10)])
+    cut = trail(log.unionByName(log).unionByName(log), rows_per_task=4)
+    held = cut.cut_rows.groupBy("unit_id", "ts", "log_id").agg(F.count("*"), F.count_distinct("piece"))
+    assert {tuple(r)[3:] for r in held.collect()} == {(3, 1)}
+    assert cut.cut_rows.select("piece").distinct().count() > 3
+
+
 def test_latest_takes_the_greater_id_among_equal_times(spark):
     rows = latest_per_unit(log_of(spark, [(1, 5), (1, 5), (1, 2), (2, 0)])).collect()
     assert {(r["unit_id"], r["log_id"]) for r in rows} == {(1, 1), (2, 3)}
