@@ -106,33 +106,37 @@ def _banded_each(a, b, most: int) -> np.ndarray:
     """``_banded`` for pairs that are sorted by the length of b; those out of reach leave early."""
     size_a, size_b = (np.array([len(x) for x in side]) for side in (a, b))
     width, longest, at = 2 * most + 1, int(size_b[-1]), np.arange(len(a))
-    full = np.uint64((1 << width) - 1)
-    one, eight = np.uint64(1), np.uint64(8)
+    # shifts go beyond the band by a bit for each edit before it is cut off
+    kind = np.uint32 if width + most <= 32 else np.uint64
+    full, one, eight = kind((1 << width) - 1), kind(1), kind(8)
     rows_a = _columns(a, most, longest + width, 0xFFFFFFFF)
     rows_b = _columns(b, 0, longest, 0xFFFFFFFE)
-    reach = np.array([[((1 << d + 1) - 1 << most) & int(full)] for d in range(most + 1)], np.uint64).repeat(len(a), 1)
-    out, gone = np.zeros(len(a), bool), 0
+    reach = np.array([[((1 << d + 1) - 1 << most) & int(full)] for d in range(most + 1)], kind).repeat(len(a), 1)
+    out, gone, done = np.zeros(len(a), bool), 0, 0
     for j in range(longest):
-        packed = np.packbits(rows_a[j - gone:j - gone + width] == rows_b[j - gone], axis=0, bitorder="little").astype(np.uint64)
+        packed = np.packbits(rows_a[j - gone:j - gone + width] == rows_b[j - gone], axis=0, bitorder="little").astype(kind)
         match = packed[-1]
         for byte in packed[-2::-1]:
             match = match << eight | byte
-        now = np.empty_like(reach)
-        now[0] = reach[0] & match
+        now = reach & match
+        now[1:] |= reach[:-1]
+        now[1:] |= reach[:-1] >> one
         for d in range(1, most + 1):
-            now[d] = (reach[d] & match | reach[d - 1] >> one | reach[d - 1] | now[d - 1] << one) & full
+            now[d] |= now[d - 1] << one
+        now &= full
         reach = now
         ended = int(np.searchsorted(size_b, j + 1, "right"))
-        if ended:
-            place = (size_a[:ended] - size_b[:ended] + most).astype(np.uint64)
-            out[at[:ended]] = (reach[most, :ended] >> place & one).astype(bool)
+        if ended > done:
+            place = (size_a[done:ended] - size_b[done:ended] + most).astype(kind)
+            out[at[done:ended]] = (reach[most, done:ended] >> place & one).astype(bool)
+            done = ended
         left = reach[most] != 0
         left[:ended] = False
         n = int(np.count_nonzero(left))
         if not n:
             break
-        if ended or 2 * n < len(left):
+        if 4 * n < 3 * len(left):
             at, size_a, size_b, reach = at[left], size_a[left], size_b[left], reach[:, left]
             rows_a, rows_b = rows_a[j + 1 - gone:, left], rows_b[j + 1 - gone:, left]
-            gone = j + 1
+            gone, done = j + 1, 0
     return out

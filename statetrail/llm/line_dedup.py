@@ -19,11 +19,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buckets import fresh, meet, sides, units, units_of
+from .buckets import meet, units
 from .common import Store, columns, free, parts, small, table
 from .components import connected_components
 from .edit_distance import within_each
@@ -38,7 +39,10 @@ ALL_LINES, EDITS = 1, (16, 8)
 
 #: Characters whose signatures are made at once, candidates that a task verifies at once, those of a line that
 #: are verified first, and components of which a task remembers what they were tied to.
-CHARS, WAITING, FIRST, KNOWN = 1 << 20, 1 << 14, 4, 1 << 20
+CHARS, WAITING, FIRST, KNOWN = 1 << 17, 1 << 15, 4, 1 << 20
+#: Characters of the lines of units that are looked through together, pairs of theirs that are listed at once (those
+#: of a line and its unit at least), and pairs whose counts are compared at once.
+UNIT_CHARS, PAIRS, ASKED = 1 << 21, 1 << 18, 1 << 14
 
 _WORD = re.compile(r"\w")
 
@@ -61,10 +65,14 @@ def signatures(lines: list[str]) -> list[bytes]:
             end += 1
         some = lines[start:end]
         codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
-        row = np.repeat(np.arange(len(some)) * 64, [len(x) for x in some])
+        ends = np.cumsum([len(x) for x in some])
+        row = np.repeat(np.arange(len(some)) * 64, np.diff(ends, prepend=0))
         pairs = codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(2246822519) >> np.uint32(27)
-        inside = row[:-1] == row[1:]
-        counts = np.bincount(np.concatenate([row + (codes & 31), (row[:-1] + pairs + 32)[inside]]), minlength=64 * len(some))
+        counts = np.bincount(row + (codes & np.uint32(31)), minlength=64 * len(some))
+        pairs = row[:-1] + 32 + pairs
+        counts += np.bincount(pairs, minlength=64 * len(some))
+        across = np.unique(ends[(ends > 0) & (ends < len(codes))]) - 1
+        np.subtract.at(counts, pairs[across], 1)
         data = counts.astype(np.uint8).tobytes()
         out += [data[at:at + 64] for at in range(0, len(data), 64)]
         start = end
@@ -217,9 +225,15 @@ class Ties:
 
     def add(self, own: int, component: int, nodes: np.ndarray, components: np.ndarray) -> None:
         """``own`` is to be compared with ``nodes``; ``lines`` must know them."""
-        self.waiting.append((np.full(len(nodes), self.probes), np.full(len(nodes), own), nodes,
-                             np.full(len(nodes), component), components))
-        self.probes += 1
+        self.add_each(np.zeros(len(nodes), np.int64), np.full(len(nodes), own), np.full(len(nodes), component),
+                      nodes, components)
+
+    def add_each(self, probe: np.ndarray, own: np.ndarray, component: np.ndarray, nodes: np.ndarray,
+                 components: np.ndarray) -> None:
+        """``add`` for many: what is compared with several nodes has one number ``probe`` and comes together."""
+        numbers = self.probes + np.cumsum(np.append(0, probe[1:] != probe[:-1]))
+        self.waiting.append((numbers, own, nodes, component, components))
+        self.probes = int(numbers[-1]) + 1
         self.n += len(nodes)
 
     def links(self) -> pa.RecordBatch:
@@ -250,40 +264,91 @@ class Ties:
         return pa.record_batch({"a": pa.array(low[found], pa.int64()), "b": pa.array(high[found], pa.int64())})
 
 
-def _gather(unit: pa.Table, ties: Ties) -> None:
-    """The pairs of a unit that lengths and counts allow go to ``ties``, those that meet under a
+def _several(batches):
+    """Tables of whole units, which follow one another, with few characters or a single unit each."""
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        if rest is not None:
+            now = pa.concat_tables([rest, now]).combine_chunks()
+        starts = _starts(now)
+        chars = np.cumsum(pc.fill_null(pc.binary_length(now.column("line")), 0).to_numpy())
+        begin, spent = 0, 0
+        for start in starts[1:].tolist():
+            if chars[start - 1] - spent >= UNIT_CHARS:
+                yield now.slice(begin, start - begin)
+                begin, spent = start, chars[start - 1]
+        last = int(starts[-1]) if len(starts) else 0
+        if begin < last:
+            yield now.slice(begin, last - begin)
+        rest = now.slice(last)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where units begin."""
+    new = np.ones(len(rows), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in (rows.column(c).to_numpy() for c in ("token", "part", "chunk"))], axis=0)
+    return np.flatnonzero(new)
+
+
+def _meetings(unit: np.ndarray, side: np.ndarray):
+    """(probe, member): the rows that meet in a unit, by probe, some PAIRS at a time."""
+    members, probes = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    low = np.searchsorted(unit[members], unit[probes])
+    n = np.searchsorted(unit[members], unit[probes], "right") - low
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(probes):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + PAIRS, "right")))
+        some, first = n[start:end], ends[start:end] - n[start:end]
+        place = np.arange(some.sum()) - np.repeat(first - first[0], some)
+        yield np.repeat(probes[start:end], some), members[np.repeat(low[start:end], some) + place]
+        start = end
+
+
+def _gather(rows: pa.Table, ties: Ties) -> None:
+    """The pairs of some units that lengths and counts allow go to ``ties``, those that meet under a
     lesser token too being left to the unit of their least one."""
-    members, probes = sides(unit)
-    if not len(members) or not len(probes):
-        return
-    token, node, ask = unit.column("token")[0].as_py(), members.column("node").to_numpy(), fresh(members)
-    kinds, lines = members.column("component").to_numpy(), members.column("line").to_pylist()
+    node, kind, main, token, side = (
+        rows.column(c).to_numpy() for c in ("node", "component", "main", "token", "side"))
+    starts = _starts(rows)
+    unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+    _, first, same = np.unique(node, return_index=True, return_inverse=True)
+    lines = rows.column("line").take(pa.array(first)).to_pylist()
     sizes, counts = np.array([len(x) for x in lines]), _counts(signatures(lines))
-    met, before = members.column("tokens"), {}
-    asked = probes.column("line").to_pylist()
-    for i, (own, kind, line, count) in enumerate(zip(
-            probes.column("node").to_numpy(), probes.column("component").to_numpy(), asked, _counts(signatures(asked)))):
-        size = len(line)
-        at = ask(own, kind, np.flatnonzero(np.abs(sizes - size) <= _bounds(np.minimum(sizes, size), ties.most)))
-        at = at[alike(sizes[at], counts[at], size, count, ties.most)].tolist()
-        if at:
-            for j in at:
-                if j not in before:
-                    before[j] = frozenset(t for t in met[j].as_py() if t < token)
-            lesser = [t for t in probes.column("tokens")[i].as_py() if t < token]
-            at = [j for j in at if before[j].isdisjoint(lesser)]
-        if at:
-            ties.lines[int(own)] = line
-            ties.lines.update(zip(node[at].tolist(), [lines[j] for j in at]))
-            ties.add(own, kind, node[at], kinds[at])
+    tokens = rows.column("tokens").combine_chunks()
+    ends, tokens = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+    lesser = {}
+    for probe, member in _meetings(unit, side):
+        # pairs within a component are known, and two outside the main one would meet twice
+        new = (kind[probe] != kind[member]) & ((kind[member] == main[member]) | (node[member] > node[probe]))
+        probe, member = probe[new], member[new]
+        x, y = same[probe], same[member]
+        near = np.abs(sizes[x] - sizes[y]) <= _bounds(np.minimum(sizes[x], sizes[y]), ties.most)
+        probe, member, x, y = probe[near], member[near], x[near], y[near]
+        near = np.concatenate([np.zeros(0, bool), *(
+            alike(sizes[x[at:at + ASKED]], counts[x[at:at + ASKED]], sizes[y[at:at + ASKED]],
+                  counts[y[at:at + ASKED]], ties.most) for at in range(0, len(x), ASKED))])
+        probe, member = probe[near], member[near]
+        for at in np.unique(np.concatenate([probe, member])).tolist():
+            if at not in lesser:
+                own = tokens[ends[at]:ends[at + 1]]
+                lesser[at] = frozenset(own[own < token[at]].tolist())
+        least = np.array([lesser[p].isdisjoint(lesser[m]) for p, m in zip(probe.tolist(), member.tolist())], bool)
+        probe, member = probe[least], member[least]
+        if len(probe):
+            ties.lines.update((int(node[at]), lines[same[at]]) for at in np.unique(np.concatenate([probe, member])))
+            ties.add_each(probe, node[probe], kind[probe], node[member], kind[member])
 
 
 def _tied(rows: DataFrame, most: int | tuple[int, int]) -> DataFrame:
     """Links (a, b) between components, for rows of units with a node's line and all its tokens."""
     def run(batches):
         ties = Ties(most)
-        for unit in units_of(batches):
-            _gather(unit, ties)
+        for some in _several(batches):
+            _gather(some, ties)
             if ties.n >= WAITING:
                 yield ties.links()
         if ties.n:

@@ -22,7 +22,7 @@ from .common import parts
 #: Characters that are hashed at once (a longer line is hashed alone), keys of a block set, keys of a
 #: range, distinct lines that a task remembers in order not to send them again, and lines of an
 #: unheld key that a task sends before it hands the others out itself.
-CHARS, GATHERED, RANGE_KEYS, KNOWN, UNHELD = 1 << 20, 1 << 20, 1 << 18, 1 << 20, 8
+CHARS, GATHERED, RANGE_KEYS, KNOWN, UNHELD = 1 << 17, 1 << 19, 1 << 18, 1 << 20, 8
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

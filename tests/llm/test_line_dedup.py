@@ -3,6 +3,7 @@ import string
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from statetrail.llm import buckets
 from statetrail.llm import line_dedup as ld
@@ -231,3 +232,29 @@ def test_ties_join_what_is_linked_with_fewer_links_than_components(waiting):
              if within(lines[i], lines[j], ld.edits(min(len(lines[i]), len(lines[j])), (16, 8)))]
     assert groups([(r["a"], r["b"]) for r in links]) == groups(plain)
     assert len(links) == len(lines) - len(set(groups(plain)))
+
+
+@pytest.mark.parametrize("chars, pairs", [(1, 1), (2000, 7), (1 << 21, 1 << 18)])
+def test_units_are_looked_through_together(monkeypatch, chars, pairs):
+    monkeypatch.setattr(ld, "UNIT_CHARS", chars)
+    monkeypatch.setattr(ld, "PAIRS", pairs)
+    rnd = random.Random(11)
+    stock = ["".join(rnd.choices("abcd", k=60)) for _ in range(5)]
+    lines = sorted({edited(rnd, rnd.choice(stock), rnd.randint(0, 2)) for _ in range(60)})
+    units = [rnd.sample(range(len(lines)), rnd.randint(2, 9)) for _ in range(50)]
+    tokens = [[t for t, unit in enumerate(units) if n in unit] for n in range(len(lines))]
+    # the first node is the main component; all are members, the others ask
+    rows = [{"token": t, "part": 0, "chunk": 0, "side": side, "node": n, "component": n, "main": unit[0],
+             "line": lines[n], "tokens": tokens[n]}
+            for t, unit in enumerate(units) for side in (0, 1) for n in unit[side:]]
+    calls = []
+    monkeypatch.setattr(ld, "signatures", lambda x, whole=ld.signatures: calls.append(1) or whole(x))
+    ties, listed = ld.Ties((16, 8)), pa.Table.from_pylist(rows)
+    for some in ld._several(listed.to_batches(max_chunksize=17)):
+        ld._gather(some, ties)
+    asked = [(int(p), int(q)) for _, a, b, _, _ in ties.waiting for p, q in zip(a, b)]
+    met = {(min(p, q), max(p, q)) for unit in units for p in unit for q in unit if p != q}
+    near = {(p, q) for p, q in met if within(lines[p], lines[q], ld.edits(min(len(lines[p]), len(lines[q])), (16, 8)))}
+    found = {(min(x), max(x)) for x in asked}
+    assert near <= found <= met and len(asked) == len(found)
+    assert len(calls) == len(units) if chars == 1 else len(calls) < len(units)
