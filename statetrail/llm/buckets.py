@@ -61,17 +61,15 @@ def units(shared: DataFrame, pivots: DataFrame | None, labels: DataFrame,
     """
     rows = shared if pivots is None else shared.join(pivots, "token").filter("node != pivot")
     rows = (rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = (rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo != hi").select("token"))
-    rows = rows.join(mixed, "token", "left_semi").select("token", "node", "component")
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
     top = sizes.groupBy("token").agg(
-        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"))
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"),
+        F.count("*").alias("components")).filter("components > 1")
     top = top.select(
         "token", F.col("top.component").alias("main"),
         F.ceil(F.col("members") / MEMBERS).cast("int").alias("parts"),
         F.ceil((F.col("members") - F.col("top.n")) / PROBES).cast("int").alias("chunks"))
-    rows = rows.join(top, "token")
+    rows = rows.select("token", "node", "component").join(top, "token")
     members = rows.select(
         "token", "node", "component", "main", F.lit(0).alias("side"),
         F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"),

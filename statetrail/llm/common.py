@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,22 @@ def parts(batches, rows: int = 500):
             yield batch.slice(start, rows)
 
 
+def freed(run):
+    """``run`` for mapInArrow, after which the worker gives back the memory that it no longer needs.
+
+    Workers are used again for the tasks of later stages, and would keep what their largest task took.
+    """
+    @wraps(run)
+    def then_free(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return then_free
+
+
 class Store:
     """Intermediate tables in a folder of their own below the shared folder.
 

@@ -16,6 +16,7 @@ Of each group of equal or linked lines the first, by doc_id and place, stays.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import meet, units
-from .common import Store, columns, free, parts, small, table
+from .common import Store, columns, free, freed, parts, small, table
 from .components import connected_components
 from .edit_distance import within_each
-from .segment_keys import edits, number, segment_keys, shared_keys
+from .segment_keys import edits, least_edited, number, segment_keys, shared_keys
 
 #: Edits that lines may differ by, and characters below which ``line_dedup`` leaves a line alone if
 #: nothing else is asked for. A line without a word is always left alone below LEAST_CHARS.
@@ -110,60 +111,55 @@ def counted(line: str, least: int) -> bool:
 
 
 def lines_of(docs: DataFrame, most: int | tuple[int, int], least: int) -> DataFrame:
-    """doc_id, place and node of every line that counts, with size and signature.
-
-    These come with a line's first place in a slice of documents, and not at all if the line is too
-    short for an edit.
+    """doc_id, place and node of every line that counts, and whether it is a line's first place in a
+    slice of documents and long enough for an edit.
     """
+    shortest = least_edited(most)
+
     def run(batches):
         for batch in parts(batches):
-            ids, at, nodes, sizes, marked, new, known = [], [], [], [], [], [], {}
+            ids, at, nodes, editable, known = [], [], [], [], {}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for place, line in enumerate((text or "").split("\n")):
                     node = known.get(line)
                     if node is not None:
-                        sizes.append(None)
+                        editable.append(False)
                     elif counted(line, least):
                         node = known[line] = number(line)
-                        if edits(len(line), most):
-                            marked.append(len(nodes))
-                            new.append(line)
-                            sizes.append(len(line))
-                        else:
-                            sizes.append(None)
+                        editable.append(len(line) >= shortest)
                     else:
                         continue
                     ids.append(doc_id)
                     at.append(place)
                     nodes.append(node)
-            marks = [None] * len(nodes)
-            for i, mark in zip(marked, signatures(new)):
-                marks[i] = mark
             yield pa.record_batch({
                 "doc_id": pa.array(ids, pa.int64()), "place": pa.array(at, pa.int32()),
-                "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int32()),
-                "signature": pa.array(marks, pa.binary())})
+                "node": pa.array(nodes, pa.int64()), "editable": pa.array(editable, pa.bool_())})
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, place int, node long, size int, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, place int, node long, editable boolean")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its line, for the wanted (doc_id, places of nodes)."""
+    """node, its line, and the line's size and signature, for the wanted (doc_id, places of nodes)."""
     def run(batches):
         for batch in parts(batches):
             nodes, lines = [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+            places = batch.column("places")
+            wanted = zip(*(places.flatten().field(c).to_pylist() for c in ("place", "node")))
+            for text, n in zip(batch.column("text").to_pylist(), pc.list_value_length(places).to_pylist()):
                 cut = (text or "").split("\n")
-                for at in places:
-                    if at["place"] < len(cut) and number(cut[at["place"]]) == at["node"]:
-                        nodes.append(at["node"])
-                        lines.append(cut[at["place"]])
-            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "line": pa.array(lines, pa.string())})
+                for place, node in islice(wanted, n):
+                    if place < len(cut) and number(cut[place]) == node:
+                        nodes.append(node)
+                        lines.append(cut[place])
+            yield pa.record_batch({
+                "node": pa.array(nodes, pa.int64()), "line": pa.array(lines, pa.string()),
+                "size": pa.array([len(x) for x in lines], pa.int32()),
+                "signature": pa.array(signatures(lines), pa.binary())})
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     return (texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "places")
-            .mapInArrow(run, "node long, line string").dropDuplicates(["node"]))
+            .mapInArrow(freed(run), "node long, line string, size int, signature binary").dropDuplicates(["node"]))
 
 
 def _near(pairs: DataFrame, marks: DataFrame, most: int | tuple[int, int]) -> DataFrame:
@@ -180,26 +176,25 @@ def _near(pairs: DataFrame, marks: DataFrame, most: int | tuple[int, int]) -> Da
 
 
 def _lines(needed: DataFrame, docs: DataFrame, lines: DataFrame, store: Store) -> DataFrame:
-    """node and line of the nodes ``needed``; only their documents' texts are read."""
-    firsts = lines.join(small(needed), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("doc_id", "place")).alias("first"))
-    wanted = store.keep(firsts.groupBy("first.doc_id").agg(
-        F.collect_set(F.struct("first.place", "node")).alias("places")))
+    """node, line, size and signature of the nodes ``needed``; only their documents' texts are read."""
+    places = (lines.filter("editable").select("node", "doc_id", "place")
+              .join(small(needed), "node", "left_semi").dropDuplicates(["node"]))
+    wanted = store.keep(places.groupBy("doc_id").agg(
+        F.collect_list(F.struct("place", "node")).alias("places")))
     return store.keep(_texts(docs, small(wanted, 2 * F.size("places"))))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, lines: DataFrame, store: Store,
-           most: int | tuple[int, int]) -> DataFrame:
-    """The pairs that are within the bound; only their lines are read again."""
+def _links(pairs: DataFrame, texts: DataFrame, store: Store, most: int | tuple[int, int]) -> DataFrame:
+    """The pairs that are within the bound."""
     def verify(batches):
         for batch in batches:
             near = _within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     needed = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = _lines(needed, docs, lines, store)
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    return store.keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    found = texts.select("node", "line").join(small(needed), "node", "left_semi")
+    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+    return store.keep(both.select("a", "b", "x", "y").mapInArrow(freed(verify), "a long, b long"))
 
 
 def _within(x: list[str], y: list[str], most: int | tuple[int, int]) -> np.ndarray:
@@ -355,28 +350,29 @@ def _tied(rows: DataFrame, most: int | tuple[int, int]) -> DataFrame:
             yield ties.links()
 
     keys = ["token", "part", "chunk"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(freed(run), "a long, b long")
 
 
 def line_groups(docs: DataFrame, store: Store, most: int | tuple[int, int] = MOST_EDITS,
                 least: int = LEAST_CHARS):
     """(lines, labels): doc_id, place and node of the lines; node and component of linked nodes."""
     lines = store.keep(lines_of(docs, most, least))
-    entries = store.keep(shared_keys(docs, lambda line: counted(line, least), most,
-                                     lines.filter("size IS NOT NULL").count()))
+    entries = store.keep(shared_keys(docs, lambda line: counted(line, least), most, lines.filter("editable").count()))
     spent = store.last
     shared, _, pairs = meet(entries, store, F.bool_or("held"), once=True)
     store.remove(spent)
+    # nodes of shared buckets are in a pair too, so these are all lines that are read again
     met = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    marks = store.keep(lines.filter("size IS NOT NULL").select("node", "size", "signature")
-                       .join(small(met), "node", "left_semi").dropDuplicates(["node"]))
-    links = _links(store.keep(_near(pairs, marks, most)), docs, lines, store, most)
+    texts = _lines(met, docs, lines, store)
+    near = _near(pairs, texts.select("node", "size", "signature"), most)
+    links = _links(store.keep(near), texts, store, most)
     labels = store.keep(connected_components(links, store))
     left = store.keep(units(shared, None, labels))
     if not left.isEmpty():
-        tokens = store.keep(left.groupBy("node").agg(F.collect_set("token").alias("tokens")))
-        texts = _lines(store.keep(tokens.select("node")), docs, lines, store)
-        more = store.keep(_tied(left.join(texts.join(tokens, "node"), "node"), most))
+        # buckets of one component are among these; no pair that is left meets in them
+        tokens = shared.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        with_lines = texts.select("node", "line").join(tokens, "node")
+        more = store.keep(_tied(left.join(with_lines, "node"), most))
         labels = store.keep(connected_components(links.unionByName(more), store))
     return lines.select("doc_id", "place", "node"), labels
 
@@ -387,10 +383,10 @@ def repeated_lines(docs: DataFrame, store: Store, most: int | tuple[int, int] =
     lines, labels = line_groups(docs, store, most, least)
     lines = lines.join(small(labels), "node", "left").select(
         "doc_id", "place", F.coalesce("component", "node").alias("component"))
-    firsts = store.keep(lines.groupBy("component").agg(
-        F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1").drop("n"))
-    rows = lines.join(small(firsts), "component")
+    groups = store.keep(lines.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"))
+    rows = store.keep(lines.join(small(groups), "component", "left_semi"))
+    firsts = store.keep(rows.groupBy("component").agg(F.min(F.struct("doc_id", "place")).alias("first")))
+    rows = rows.join(small(firsts), "component")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))
     return store.keep(rows.filter(~same).groupBy("doc_id").agg(F.collect_set("place").alias("places")))
 
@@ -439,7 +435,7 @@ def _without_repeats(docs: DataFrame, most: int | tuple[int, int], least: int) -
                 [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
                  pa.array([bool(_WORD.search(x or "")) for x in texts], pa.bool_())], schema.names)
 
-    return rows.mapInArrow(cut, schema), worded
+    return rows.mapInArrow(freed(cut), schema), worded
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,12 +17,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import parts
+from .common import freed, parts
 
 #: Characters that are hashed at once (a longer line is hashed alone), keys of a block set, keys of a
 #: range, distinct lines that a task remembers in order not to send them again, and lines of an
 #: unheld key that a task sends before it hands the others out itself.
-CHARS, GATHERED, RANGE_KEYS, KNOWN, UNHELD = 1 << 17, 1 << 19, 1 << 18, 1 << 20, 8
+CHARS, GATHERED, RANGE_KEYS, KNOWN, UNHELD = 1 << 17, 1 << 18, 1 << 18, 1 << 20, 8
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -33,6 +33,12 @@ def edits(length: int, most: int | tuple[int, int]) -> int:
     return most if isinstance(most, int) else min(length // most[0], most[1])
 
 
+def least_edited(most: int | tuple[int, int]) -> float:
+    """The length from which on a line has an edit."""
+    chars, bound = (0, most) if isinstance(most, int) else most
+    return chars if bound > 0 else math.inf
+
+
 def number(data: str) -> int:
     return xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -127,6 +133,10 @@ def segment_keys(lines: list[str], most: int | tuple[int, int]) -> tuple[np.ndar
         place, behind, salt, unmoved = _places(low, bound)
         at = np.where(behind, n, 0) + place
         inside = (at >= 0) & (at + size <= n)
+        if inside.all():
+            key = text.at(begins[members][:, None] + at, size) ^ salt
+            found.append((np.repeat(members, len(place)), key.ravel(), np.tile(unmoved & mine, len(members))))
+            continue
         line, which = np.nonzero(inside)
         found.append((members[line], text.at(begins[members][line] + at[inside], size) ^ salt[which],
                       unmoved[which] & mine))
@@ -136,6 +146,17 @@ def segment_keys(lines: list[str], most: int | tuple[int, int]) -> tuple[np.ndar
     return line, _mixed(key), held
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """What sorts the keys, equal ones by place. Keys and places are sorted as one number where both fit
+    into 64 bits, which takes half the time."""
+    width = max(1, (len(key) - 1).bit_length())
+    if not len(key) or int(key.max()).bit_length() + width > 64:
+        return np.argsort(key, kind="stable")
+    both = (key << np.uint64(width)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
 def _runs(key: np.ndarray) -> np.ndarray:
     """Which entries of a sorted array are equal to a neighbour."""
     out, same = np.zeros(len(key), bool), key[1:] == key[:-1]
@@ -160,7 +181,7 @@ def _grouped(key: np.ndarray, node: np.ndarray, held: np.ndarray):
 
 def _local(key: np.ndarray, node: np.ndarray, held: np.ndarray):
     """(sent, handed out): entries (key, node, held) for the receivers, and those of hot keys."""
-    order = np.argsort(key)
+    order = _order(key)
     key, node, held = key[order], node[order], held[order]
     many = _runs(key)
     if not many.any():
@@ -172,7 +193,7 @@ def _local(key: np.ndarray, node: np.ndarray, held: np.ndarray):
     sent = ~here
     merged = [np.concatenate(both) for both in (
         (key[single], k[sent]), (node[single], n[sent]), (held[single], useful[group][sent]))]
-    order = np.argsort(merged[0])
+    order = _order(merged[0])
     return tuple(x[order] for x in merged), (k[here], n[here], useful[group][here])
 
 
@@ -199,7 +220,7 @@ def shared_keys(docs: DataFrame, wanted, most: int | tuple[int, int], n_lines: i
     are left out, but for some hot ones.
     """
     bits = max(6, math.ceil(math.log2(1 + n_lines * keys_per_line(most) / RANGE_KEYS)))
-    shift = np.uint64(64 - bits - 31)
+    shift, shortest = np.uint64(64 - bits - 31), least_edited(most)
 
     def blocks(entries, task: int):
         sent, hot = _local(*(np.concatenate(x) for x in zip(*entries)))
@@ -231,7 +252,7 @@ def shared_keys(docs: DataFrame, wanted, most: int | tuple[int, int], n_lines: i
             lines, nodes, chars = [], [], 0
             for text in batch.column("text").to_pylist():
                 for line in (text or "").split("\n"):
-                    if not edits(len(line), most) or not wanted(line) or (node := number(line)) in known:
+                    if len(line) < shortest or not wanted(line) or (node := number(line)) in known:
                         continue
                     if lines and chars + len(line) > CHARS:
                         entries.append(hashed(lines, nodes))
@@ -254,7 +275,7 @@ def shared_keys(docs: DataFrame, wanted, most: int | tuple[int, int], n_lines: i
 
     def met(part, keys, nodes):
         key, node, held = _unpacked(part, keys, nodes)
-        order = np.argsort(key)
+        order = _order(key)
         at = order[_runs(key[order])]
         if len(at):
             key, node, group, sizes, useful = _grouped(key[at], node[at], held[at])
@@ -278,6 +299,6 @@ def shared_keys(docs: DataFrame, wanted, most: int | tuple[int, int], n_lines: i
         if keys:
             yield from met(now, keys, nodes)
 
-    sent = docs.select("text").mapInArrow(send, "part long, own long, keys binary, nodes binary")
+    sent = docs.select("text").mapInArrow(freed(send), "part long, own long, keys binary, nodes binary")
     return (sent.repartition("part").sortWithinPartitions("part")
-            .mapInArrow(receive, "token long, node long, held boolean"))
+            .mapInArrow(freed(receive), "token long, node long, held boolean"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from statetrail.llm import buckets
 from statetrail.llm import line_dedup as ld
+from statetrail.llm.common import Store
 from statetrail.llm.edit_distance import within, within_each
 
 
@@ -258,3 +259,15 @@ def test_units_are_looked_through_together(monkeypatch, chars, pairs):
     found = {(min(x), max(x)) for x in asked}
     assert near <= found <= met and len(asked) == len(found)
     assert len(calls) == len(units) if chars == 1 else len(calls) < len(units)
+
+
+def test_lines_are_read_again_once(spark, docs_of, monkeypatch):
+    """Candidates and units share the lines; signatures come with them, not with all lines."""
+    rnd, calls = random.Random(5), []
+    texts = ["the same beginning of lines that differ " + "".join(rnd.choices("abcd", k=40)) for _ in range(20)]
+    monkeypatch.setattr(ld, "_texts", lambda *a, whole=ld._texts: calls.append(1) or whole(*a))
+    monkeypatch.setattr(ld, "_tied", lambda *a, whole=ld._tied: calls.append(2) or whole(*a))
+    docs = docs_of(texts)
+    assert "signature" not in ld.lines_of(docs, GROWING, 1).columns
+    ld.line_groups(docs, Store(spark, "lines"), GROWING, 1)
+    assert calls == [1, 2]

@@ -1,9 +1,11 @@
+import mmap
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from statetrail.llm import segment_keys as sk
+from statetrail.llm.common import freed
 
 GROWING = (16, 8)
 
@@ -111,3 +113,35 @@ def test_shared_keys_as_plain(spark, n_lines):
         if row.held:
             kept.add(row.token)
     assert sorted(sorted(v) for k, v in found.items() if k in kept) == sorted(wanted)
+
+
+@pytest.mark.parametrize("bits", [3, 40, 64])
+def test_order_is_that_of_a_stable_sort(bits):
+    for n in (0, 1, 2, 1000):
+        key = np.random.default_rng(n).integers(0, 1 << bits, n, np.uint64, endpoint=False)
+        assert sk._order(key).tolist() == np.argsort(key, kind="stable").tolist()
+
+
+@pytest.mark.parametrize("most", [0, 1, (16, 8), (16, 0)])
+def test_least_length_with_an_edit(most):
+    assert [n >= sk.least_edited(most) for n in range(50)] == [sk.edits(n, most) > 0 for n in range(50)]
+
+
+def resident():
+    with open("/proc/self/statm") as statm:
+        return int(statm.read().split()[1]) * mmap.PAGESIZE
+
+
+def test_workers_give_memory_back():
+    """The last of many blocks stays, so that the C library keeps the others by itself."""
+    kept = []
+
+    def run(batches):
+        blocks = [b"x" * (1 << 16) for _ in range(1 << 11)]
+        kept.append(blocks[-1])
+        del blocks
+        yield resident()
+        yield from batches
+
+    before, batch = freed(run)(iter(["batch"]))
+    assert batch == "batch" and resident() < before - (100 << 20)
