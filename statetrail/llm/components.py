@@ -1,46 +1,72 @@
-"""Connected components by alternating large and small stars, as joins and minima."""
+"""Connected components by stars within tasks and label exchange between them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store
+from .common import BROADCAST_CELLS, Store, freed
 
+#: Edges that a task ties together at once.
+TIED = 1 << 19
 
-def _lowest(edges: DataFrame) -> DataFrame:
-    """The least of the neighbours and the node itself; sums up on the map side."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
+def _ties(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges that is not the least of its component among them, and that least node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    top = np.arange(len(nodes))
+    while len(a):
+        # the greater top goes below the least one that it meets, then all go to their tops
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (up := top[top]).tobytes() != top.tobytes():
+            top = up
+        a, b = top[a], top[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    below = np.flatnonzero(top != np.arange(len(nodes)))
+    return nodes[below], nodes[top[below]]
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return (both.join(_lowest(both), "u").filter("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components: in each task those of stars, v being the least node."""
+    def run(batches):
+        some, n = [], 0
+        for batch in batches:
+            some.append([batch.column(c).to_numpy() for c in ("u", "v")])
+            n += batch.num_rows
+            if n >= TIED:
+                some = [_ties(*map(np.concatenate, zip(*some)))]
+                if (n := len(some[0][0])) > TIED // 2:
+                    yield pa.record_batch([*map(pa.array, some.pop())], ["u", "v"])
+                    n = 0
+        if n:
+            yield pa.record_batch([*map(pa.array, _ties(*map(np.concatenate, zip(*some))))], ["u", "v"])
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    found = down.join(_lowest(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    tops = _lowest(down).select("u", F.col("m").alias("v"))
-    return found.unionByName(tops).filter("u != v").distinct()
+    return edges.filter("u != v").mapInArrow(freed(run), "u long, v long")
 
 
 def connected_components(edges: DataFrame, store: Store) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the least node.
 
-    Every round turns paths into stars; the number of rounds grows with the logarithm of the
-    longest path. Each round is stored. A node with very many edges is met by joins only, whose
-    large partitions Spark splits. Nulls and loops are left out. No edges give no rows.
+    Tasks turn the edges they have into stars. In every round a node's label is the least of its
+    neighbours and itself, and both ends of an edge are tied to the label of one; labels that a
+    round leaves as they are are the components. The distance over which labels go doubles with
+    each round, so rounds grow with the logarithm of the longest path at most. Each round is
+    stored. A node with very many edges is summed up before the shuffle, and met by joins only,
+    whose large partitions Spark splits. Nulls and loops are left out. No edges give no rows.
     """
-    now = store.keep(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-                     .filter("u != v").distinct())
-    seen = None
+    now, seen = store.keep(_stars(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))), None
     while True:
-        now = store.keep(_small_star(_large_star(now)))
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        labels = store.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        mark = labels.agg(F.count("*"), F.sum(F.xxhash64("u", "m").cast("decimal(38,0)"))).first()
         if mark == seen:
-            break
+            return labels.toDF("node", "component")
         seen = mark
-    roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        sent = F.broadcast(labels) if 2 * mark[0] <= BROADCAST_CELLS else labels
+        ends = both.join(sent, "u").select(F.explode(F.array(
+            F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = store.keep(_stars(ends.select("e.u", "e.v")))
