@@ -11,6 +11,7 @@ merge that gives rise to a lower rank puts the rest of its piece off until that
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import freed, table
 from .vocabulary import Pieces, default_path, default_pattern, load_tokens
 
 #: Documents taken at once, distinct pieces encoded together, and pieces that a task remembers.
@@ -35,12 +36,16 @@ class MergeReplay:
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.pairs[token[0], token[1]] = rank
-        self.known: dict[int, int] = {}
+        # for each token, what it merges to with the token behind it and before it, as far as known
+        self.behind: list[dict[int, int] | None] = [None] * len(tokens)
+        self.ahead: list[dict[int, int] | None] = [None] * len(tokens)
+        self.n_known = 0
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of every piece as 32-bit numbers; none for an empty one."""
-        if len(self.known) > 1 << 20:
-            self.known.clear()
+        if self.n_known > 1 << 20:
+            self.behind, self.ahead = [None] * len(self.tokens), [None] * len(self.tokens)
+            self.n_known = 0
         whole = [self.ranks.get(p) for p in pieces]
         open_ = [p for p, rank in zip(pieces, whole) if rank is None and p]
         replayed = iter(self._replay(open_) if open_ else ())
@@ -67,19 +72,23 @@ class MergeReplay:
 
     def _merge_all(self, symbols, after, before, first, ends) -> None:
         """``first`` has the rank that the pair at each position would merge to, -1 for none."""
-        tokens, ranks, known, many = self.tokens, self.ranks, self.known, len(self.tokens)
-        push = heapq.heappush
+        tokens, ranks, many = self.tokens, self.ranks, len(self.tokens)
+        push, ends = heapq.heappush, ends.tolist()
         index: list[list[int] | None] = [None] * many
         order = np.argsort(first, kind="stable")[np.count_nonzero(first < 0):]
         heap, starts = np.unique(first[order], return_index=True)
-        for rank, places in zip(heap.tolist(), np.split(order, starts[1:])):
-            index[rank] = places.tolist()
-        heap, pair = heap.tolist(), first.tolist()
+        heap, pair, order, starts = heap.tolist(), first.tolist(), order.tolist(), starts.tolist()
+        for rank, start, end in zip(heap, starts, [*starts[1:], len(order)]):
+            index[rank] = order[start:end]
         while heap:
             rank = heapq.heappop(heap)
             places, index[rank] = index[rank], None
             places.sort()
-            put_off = -1
+            put_off, token = -1, tokens[rank]
+            if self.behind[rank] is None:
+                self.behind[rank], self.ahead[rank] = {}, {}
+            to_behind, to_ahead = self.behind[rank], self.ahead[rank]
+            n_known = len(to_behind) + len(to_ahead)
             for at in places:
                 if pair[at] != rank:
                     continue
@@ -89,16 +98,16 @@ class MergeReplay:
                         push(heap, rank)
                     index[rank].append(at)
                     continue
-                right, lower = after[at], False
+                right, made, lower = after[at], -1, False
                 symbols[at], symbols[right], pair[right] = rank, -1, -1
                 beyond = after[at] = after[right]
-                made = -1
                 if beyond >= 0:
                     before[beyond] = at
-                    key = rank * many + symbols[beyond]
-                    made = known.get(key)
-                    if made is None:
-                        made = known[key] = ranks.get(tokens[rank] + tokens[symbols[beyond]], -1)
+                    other = symbols[beyond]
+                    if other in to_behind:
+                        made = to_behind[other]
+                    else:
+                        made = to_behind[other] = ranks.get(token + tokens[other], -1)
                     if made >= 0:
                         lower = made < rank
                         if index[made] is None:
@@ -109,10 +118,11 @@ class MergeReplay:
                 pair[at] = made
                 ahead = before[at]
                 if ahead >= 0:
-                    key = symbols[ahead] * many + rank
-                    made = known.get(key)
-                    if made is None:
-                        made = known[key] = ranks.get(tokens[symbols[ahead]] + tokens[rank], -1)
+                    other = symbols[ahead]
+                    if other in to_ahead:
+                        made = to_ahead[other]
+                    else:
+                        made = to_ahead[other] = ranks.get(tokens[other] + token, -1)
                     pair[ahead] = made
                     if made >= 0:
                         lower = lower or made < rank
@@ -122,7 +132,8 @@ class MergeReplay:
                         else:
                             index[made].append(ahead)
                 if lower:
-                    put_off = ends[np.searchsorted(ends, at, "right")]
+                    put_off = ends[bisect_right(ends, at)]
+            self.n_known += len(to_behind) + len(to_ahead) - n_known
 
 
 def id_bytes(texts: list[str], cutter: Pieces, replay: MergeReplay, memory: dict) -> list[bytes]:
@@ -159,7 +170,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 yield pa.record_batch({"doc_id": part.column("doc_id"),
                                        "ids": pa.ListArray.from_arrays(ends, flat)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -181,7 +192,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                     pa.binary(), len(part), [None, pa.py_buffer(places.tobytes()), taken.buffers()[2]])
                 yield pa.RecordBatch.from_arrays([*part.columns, joined], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(freed(run), schema)
 
 
 def op1_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,24 @@ def test_odd_rows(odd_docs, no_docs, tokens):
 def test_null_ids_decode_to_nothing(spark):
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [bytes(r.decoded) for r in bp.decode(rows).collect()] == [b"", b""]
+
+
+def test_merges_of_a_pair_are_looked_up_once(tokens):
+    """What two tokens merge to is looked up in tables of the token behind or before."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    replay = bp.MergeReplay(tokens)
+    replay.ranks = Counted(replay.ranks)
+    pieces = [f"qzx{i}wvk{i}".encode() for i in range(200)]
+    first, asked = replay.encode(pieces), Counted.asked
+    Counted.asked = 0
+    assert replay.encode(pieces) == first
+    assert Counted.asked == len(pieces) < asked
+    assert replay.n_known == sum(len(x) for side in (replay.behind, replay.ahead) for x in side if x)
+    replay.n_known = 1 << 21
+    assert replay.encode(pieces) == first and replay.n_known < 1 << 20
