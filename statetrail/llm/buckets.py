@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, small
+from .common import Store, freed, small
 
 #: Rows of a work unit, on either side.
 PROBES, MEMBERS = 512, 4096
@@ -104,7 +104,7 @@ def search(rows: DataFrame, compare) -> DataFrame:
 
     keys = ["token", "part", "chunk"]
     return (rows.repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(run, "a long, b long").distinct())
+            .mapInArrow(freed(run), "a long, b long").distinct())
 
 
 def _distinct(pairs) -> pa.RecordBatch:

@@ -172,7 +172,7 @@ def _near(pairs: DataFrame, marks: DataFrame, most: int | tuple[int, int]) -> Da
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
     both = pairs.join(marks.toDF("a", "m", "x"), "a").join(marks.toDF("b", "n", "y"), "b")
-    return both.select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "m", "x", "n", "y").mapInArrow(freed(run), "a long, b long")
 
 
 def _lines(needed: DataFrame, docs: DataFrame, lines: DataFrame, store: Store) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import meet, search, units
-from .common import Store, columns, small, table
+from .common import Store, columns, freed, parts, small, table
 from .components import connected_components
 from .count_tree import GROUPS, box_join, overlap_bound, point
 from .words import shingle_sets
@@ -57,10 +57,10 @@ def group_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
         for batch in batches:
             for found in shingle_sets(batch.column(0), size):
                 np.add.at(total, _cell(found), 1)
-        parts = [(at // BLOCK, total[at:at + BLOCK]) for at in range(0, CELLS, BLOCK)]
-        parts = [(block, zlib.compress(x.tobytes(), 1)) for block, x in parts if x.any()]
-        yield pa.record_batch({"block": pa.array([b for b, _ in parts], pa.int32()),
-                               "counts": pa.array([x for _, x in parts], pa.binary())})
+        filled = [(at // BLOCK, total[at:at + BLOCK]) for at in range(0, CELLS, BLOCK)]
+        filled = [(block, zlib.compress(x.tobytes(), 1)) for block, x in filled if x.any()]
+        yield pa.record_batch({"block": pa.array([b for b, _ in filled], pa.int32()),
+                               "counts": pa.array([x for _, x in filled], pa.binary())})
 
     def add(batches):
         total = {}
@@ -73,7 +73,8 @@ def group_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
             "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())})
 
     schema = "block int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    rows = docs.select("text").mapInArrow(freed(count), schema).repartition("block").mapInArrow(
+        freed(add), schema)
     out = np.zeros(CELLS, np.int64)
     for block, x in rows.collect():
         out[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(x)), "<i8")
@@ -103,7 +104,7 @@ def document_nodes(docs: DataFrame, classes, size: int, percent: int) -> DataFra
     """
     def sets(batches):
         order = classes.value
-        for batch in batches:
+        for batch in parts(batches):
             n, nodes, points, boxes, firsts = [], [], [], [], []
             for tokens in shingle_sets(batch.column("text"), size):
                 n.append(len(tokens))
@@ -123,14 +124,14 @@ def document_nodes(docs: DataFrame, classes, size: int, percent: int) -> DataFra
                 "firsts": pa.ListArray.from_arrays(ends, np.concatenate([*firsts, np.zeros(0, np.int64)]))})
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        sets, "doc_id long, text_key long, n_shingles long, node long, point binary, box binary, "
+        freed(sets), "doc_id long, text_key long, n_shingles long, node long, point binary, box binary, "
         "firsts array<long>")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The full sorted sets of the wanted nodes (doc_id, text_key, node)."""
     def sets(batches):
-        for batch in batches:
+        for batch in parts(batches):
             out = [(node, tokens) for node, tokens in
                    zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), size))
                    if len(tokens) and _node(tokens) == node]
@@ -142,7 +143,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
     same = (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id"))
     return (texts.join(wanted, same).select("node", "text")
-            .mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"]))
+            .mapInArrow(freed(sets), "node long, tokens array<long>").dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, percent: int,
@@ -158,7 +159,7 @@ def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, p
     alike = (pairs.join(side.toDF("a", "na", "pa"), "a").join(side.toDF("b", "nb", "pb"), "b")
              .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     alike = store.keep(alike.select("a", "b", "na", "nb", "pa", "pb")
-                       .mapInArrow(bounded, "a long, b long"))
+                       .mapInArrow(freed(bounded), "a long, b long"))
     needed = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = store.keep(points.select("node", "doc_id", "text_key").join(needed, "node"))
     side = store.keep(node_sets(docs, small(wanted), size))

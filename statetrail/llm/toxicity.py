@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, parts, small, table
+from .common import Store, freed, parts, small, table
 from .toxicity_grammar import KINDS, TOKEN, Reader
 
 #: Most labelled rows that are learned from; which ones is decided by a hash of the doc_id.
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store) -> tuple[set[str], l
             yield pa.record_batch({"x": pa.array(out, pa.list_(pa.float64())),
                                    "toxic": batch.column("toxic")})
 
-    rows = sample.select("text", "toxic").mapInArrow(read, "x array<double>, toxic int").toArrow()
+    rows = sample.select("text", "toxic").mapInArrow(freed(read), "x array<double>, toxic int").toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(KINDS) + 2)
     return words, fitted(x, np.array(rows["toxic"].to_pylist(), float))
 
@@ -112,7 +112,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column("doc_id"),
                                    "score": 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))})
 
-    scored = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(freed(score), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -131,4 +131,4 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             x = [_features(*reader.counts(t or "")) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(np.array(x, float).reshape(-1, len(w)) @ w < 0))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(freed(keep), docs.schema)
