@@ -82,3 +82,15 @@ def test_merges_of_a_pair_are_looked_up_once(tokens):
     assert replay.n_known == sum(len(x) for side in (replay.behind, replay.ahead) for x in side if x)
     replay.n_known = 1 << 21
     assert replay.encode(pieces) == first and replay.n_known < 1 << 20
+
+
+def test_workers_of_the_stages_give_memory_back(spark, docs_of, monkeypatch):
+    from statetrail.llm import ngram_jaccard
+
+    docs, runs = docs_of({1: "a b c"}), []
+    kind, plain = type(docs), type(docs).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, run, *a: runs.append(run) or plain(df, run, *a))
+    bp.decode(bp.encode(docs))
+    nodes = ngram_jaccard.document_nodes(docs, None, 5, 75)
+    ngram_jaccard.node_sets(docs, nodes.select("doc_id", "text_key", "node"), 5)
+    assert len(runs) == 4 and all(hasattr(run, "__wrapped__") for run in runs)
