@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed, table
+from .common import Store, freed, table
 from .vocabulary import Pieces, default_path, default_pattern, load_tokens
 
 #: Documents taken at once, distinct pieces encoded together, and pieces that a task remembers.
@@ -204,7 +204,10 @@ def op1_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: doc_id, ids and the text decoded from them."""
-    found = decode(encode(docs))
+    """Stage: doc_id, ids and the text decoded from them.
+
+    The ids are stored in between, so that a task needs one Python worker at a time and not two.
+    """
+    found = decode(Store(spark, "byte-pairs").keep(encode(docs)))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         F.col("decoded").cast("string").alias("text"))
