@@ -12,8 +12,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once; a longer text is one block of its own.
-BLOCK = 1 << 20
+#: Bytes of text that are worked on at once, and where each byte takes several numbers; a longer text is
+#: one block of its own.
+BLOCK, NUMBERED = 1 << 20, 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _FIRST = np.uint64(0xBF58476D1CE4E5B9)
@@ -46,8 +47,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 
-def blocks(texts: pa.Array):
-    """Slices of the batch of about BLOCK bytes: first row, bytes, start of each row and the end."""
+def blocks(texts: pa.Array, most: int = BLOCK):
+    """Slices of the batch of about ``most`` bytes: first row, bytes, start of each row and the end."""
     if not len(texts):
         return
     if pa.types.is_large_string(texts.type):
@@ -58,7 +59,7 @@ def blocks(texts: pa.Array):
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        last = int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1
         last = min(max(last, row + 1), len(texts))
         yield row, data[offsets[row]:offsets[last]], offsets[row:last + 1].astype(np.int64) - offsets[row]
         row = last
@@ -80,7 +81,7 @@ def word_numbers(data: np.ndarray, bounds: np.ndarray, between: np.ndarray, lowe
     """Number of every word, and for each row the range of its words."""
     data = LOWER[data] if lower else data
     starts, ends = word_spans(data, bounds, between)
-    power, inverse = _powers(max(20, int(len(data)).bit_length()))
+    power, inverse = _powers(max(NUMBERED.bit_length() - 1, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
     numbers = (sums[ends] - sums[starts]) * inverse[starts]
@@ -106,7 +107,7 @@ def shingle_sets(texts: pa.Array, size: int = 5):
     A text of fewer words than ``size`` has its whole sequence as one; none has an empty set.
     """
     weights = _weights(size)
-    for _, data, bounds in blocks(texts):
+    for _, data, bounds in blocks(texts, NUMBERED):
         numbers, ranges = word_numbers(data, bounds, SPACES, True)
         total = max(0, len(numbers) - size + 1)
         rolled = np.zeros(total, np.uint64)

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ from statetrail.llm.buckets import _distinct
 from statetrail.llm.components import connected_components
 from statetrail.llm.common import Store
 from statetrail.llm.ngram_jaccard import jaccard_components, keep_first_of_component
+from statetrail.llm.words import shingle_sets
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -180,3 +182,16 @@ def test_many_rows_of_one_id(spark, own_id):
 def test_pairs_of_many_units_are_handed_out_once():
     pairs = pa.record_batch({"a": pa.array([3, 1, 3, 1], pa.int64()), "b": pa.array([4, 2, 4, 9], pa.int64())})
     assert _distinct(pairs).to_pydict() == {"a": [1, 1, 3], "b": [2, 9, 4]}
+
+
+def test_shingles_of_many_texts_take_little_memory():
+    texts = pa.array([f"{i} " + " ".join(f"w{i * k % 977}" for k in range(400)) for i in range(1_000)])
+    alone = [next(shingle_sets(texts.slice(i, 1))).tolist() for i in range(0, 1_000, 37)]
+    tracemalloc.start()
+    try:
+        found = [x.tolist() if i % 37 == 0 else None for i, x in enumerate(shingle_sets(texts))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert texts.nbytes > 1_500_000 and peak < 10e6
+    assert found[::37] == alone
